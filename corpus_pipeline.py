@@ -1,19 +1,60 @@
-"""A corpus from raw documents: language, exact copies, near copies, benchmark leaks, mix."""
+"""A corpus from raw documents: language, exact copies, near copies, benchmark leaks, mix.
+
+STAGES are applied in order, each to all rows that the one before it kept.  The first four return
+the columns of documents; the last returns the mix: doc_id, source, size, source_size, target and
+taken of the documents that it takes words of.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readingforge.llm import decontam, exact_dedup, mixing, neardup
+from readingforge.llm import decontam, exact_dedup, langid, mixing, neardup
 from readingforge.llm.common import table, written
 
+#: Near copies and languages are found by methods that SQL doesn't express; the tests hold the
+#: result against a brute-force version.
 ORACLE_SQL = None
-STAGES: list = []
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be told (no text, no letters) go."""
+    return langid.drop_unidentified(docs, langid.learn(docs))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id stays."""
+    return exact_dedup.drop_copies(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the one with the smallest doc_id stays."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document; documents that it takes nothing of go."""
+    out = mixing.mix(docs).filter(F.col("taken") > 0)
+    return out.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
+
+
+STAGES = [
+    ("language", identified),
+    ("exact_copies", without_copies),
+    ("near_copies", without_near_copies),
+    ("benchmark_leaks", without_leaks),
+    ("mix", mixed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
