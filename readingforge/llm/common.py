@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a side that may be broadcast; larger sides are joined by a shuffle.
@@ -69,16 +70,31 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def filed(df: DataFrame) -> DataFrame:
+    """`df` if its rows are those of files, perhaps filtered, so that each has a file and a place
+    there; else the same rows written to the shared folder."""
+    plan = df._jdf.queryExecution().analyzed().toString()
+    if not re.search(r"\b(Generate|Join|Union|Expand|Aggregate|Sample)\b", plan):
+        try:
+            df.select(df.metadataColumn("_metadata")["row_index"])
+            return df
+        except AnalysisException:
+            pass
+    return written(df, "rows")
+
+
 def located(df: DataFrame, file: str = "rf_file", row: str = "rf_row") -> DataFrame:
-    """`df` with two columns that name each row: its file and its place there.  A frame that
-    doesn't come straight from files is written to the shared folder first."""
-    try:
-        meta = df.metadataColumn("_metadata")
-        return df.withColumns({file: meta["file_path"], row: meta["row_index"]})
-    except AnalysisException:
-        df = written(df, "rows")
-        meta = df.metadataColumn("_metadata")
-        return df.withColumns({file: meta["file_path"], row: meta["row_index"]})
+    """`df` with two columns that name each row: its file and its place there."""
+    df = filed(df)
+    meta = df.metadataColumn("_metadata")
+    return df.withColumns({file: meta["file_path"], row: meta["row_index"]})
+
+
+def picked(df: DataFrame, **columns: Column) -> DataFrame:
+    """Only the given columns, and rf_file and rf_row, which name each row."""
+    df = filed(df)
+    meta = df.metadataColumn("_metadata")
+    return df.select(*[c.alias(n) for n, c in columns.items()], meta["file_path"].alias("rf_file"), meta["row_index"].alias("rf_row"))
 
 
 def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -88,7 +104,7 @@ def join_checked(big: DataFrame, small: DataFrame, on: list[str], how: str, limi
 
 def keep_rows(df: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
     """The rows of `df` whose locator is in (`left_semi`) or not in (`left_anti`) `chosen`, a
-    written table of rf_file and rf_row; columns as in `df`."""
+    written table of rf_file and rf_row; columns as in `df`, which must be `filed`."""
     file, row = fresh(df, "rf_file", "rf_row")
     rows = located(df, file, row)
     keys = chosen.select(F.col("rf_file").alias(file), F.col("rf_row").alias(row))

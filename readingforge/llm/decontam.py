@@ -10,7 +10,8 @@ The search: phrases go to all segments in blocks of bounded size.  A first pass
 dictionaries sums the document counts of the test words over the whole corpus.  The second pass
 intersects, for each phrase, the position lists shifted by the words' offsets, the corpus's rarest
 word first, and stops at the first empty intersection.  With slop 0 the matches are exact phrases;
-with slop s each word may lie up to s words from its place (proximity).
+with slop s a document matches at a place of it if each word lies up to s words from where the
+phrase at that place would have it (proximity).
 
 Defined results: a null text has no words; a benchmark item that is null or without words is
 ignored; a null item id counts as the word `null`; repeated rows are documents and items of their
@@ -28,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, located, small_batches, written
+from .common import filed, keep_rows, picked, small_batches, written
 from .textscan import ALNUM, LOWER, same_bytes, slices, text_bytes, word_hashes, words
 
 WINDOW = 10
 #: Phrases in a block of the search.
 BLOCK_PHRASES = 50_000
 #: Bytes of text in a segment, unless one document is longer.
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 20
 
 INDEX = (
     "ids array<bigint>, files array<string>, rows array<bigint>, begins binary, counts binary, "
@@ -106,7 +107,7 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index of all documents, written to the shared folder."""
     small_batches(docs.sparkSession)
-    rows = located(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), "rf_file", "rf_row")
+    rows = picked(docs, id=F.col(id_col).cast("long"), text=F.col(text_col).cast("string"))
     return written(rows.mapInArrow(_build, INDEX), "index")
 
 
@@ -183,7 +184,8 @@ def occurrences(phrase: np.ndarray, order: np.ndarray, at: np.ndarray, lists: np
         s = at[phrase[o]]
         own = positions[lists[s] : lists[s + 1]].astype(np.int64) - o
         if starts is None:
-            starts = own[own >= 0] if not slop else own
+            starts = np.unique((own[:, None] + np.arange(-slop, slop + 1)).ravel())
+            starts = starts[starts >= 0]
         else:
             low = np.searchsorted(own, starts - slop)
             near = own[np.minimum(low, len(own) - 1)]
@@ -206,13 +208,14 @@ def _search(query: Query, slop: int, batches: Iterator[pa.RecordBatch]) -> Itera
                 if not len(found):
                     continue
                 n = len(query.phrases[k])
-                low, high = found - slop, found + n + slop
-                owner = np.searchsorted(begins, found.clip(0), "right") - 1
-                inside = slop > 0 or (found + n <= begins[owner] + counts[owner])
+                # Empty documents share a place; the last document that begins there holds the words.
+                owner = np.searchsorted(begins, found, "right") - 1
+                begin, end = begins[owner], begins[owner] + counts[owner]
                 if slop:
-                    # Empty documents share a place; the last document that begins there holds the words.
-                    low, high = np.maximum(low, begins[owner]), np.minimum(high, begins[owner] + counts[owner])
-                    inside = _within(query.phrases[k], at, lists, positions, found, slop, begins, counts, owner)
+                    inside = _within(query.phrases[k], at, lists, positions, found, slop, begin, end)
+                else:
+                    inside = found + n <= end
+                low, high = np.maximum(found - slop, begin), np.minimum(found + n + slop, end)
                 for d, a, b in zip(owner[inside], low[inside] - begins[owner[inside]], high[inside] - begins[owner[inside]], strict=True):
                     names[d].update(query.items[k])
                     spans[d].append((int(a), int(b)))
@@ -222,15 +225,13 @@ def _search(query: Query, slop: int, batches: Iterator[pa.RecordBatch]) -> Itera
             ], names=["id", "rf_file", "rf_row", "n_words", "spans", "items"])
 
 
-def _within(phrase, at, lists, positions, found, slop, begins, counts, owner) -> np.ndarray:
-    """Which sloppy starts have all words in the one document."""
-    ok = np.ones(len(found), bool)
+def _within(phrase, at, lists, positions, found, slop, begin, end) -> np.ndarray:
+    """Which sloppy starts lie in a document that has all the words near them."""
+    ok = found < end
     for o, w in enumerate(phrase):
         own = positions[lists[at[w]] : lists[at[w] + 1]].astype(np.int64)
-        low = np.maximum(found + o - slop, begins[owner])
-        high = np.minimum(found + o + slop, begins[owner] + counts[owner] - 1)
-        k = np.searchsorted(own, low)
-        ok &= (k < len(own)) & (own[np.minimum(k, len(own) - 1)] <= high)
+        k = np.searchsorted(own, np.maximum(found + o - slop, begin))
+        ok &= (k < len(own)) & (own[np.minimum(k, len(own) - 1)] <= np.minimum(found + o + slop, end - 1))
     return ok
 
 
@@ -257,7 +258,7 @@ _UNION = """aggregate(array_sort(flatten(spans)), cast(array() as array<array<bi
 def search(index: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
     """Per document: id, n_words, spans (disjoint word intervals inside occurrences), items (ids
     of the items with an occurrence), rf_file, rf_row."""
-    small_batches(index.sparkSession, 4)
+    small_batches(index.sparkSession, 2)
     found, count = None, 0
     for block in blocks(benchmark, id_col, text_col, window):
         query = Query(block)
@@ -309,5 +310,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without a passage of the benchmark, with its columns."""
+    docs = filed(docs)
     gone = written(decontaminate(docs, benchmark, id_col, text_col).filter("contaminated").select("rf_file", "rf_row"), "contaminated")
     return keep_rows(docs, gone, "left_anti")

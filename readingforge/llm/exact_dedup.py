@@ -18,7 +18,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_checked, keep_rows, located, shared_path, written
+from .common import filed, join_checked, keep_rows, picked, shared_path, written
 
 #: Settings of the state store while a stream runs.
 STATE = {
@@ -93,10 +93,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row: id, keep_id, group_size, kept, digest, rf_file, rf_row.  Of equal normalised texts
     the row with the largest id stays."""
     spark = docs.sparkSession
-    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    text = normalise(text) if normalise else text
-    rows = located(docs)
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), text.alias("content"), "rf_file", "rf_row")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = picked(docs, id=F.col(id_col).cast("long"), content=normalise(text) if normalise else text)
     stream = StreamDedup(spark, state_dir or shared_path(spark, "exact-dedup"), files_per_batch)
     slim = written(rows.select("id", digest(F.col("content")).alias("digest"), "rf_file", "rf_row"), "digests")
     stream.land(slim)
@@ -136,5 +134,6 @@ def _told_apart(rows: DataFrame, out: DataFrame, clashes: DataFrame, digest) ->
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with its columns."""
+    docs = filed(docs)
     gone = written(exact_dedup(docs, id_col, text_col).filter("NOT kept").select("rf_file", "rf_row"), "copies")
     return keep_rows(docs, gone, "left_anti")

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import located, written
+from .common import picked, written
 
 #: A source's tokens are used at most so many times.
 REPEATS = 3
@@ -97,10 +97,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights: tuple[int, ...] = WEIGHTS, repeats: int = REPEATS) -> DataFrame:
     """Per row: id, source, size, source_size, target, taken.  taken counts the words of the row
     that the mix takes, repeats included: `repeats` times its size at most."""
-    rows = located(docs)
-    sizes = written(rows.select(
-        F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"),
-        word_count(F.col(text_col)).alias("size"), "rf_file", "rf_row",
+    sizes = written(picked(
+        docs, id=F.col(id_col).cast("long"), source=F.col(source_col).cast("string"), size=word_count(F.col(text_col)),
     ), "sizes")
     sources = targets(sizes.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("source_rows")), weights, repeats)

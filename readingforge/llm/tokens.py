@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, join_checked, located, shared_path, small_batches, written
+from .common import BROADCAST_ROWS, join_checked, picked, shared_path, small_batches, written
 
 #: The pre-tokenizer pattern of byte-level BPE vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -105,7 +105,7 @@ def token_counts(docs: DataFrame, path: str, ranks: str | None = None, cache_dir
     small_batches(spark)
     cache_dir, own = cache_dir or shared_path(spark, "token-cache"), version(path)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = located(docs).select(F.col(id_col).cast("long").alias("id"), (normalise(text) if normalise else text).alias("text"), "rf_file", "rf_row")
+    rows = picked(docs, id=F.col(id_col).cast("long"), text=normalise(text) if normalise else text)
     digests = written(rows.select("id", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes"), "rf_file", "rf_row"), "digests")
     misses = digests.groupBy("digest").agg(F.min(F.struct("rf_file", "rf_row")).alias("one")).join(cached(spark, cache_dir, own), "digest", "left_anti")
     wanted = written(misses.select("one.rf_file", "one.rf_row"), "misses")
