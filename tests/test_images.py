@@ -205,3 +205,55 @@ def test_tables(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "out"), header=True, escape='"', quote='"').columns == ["k", "l"]
     with pytest.raises(pairing.Violation):
         tables.write_csv(df.limit(0), str(tmp_path / "out2"), ["k"])
+
+
+# ---- whole sheets
+
+
+def sheet(shift=0.0, bend=0.0):
+    """A drawn form that fills its image, its rows pushed down by `shift` pixels, perhaps bent."""
+    from readingforge.operators import sheets as S
+
+    w, h = S.TABLE
+    image = np.full((h, w), 250, np.uint8)
+    x, y = S.bounds()
+    xs = np.arange(w)
+    for k, v in enumerate(np.linspace(y[0] + shift, h - 3, len(y))):
+        line = np.rint(v + bend * np.sin(xs / w * np.pi) * (k < len(y) - 1)).astype(int).clip(0, h - 3)
+        for t in range(3):
+            image[line + t, xs] = 30
+    for v in [*x, 2, w - 5]:
+        image[:, v : v + 3] = 30
+    image[:3] = image[-3:] = 30
+    return image
+
+
+def test_table_is_found_and_rows_are_fitted():
+    from readingforge.operators import sheets as S
+
+    page = np.full((1500, 2800), 255, np.uint8)
+    page[120:1380, 200:2600] = sheet()
+    found = S.corners(page)
+    assert np.abs(found - np.array([[200, 120], [2599, 120], [2599, 1379], [200, 1379]])).max() < 8
+    assert S.corners(np.full((400, 800), 255, np.uint8)) is None
+    x, y = S.bounds()
+    got, facts = S.fitted_rows(sheet(shift=-40), x, y)
+    want = np.linspace(y[0] - 40, S.TABLE[1] - 3, 32)
+    assert facts["reason"] is None and np.abs(got - want).max() < 5
+    same, facts = S.fitted_rows(np.full((S.TABLE[1], S.TABLE[0]), 255, np.uint8), x, y)
+    assert (same == y).all() and facts["reason"]
+
+
+def test_cells_of_a_sheet(spark):
+    from readingforge.operators import series
+    from readingforge.operators import sheets as S
+
+    df = spark.createDataFrame([("s", images.pack(sheet(bend=6.0)))], f"sheet_id string, image {images.IMAGE}")
+    fixed = S.cells(df).select("filename", "image.height", "uses_fallback_geometry").collect()
+    assert len({r.filename for r in fixed}) == 496
+    cut = S.cells(df, "calibrated").select("filename", "uses_fallback_geometry", "local_geometry_confidence").collect()
+    assert len(cut) == 496 and sum(r.uses_fallback_geometry for r in cut) < 50 and np.median([r.local_geometry_confidence for r in cut]) > 0.4
+    report = series.boundary_summary(S.boundaries(df)).collect()
+    assert {r.axis: r.boundaries for r in report} == {"horizontal": 32, "vertical": 17}
+    up = S.oriented(df).first()
+    assert up.rotation == "none" and up.confident
