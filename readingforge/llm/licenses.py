@@ -97,10 +97,10 @@ def known_pieces() -> dict[str, str]:
     return out
 
 
-def marked(low: Column) -> Column:
+def marked(low: Column, marks: list[str] = MARKS) -> Column:
     """Whether a lower-case text speaks of licences."""
     out = F.lit(False)
-    for m in MARKS:
+    for m in marks:
         out = out | F.contains(low, F.lit(m))
     return out
 
@@ -122,7 +122,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     normal = F.filter(F.transform(F.split(text, CUT), _normal), speaks)
     found = F.transform(normal, lambda s: F.coalesce(F.try_element_at(names, s), F.lit("unknown")))
     empty = F.expr("cast(array() as array<string>)")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.when(marked(F.lower(text)), found).otherwise(empty).alias("sentences"))
+    # Most texts lack the marks' words, however these are spaced, and aren't cut up.
+    words = sorted({max(m.split(" "), key=len) for m in MARKS})
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.when(marked(F.lower(text), words), found).otherwise(empty).alias("sentences"))
     # <a><b> is a sequence of identifiers, =X= a licence that took its place.
     line = F.array_join(F.transform("sentences", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), "")
     for name, rule in RULES:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import licenses, mixing
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -88,7 +88,28 @@ FROM w LEFT JOIN n USING (doc_id) JOIN low USING (doc_id)
 """
 
 
+def _licenses() -> str:
+    """Sentences are joined to the known ones, and the rules replace their sequences in order."""
+    known = ", ".join(f"('{k}', '{v}')" for k, v in licenses.known_pieces().items())
+    marks = " OR ".join(f"contains(n, '{m}')" for m in licenses.MARKS)
+    line = "line"
+    for name, rule in licenses.RULES:
+        line = f"replace({line}, '{''.join(f'<{r}>' for r in rule)}', '={name}=')"
+    names = ", ".join(f"CASE WHEN contains(line, '={n}=') THEN '{n}' END" for n in dict.fromkeys(n for n, _ in licenses.RULES))
+    return f"""
+WITH known(n, name) AS (VALUES {known}),
+parts AS (SELECT doc_id, regexp_split_to_array(text, '{licenses.CUT}') AS p FROM documents WHERE text IS NOT NULL),
+sentences AS (SELECT doc_id, i, trim(regexp_replace(lower(p[i]), '[^a-z0-9]+', ' ', 'g')) AS n FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
+named AS (SELECT doc_id, i, coalesce(known.name, 'unknown') AS name FROM sentences LEFT JOIN known USING (n) WHERE {marks}),
+lines AS (SELECT doc_id, string_agg(name, ',' ORDER BY i) AS sentences, string_agg('<' || name || '>', '' ORDER BY i) AS line, count(*) FILTER (name = 'unknown') AS n_unknown FROM named GROUP BY doc_id),
+matched AS (SELECT doc_id, sentences, n_unknown, {line} AS line FROM lines)
+SELECT doc_id, coalesce(sentences, '') AS sentences, coalesce(array_to_string(list_filter([{names}], lambda x: x IS NOT NULL), ','), '') AS licenses, coalesce(n_unknown, 0) AS n_unknown
+FROM documents LEFT JOIN matched USING (doc_id)
+"""
+
+
 SQL = {
+    "op2_license_scan": _licenses(),
     "op5_exact_dedup": OP5,
     "op8_decontamination": OP8,
     "op9_source_mix": _mix(),
