@@ -10,12 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from readingforge.llm import decontam, exact_dedup, langid, mixing, neardup
+from readingforge.llm import decontam, exact_dedup, langid, mixing, neardup, oracle
 from readingforge.llm.common import table, written
 
-#: Near copies and languages are found by methods that SQL doesn't express; the tests hold the
-#: result against a brute-force version.
-ORACLE_SQL = None
+#: A document has a language if it has a letter, and near copies are found by comparing all pairs.
+ORACLE_SQL = oracle.PIPELINE
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

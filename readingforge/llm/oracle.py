@@ -21,8 +21,9 @@ FROM (SELECT doc_id, coalesce(text, '') AS content FROM documents)
 WINDOW same AS (PARTITION BY content)
 """
 
-OP8 = f"""
-WITH d AS (SELECT doc_id, {_words("text", _ALNUM)} AS w FROM documents),
+def _leaks(docs: str = "documents") -> str:
+    return f"""
+WITH d AS (SELECT doc_id, {_words("text", _ALNUM)} AS w FROM {docs}),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_words("text", _ALNUM)} AS w FROM benchmark),
 bw AS (SELECT DISTINCT item, n, array_to_string(w[i:i + n - 1], ' ') AS g
        FROM (SELECT item, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
@@ -108,10 +109,19 @@ FROM documents LEFT JOIN matched USING (doc_id)
 """
 
 
+#: The corpus pipeline: each stage on what the one before it kept.
+PIPELINE = f"""
+WITH s1 AS (SELECT * FROM documents WHERE regexp_matches(coalesce(text, ''), '\\p{{L}}')),
+s2 AS (SELECT * FROM s1 QUALIFY doc_id = max(doc_id) OVER (PARTITION BY text)),
+s3 AS (SELECT s2.* FROM s2 JOIN ({_near("s2")}) near USING (doc_id) WHERE near.kept),
+s4 AS (SELECT s3.* FROM s3 JOIN ({_leaks("s3")}) leak USING (doc_id) WHERE NOT leak.contaminated)
+SELECT doc_id, source, size, source_size, target, taken FROM ({_mix("s4")}) mix JOIN (SELECT doc_id, source FROM s4) USING (doc_id) WHERE taken > 0
+"""
+
 SQL = {
     "op2_license_scan": _licenses(),
     "op5_exact_dedup": OP5,
-    "op8_decontamination": OP8,
+    "op8_decontamination": _leaks(),
     "op9_source_mix": _mix(),
     "op10_near_dedup": _near(),
 }
