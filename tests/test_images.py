@@ -257,3 +257,28 @@ def test_cells_of_a_sheet(spark):
     assert {r.axis: r.boundaries for r in report} == {"horizontal": 32, "vertical": 17}
     up = S.oriented(df).first()
     assert up.rotation == "none" and up.confident
+
+
+def test_two_method_benchmark(spark):
+    from readingforge.operators import benchmark
+
+    own = cell_images(spark)
+    labels = spark.createDataFrame([(f"day_01_point_{p:02d}_temperature.png", p, v, b) for p, v, b in [(1, "22.0", False), (2, "2.4", False), (3, "", True)]], "filename string, item_number int, expected_value string, expected_blank boolean")
+    out = benchmark.run(labels, {"fixed": own, "calibrated": own}, spark.createDataFrame([("s", 0.1)], "sheet_id string, drift double"), fake)
+    summary = {r.geometry_mode: r for r in out["summary"].collect()}
+    assert summary["fixed"].final_correct == summary["calibrated"].final_correct == 3 and summary["fixed"].blank_recall == 1.0
+    assert {r.outcome for r in out["comparison"].collect()} == {"both_correct"} and all(r.same_inputs for r in out["times"].collect())
+    assert {r.selected_geometry for r in out["hybrid"].collect()} == {"fixed"}
+    with pytest.raises(pairing.Violation):
+        benchmark.run(labels.limit(2), {"fixed": own, "calibrated": own}, spark.createDataFrame([("s", 0.1)], "sheet_id string, drift double"), fake)
+
+
+def test_command_line(spark, tmp_path):
+    from readingforge import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(images.encode_png(sheet()))
+    assert cli.main(["align", str(tmp_path / "in"), str(tmp_path / "out")]) == 0
+    assert {r.axis for r in spark.read.json(str(tmp_path / "out")).collect()} == {"horizontal", "vertical"}
+    with pytest.raises(SystemExit):
+        cli.main(["nothing"])
