@@ -7,11 +7,13 @@ value under each shift is one coordinate.  Four coordinates make a band.  Docume
 sets are one class; classes that share a band are candidates, and a pair is linked only if the
 full sets have 100 * intersection >= 75 * union.
 
-Buckets are never expanded into all pairs while that can be avoided.  In a star round each
-bucket's members are compared with one leader, and linked classes become one component.  A bucket
-that still holds several components goes to the next round with another leader; after the last
-star round the pairs of a bucket that lie in different components are all compared, in salted
-blocks.  Pairs within a component need no comparison, since only components are returned.
+Buckets are never expanded into all pairs.  In a star round each bucket's members are compared
+with one leader (first any, then the one with the fewest rare shingles), and linked classes become
+one component; pairs within a component need no comparison, since only components are returned.
+What is left in buckets of several components is settled exactly by shingle counts among the open
+classes: a pair can be linked only if the frequent shingles of both alone are enough, and such
+pairs are compared within their buckets, in salted blocks; or if it shares a rare shingle among the
+first of each set in the order of rarity (a prefix filter), and a rare shingle has few owners.
 
 Defined results: null and empty texts and texts without words have an empty set, stay and are
 linked with nothing; a text of fewer than five words has one shingle, all of it; equal texts are
@@ -29,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, keep_rows, located, small_batches, written
+from .common import filed, join_checked, keep_rows, picked, small_batches, written
 from .textscan import LOWER, NOT_BLANK, U, mix64, slices, text_bytes, word_hashes, words
 
 SHINGLE, PERCENT = 5, 75
 BANDS, BAND_ROWS = 32, 4
-STAR_ROUNDS = 3
 #: Members of a bucket that one task pairs with as many others.
 BLOCK = 256
+#: Open classes that have a rare shingle, at most.
+RARE = 32
 
 #: Multipliers of the second permutation (the 32-bit finaliser of MurmurHash3).
 M1, M2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
@@ -156,15 +159,49 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
-def _fits(small, large):
-    """Sets whose sizes alone rule out a link are no candidates."""
-    return 100 * F.least(small, large) >= PERCENT * F.greatest(small, large)
+def _may_link(x: str, y: str, most: str):
+    """Whether sizes allow a link, if the intersection has at most the `most` of either class."""
+    both = F.least(f"{x}.{most}", f"{y}.{most}")
+    return 100 * both >= PERCENT * (F.col(f"{x}.n") + F.col(f"{y}.n") - both)
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return members.withColumn("label", F.col("cid"))
-    return members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+def _mixed(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold several components."""
+    keys = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
+    return written(members.join(written(keys, "open-keys"), "key", "left_semi"), "open")
+
+
+def _open(members: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members of mixed buckets with label, common (shingles that another open class has) and
+    frequent (those that many have), without classes that can be linked with none; and for each
+    class its rare shingles, rarest first."""
+    marked = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    left = _mixed(written(marked, "marked"))
+    shingles = sets.join(left.select("cid").distinct(), "cid", "left_semi").select("cid", F.explode("members").alias("s"))
+    shared = written(shingles.groupBy("s").agg(F.count(F.lit(1)).alias("owners")).filter("owners > 1"), "shared-shingles")
+    rare = F.when(F.col("owners") <= RARE, F.struct("owners", "s"))
+    facts = written(shingles.join(shared, "s").groupBy("cid").agg(
+        F.count(F.lit(1)).alias("common"), F.count_if(F.col("owners") > RARE).alias("frequent"), F.sort_array(F.collect_list(rare)).alias("rare")), "facts")
+    left = left.join(facts.select("cid", "common", "frequent"), "cid").filter(100 * F.col("common") >= PERCENT * F.col("n"))
+    return _mixed(written(left, "open")), facts
+
+
+def _rest(left: DataFrame, facts: DataFrame) -> DataFrame:
+    """The pairs (x, y) of open members that may still be linked."""
+    blocks = F.ceil(F.col("in_key") / BLOCK).cast("int")
+    able = left.filter(100 * F.col("frequent") >= PERCENT * F.col("n"))
+    one = able.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+    two = able.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    apart = (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label"))
+    ends = [F.col("x.cid").alias("a"), F.col("y.cid").alias("b")]
+    by_frequent = one.alias("x").join(two.alias("y"), ["key", "block"]).filter(apart & _may_link("x", "y", "frequent")).select(*ends)
+    # A pair that frequent shingles don't suffice for shares so many rare ones at least.
+    least = F.greatest(F.lit(1), F.ceil(F.lit(PERCENT) * F.col("n") / 100) - F.col("frequent"))
+    classes = left.select("cid", "n", "label", "frequent").distinct().join(facts.select("cid", "rare"), "cid")
+    firsts = F.filter("rare", lambda r, i: i < F.size("rare") - least + 1)
+    prefix = written(classes.select("cid", "n", "label", F.explode(firsts).alias("r")).select("cid", "n", "label", "r.s"), "prefixes")
+    by_rare = prefix.alias("x").join(prefix.alias("y"), "s").filter(apart & _may_link("x", "y", "n")).select(*ends)
+    return by_frequent.unionByName(by_rare)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,7 +209,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that stays), rf_file, rf_row."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = located(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), "rf_file", "rf_row")
+    rows = picked(docs, id=F.col(id_col).cast("long"), text=F.col(text_col).cast("string"))
     sketch = written(rows.select("id", "text", "rf_file", "rf_row").mapInArrow(
         _sketch, "id bigint, rf_file string, rf_row bigint, n bigint, digest binary, bands array<bigint>"), "sketch")
     # Nulls last: a struct with a flag first orders them so.
@@ -180,39 +217,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written(sketch.filter("n > 0").groupBy("digest", "n").agg(F.min(place).alias("place"), F.first("bands").alias("bands")).withColumn(
         "cid", F.monotonically_increasing_id()), "classes")
     banded = classes.select(F.explode("bands").alias("key"), "cid", "n")
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("in_key")).filter("in_key > 1")
+    # Small tables are written before a join by key, so that the join can split a hot bucket.
+    shared = written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("in_key")).filter("in_key > 1"), "buckets")
     members = written(banded.join(shared, "key"), "members")
     chosen = written(classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "place.rf_file", "place.rf_row"), "candidates")
     sets = written(join_checked(rows.select("text", "rf_file", "rf_row"), chosen, ["rf_file", "rf_row"], "inner").select("cid", "text").mapInArrow(
         _sets, "cid bigint, members array<bigint>"), "sets")
-    labels, edges, left = None, None, members
-    for k in range(STAR_ROUNDS + 1):
-        if k < STAR_ROUNDS:
-            leader = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n", "label")).alias("leader")) if labels is not None else (
-                left.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n", F.col("cid").alias("label"))).alias("leader")))
-            own = left if labels is not None else left.withColumn("label", F.col("cid"))
-            pairs = own.join(leader, "key").filter(F.col("label") != F.col("leader.label")).filter(_fits(F.col("n"), F.col("leader.n")))
-            pairs = pairs.select(F.least("cid", "leader.cid").alias("a"), F.greatest("cid", "leader.cid").alias("b"))
+    edges, left = None, members.withColumns({"label": F.col("cid"), "common": F.col("n"), "frequent": F.col("n")})
+    for k in range(3):
+        if k < 2:
+            order = [F.xxhash64("cid")] if k == 0 else [F.col("n") - F.col("frequent"), F.xxhash64("cid")]
+            first = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "cid", "n", "label", "common"))
+            leader = written(left.groupBy("key").agg(first.alias("y")), "leaders")
+            star = left.alias("x").join(leader, "key").filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", "common"))
+            pairs = star.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
         else:
-            blocks = F.ceil(F.col("in_key") / BLOCK).cast("int")
-            one = left.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
-            two = left.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-            pairs = one.alias("x").join(two.alias("y"), ["key", "block"]).filter(
-                (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label")) & _fits(F.col("x.n"), F.col("y.n"))
-            ).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+            pairs = _rest(left, facts)
         found = linked(pairs.distinct(), sets)
         edges = written(found if edges is None else edges.unionByName(found), "edges")
         labels = components(edges)
-        if k == STAR_ROUNDS:
-            break
-        marked = _labelled(members, labels)
-        open_keys = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-        left = written(marked.join(open_keys, "key", "left_semi"), "open")
-        if not left.limit(1).count():
-            break
-    named = classes.select("digest", "n", "place", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    lowest = named.groupBy("label").agg(F.min("place").alias("lowest"))
-    named = named.join(lowest, "label").select("digest", "n", "lowest")
+        if k < 2:
+            left, facts = _open(members, labels, sets)
+            if not left.limit(1).count():
+                break
+    ends = labels.withColumnRenamed("node", "cid")
+    lowest = written(ends.join(classes.select("cid", "place"), "cid").groupBy("label").agg(F.min("place").alias("lowest")), "lowest")
+    named = classes.select("digest", "n", "place", "cid").join(ends.join(lowest, "label").select("cid", "lowest"), "cid", "left")
+    named = named.select("digest", "n", F.coalesce("lowest", "place").alias("lowest"))
     out = sketch.select("id", "n", "digest", "rf_file", "rf_row").join(named, ["digest", "n"], "left")
     out = out.withColumn("lowest", F.coalesce("lowest", place))
     return out.select(
@@ -223,5 +254,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, that with the smallest id, with the columns of `docs`."""
+    docs = filed(docs)
     gone = written(near_duplicates(docs, id_col, text_col).filter("NOT first").select("rf_file", "rf_row"), "near-copies")
     return keep_rows(docs, gone, "left_anti")
