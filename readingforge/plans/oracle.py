@@ -267,6 +267,7 @@ SELECT user_id, round(max(b), 6) AS bend, coalesce(max(b) > 0.30, false) AS too_
     "mapping_audit": VERIFIED + """, r AS (SELECT DISTINCT sheet_id, day, point FROM verified)
 SELECT r.sheet_id, r.day, r.point, k.reading_type, v.final_value AS value, v.is_blank, chr(CAST(66 + 2 * (r.point - 1) + k.o AS INT)) || (r.day + 6) AS address
 FROM r CROSS JOIN (VALUES ('temperature', 0), ('humidity', 1)) k(reading_type, o) LEFT JOIN verified v ON v.sheet_id = r.sheet_id AND v.day = r.day AND v.point = r.point AND v.reading_type = k.reading_type""",
-    "page_slice": "WITH " + READINGS + """ SELECT sheet_id, day, point, reading_type, value FROM cells WHERE sheet_id = '1995-03' ORDER BY day, point, CASE WHEN reading_type = 'temperature' THEN 0 ELSE 1 END LIMIT 40 OFFSET 80""",
+    "page_slice": "WITH " + READINGS + """, o AS (SELECT *, row_number() OVER (ORDER BY day, point, CASE WHEN reading_type = 'temperature' THEN 0 ELSE 1 END) AS k, least(3, greatest(1, ceil(count(*) OVER () / 40))) AS page
+  FROM cells WHERE sheet_id = '1995-03') SELECT sheet_id, day, point, reading_type, value FROM o WHERE k > 40 * (page - 1) AND k <= 40 * page""",
     "context_view": "WITH " + READINGS + """ SELECT sheet_id, day, point, reading_type, value FROM cells WHERE sheet_id = '1995-03' AND reading_type = 'humidity' AND (day = 10 OR (point = 4 AND day BETWEEN 8 AND 12))""",
 }
