@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.readings import let
+
 ROUNDS = 8
 KEY = "readingforge"
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -49,21 +51,22 @@ def permuted_text(value: Column, key: str, kind: str) -> Column:
     def moved(half: Column, digits: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
             n = F.conv(F.substr(digits, (i * 4) % 60 + 1, F.lit(4)), 16, 10).cast("int")
-            out = c
+            out = F.when(c == "", c)
             for a in ALPHABETS:
-                at = F.position(c, F.lit(a))
-                out = F.when((at > 0) & (c != ""), F.substr(F.lit(a), (at - 1 + n) % len(a) + 1, F.lit(1))).otherwise(out)
-            return out
+                out = out.when(c.between(a[0], a[-1]), F.substr(F.lit(a), (F.ascii(c) - ord(a[0]) + n) % len(a) + 1, F.lit(1)))
+            return out.otherwise(c)
 
         return F.array_join(F.transform(F.split(half, ""), one), "")
 
-    cut = F.floor(F.length(value) / 2).cast("int")
-    first = F.struct(F.substr(value, F.lit(1), cut).alias("a"), F.substr(value, cut + 1).alias("b"))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(ROUNDS)), first,
-        lambda s, k: F.struct(s["b"].alias("a"), moved(s["a"], keyed(key, kind, k, F.length(value), s["b"])).alias("b")),
-        lambda s: F.concat(s["a"], s["b"]),
-    )
+    def network(v: Column) -> Column:
+        cut = F.floor(F.length(v) / 2).cast("int")
+        return F.aggregate(
+            F.sequence(F.lit(1), F.lit(ROUNDS)), F.struct(F.substr(v, F.lit(1), cut).alias("a"), F.substr(v, cut + 1).alias("b")),
+            lambda s, k: F.struct(s["b"].alias("a"), let(keyed(key, kind, k, F.length(v), s["b"]), lambda d: moved(s["a"], d)).alias("b")),
+            lambda s: F.concat(s["a"], s["b"]),
+        )
+
+    return let(value, network)
 
 
 def permuted_pair(a: Column, b: Column, moduli: tuple[int, int], key: str, kind: str) -> Column:
@@ -81,11 +84,13 @@ def permuted_pair(a: Column, b: Column, moduli: tuple[int, int], key: str, kind:
 
 def luhn(digits: Column) -> Column:
     """The check digit that belongs after `digits`."""
-    n = F.length(digits)
-    total = F.aggregate(
-        F.transform(F.split(digits, ""), lambda c, i: F.when((n - i) % 2 == 1, F.when(c.cast("int") > 4, c.cast("int") * 2 - 9).otherwise(c.cast("int") * 2)).otherwise(c.cast("int"))),
-        F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
-    return ((10 - total % 10) % 10).cast("string")
+
+    def check(d: Column) -> Column:
+        twice = F.transform(F.split(F.reverse(d), ""), lambda c, i: F.when(i % 2 == 1, c.try_cast("int")).otherwise(F.when(c.try_cast("int") > 4, c.try_cast("int") * 2 - 9).otherwise(c.try_cast("int") * 2)))
+        total = F.aggregate(twice, F.lit(0), lambda s, x: s + F.coalesce(x, F.lit(0)))
+        return ((10 - total % 10) % 10).cast("string")
+
+    return let(digits, check)
 
 
 def digits_of(value: Column) -> Column:
@@ -94,11 +99,11 @@ def digits_of(value: Column) -> Column:
 
 def refilled(shape: Column, digits: Column) -> Column:
     """`shape` with its digits replaced by `digits` in order."""
-    return F.aggregate(
+    return let(digits, lambda d: F.aggregate(
         F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda s, c: F.when(c.rlike("^[0-9]$"), F.struct(F.concat(s["out"], F.substr(digits, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(
+        lambda s, c: F.when(c.between("0", "9"), F.struct(F.concat(s["out"], F.substr(d, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(
             F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))),
-        lambda s: s["out"])
+        lambda s: s["out"]))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -108,8 +113,8 @@ def _email(m: Column, key: str) -> Column:
 
 def _ip(m: Column, key: str) -> Column:
     part = F.transform(F.split(m, r"\."), lambda x: x.cast("int"))
-    p = permuted_pair(part[0] * 256 + part[1], part[2] * 256 + part[3], (65536, 65536), key, "ip")
-    out = F.concat_ws(".", F.floor(p["a"] / 256).cast("int").cast("string"), (p["a"] % 256).cast("string"), F.floor(p["b"] / 256).cast("int").cast("string"), (p["b"] % 256).cast("string"))
+    show = lambda p: F.concat_ws(".", F.floor(p["a"] / 256).cast("int").cast("string"), (p["a"] % 256).cast("string"), F.floor(p["b"] / 256).cast("int").cast("string"), (p["b"] % 256).cast("string"))
+    out = let(permuted_pair(part[0] * 256 + part[1], part[2] * 256 + part[3], (65536, 65536), key, "ip"), show)
     return F.when(F.forall(part, lambda x: x <= 255), out)
 
 
@@ -119,8 +124,8 @@ def _date(m: Column, formats: list[str], key: str) -> Column:
     for f in reversed(formats):
         day = F.try_to_timestamp(m, F.lit(f)).cast("date")
         n = F.datediff(day, F.lit("1900-01-01").cast("date"))
-        p = permuted_pair(F.floor(n / DAY_MODULI[1]), n % DAY_MODULI[1], DAY_MODULI, key, "date")
-        moved = F.date_add(F.lit("1900-01-01").cast("date"), (p["a"] * DAY_MODULI[1] + p["b"]).cast("int"))
+        days = let(permuted_pair(F.floor(n / DAY_MODULI[1]), n % DAY_MODULI[1], DAY_MODULI, key, "date"), lambda p: (p["a"] * DAY_MODULI[1] + p["b"]).cast("int"))
+        moved = F.date_add(F.lit("1900-01-01").cast("date"), days)
         out = F.when(F.year(day).between(1900, 2099), F.date_format(moved, f)).otherwise(out)
     return out
 
@@ -128,9 +133,12 @@ def _date(m: Column, formats: list[str], key: str) -> Column:
 def _ssn(m: Column, key: str) -> Column:
     a, g, s = (F.split(m, "-")[k].cast("int") for k in range(3))
     area = F.when(a < 666, a - 1).otherwise(a - 2)
-    p = permuted_pair(area * 99 + g - 1, s - 1, (898 * 99, 9999), key, "ssn")
-    new = F.floor(p["a"] / 99).cast("int")
-    out = F.format_string("%03d-%02d-%04d", F.when(new < 665, new + 1).otherwise(new + 2), (p["a"] % 99 + 1).cast("int"), (p["b"] + 1).cast("int"))
+
+    def show(p: Column) -> Column:
+        new = F.floor(p["a"] / 99).cast("int")
+        return F.format_string("%03d-%02d-%04d", F.when(new < 665, new + 1).otherwise(new + 2), (p["a"] % 99 + 1).cast("int"), (p["b"] + 1).cast("int"))
+
+    out = let(permuted_pair(area * 99 + g - 1, s - 1, (898 * 99, 9999), key, "ssn"), show)
     return F.when(a.between(1, 899) & (a != 666) & (g > 0) & (s > 0), out)
 
 
@@ -146,8 +154,8 @@ def _phone(m: Column, key: str) -> Column:
 def _card(m: Column, key: str) -> Column:
     digits = digits_of(m)
     payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    new = permuted_text(payload, key, "card")
-    return F.when(luhn(payload) == F.substr(digits, F.length(digits)), refilled(m, F.concat(new, luhn(new))))
+    new = let(permuted_text(payload, key, "card"), lambda d: F.concat(d, luhn(d)))
+    return F.when(luhn(payload) == F.substr(digits, F.length(digits)), refilled(m, new))
 
 
 def replaced(m: Column, key: str) -> Column:
@@ -157,7 +165,7 @@ def replaced(m: Column, key: str) -> Column:
         return m.rlike(f"^(?:{PATTERNS[kind]})$")
 
     def found(kind: str, value: Column) -> Column:
-        return F.struct(F.when(value.isNotNull(), F.lit(kind)).alias("kind"), F.coalesce(value, m).alias("value"))
+        return let(value, lambda v: F.struct(F.when(v.isNotNull(), F.lit(kind)).alias("kind"), F.coalesce(v, m).alias("value")))
 
     return (
         F.when(F.contains(m, F.lit("@")), found("email", _email(m, key)))
