@@ -133,6 +133,9 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
+    pairs = written(pairs.distinct(), "pairs")
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "ends")
+    sets = join_checked(sets, ends, ["cid"], "left_semi")
     a = sets.select(F.col("cid").alias("a"), F.col("members").alias("sa"))
     b = sets.select(F.col("cid").alias("b"), F.col("members").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -190,17 +193,19 @@ def _rest(left: DataFrame, facts: DataFrame) -> DataFrame:
     """The pairs (x, y) of open members that may still be linked."""
     blocks = F.ceil(F.col("in_key") / BLOCK).cast("int")
     able = left.filter(100 * F.col("frequent") >= PERCENT * F.col("n"))
+    able = written(able.join(able.groupBy("cid").agg(F.collect_set("key").alias("keys")), "cid"), "able")
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("key")  # a pair is met in one of its buckets
     one = able.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
     two = able.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     apart = (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label"))
     ends = [F.col("x.cid").alias("a"), F.col("y.cid").alias("b")]
-    by_frequent = one.alias("x").join(two.alias("y"), ["key", "block"]).filter(apart & _may_link("x", "y", "frequent")).select(*ends)
+    by_frequent = one.alias("x").join(two.alias("y"), ["key", "block"]).filter(apart & _may_link("x", "y", "frequent") & once).select(*ends)
     # A pair that frequent shingles don't suffice for shares so many rare ones at least.
     least = F.greatest(F.lit(1), F.ceil(F.lit(PERCENT) * F.col("n") / 100) - F.col("frequent"))
-    classes = left.select("cid", "n", "label", "frequent").distinct().join(facts.select("cid", "rare"), "cid")
+    classes = left.select("cid", "n", "label", "common", "frequent").distinct().join(facts.select("cid", "rare"), "cid")
     firsts = F.filter("rare", lambda r, i: i < F.size("rare") - least + 1)
-    prefix = written(classes.select("cid", "n", "label", F.explode(firsts).alias("r")).select("cid", "n", "label", "r.s"), "prefixes")
-    by_rare = prefix.alias("x").join(prefix.alias("y"), "s").filter(apart & _may_link("x", "y", "n")).select(*ends)
+    prefix = written(classes.select("cid", "n", "label", "common", F.explode(firsts).alias("r")).select("cid", "n", "label", "common", "r.s"), "prefixes")
+    by_rare = prefix.alias("x").join(prefix.alias("y"), "s").filter(apart & _may_link("x", "y", "common")).select(*ends)
     return by_frequent.unionByName(by_rare)
 
 
@@ -233,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = star.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
         else:
             pairs = _rest(left, facts)
-        found = linked(pairs.distinct(), sets)
+        found = linked(pairs, sets)
         edges = written(found if edges is None else edges.unionByName(found), "edges")
         labels = components(edges)
         if k < 2:
