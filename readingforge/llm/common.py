@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,21 +43,45 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/readingforge/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that the open `scratch` blocks remove, innermost last.
+_scopes: list[list[str]] = []
+
+
+def tracked(path: str) -> str:
+    """`path`, to be removed with the innermost scratch block, if there is one."""
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = tracked(shared_path(spark, name))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.rf_path = path
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """A block at whose end the tables written within are removed, but for those that were `kept`."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def removed(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes tables made by `written` that nothing reads any more."""
-    jvm = spark._jvm
+def kept(*tables: DataFrame) -> None:
+    """Leaves tables that a result still reads to the scratch block around, or for good."""
     for t in tables:
-        for f in {x.rsplit("/", 1)[0] for x in t.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _scopes[-1].remove(t.rf_path)
+        if len(_scopes) > 1:
+            _scopes[-2].append(t.rf_path)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filed, keep_rows, picked, small_batches, written
+from .common import filed, keep_rows, kept, picked, scratch, small_batches, written
 from .textscan import ALNUM, LOWER, same_bytes, slices, text_bytes, word_hashes, words
 
 WINDOW = 10
@@ -312,5 +312,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` without a passage of the benchmark, with its columns."""
     docs = filed(docs)
-    gone = written(decontaminate(docs, benchmark, id_col, text_col).filter("contaminated").select("rf_file", "rf_row"), "contaminated")
+    with scratch(docs.sparkSession):
+        gone = written(decontaminate(docs, benchmark, id_col, text_col).filter("contaminated").select("rf_file", "rf_row"), "contaminated")
+        kept(gone)
     return keep_rows(docs, gone, "left_anti")

@@ -18,7 +18,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filed, join_checked, keep_rows, picked, shared_path, written
+from .common import filed, join_checked, keep_rows, kept, picked, scratch, shared_path, tracked, written
 
 #: Settings of the state store while a stream runs.
 STATE = {
@@ -96,7 +96,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = picked(docs, id=F.col(id_col).cast("long"), content=normalise(text) if normalise else text)
-    stream = StreamDedup(spark, state_dir or shared_path(spark, "exact-dedup"), files_per_batch)
+    stream = StreamDedup(spark, state_dir or tracked(shared_path(spark, "exact-dedup")), files_per_batch)
     slim = written(rows.select("id", digest(F.col("content")).alias("digest"), "rf_file", "rf_row"), "digests")
     stream.land(slim)
     stream.ingest()
@@ -136,5 +136,7 @@ def _told_apart(rows: DataFrame, out: DataFrame, clashes: DataFrame, digest) ->
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with its columns."""
     docs = filed(docs)
-    gone = written(exact_dedup(docs, id_col, text_col).filter("NOT kept").select("rf_file", "rf_row"), "copies")
+    with scratch(docs.sparkSession):
+        gone = written(exact_dedup(docs, id_col, text_col).filter("NOT kept").select("rf_file", "rf_row"), "copies")
+        kept(gone)
     return keep_rows(docs, gone, "left_anti")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filed, join_checked, keep_rows, picked, small_batches, written
+from .common import filed, join_checked, keep_rows, kept, picked, scratch, small_batches, written
 from .textscan import LOWER, NOT_BLANK, U, mix64, slices, text_bytes, word_hashes, words
 
 SHINGLE, PERCENT = 5, 75
@@ -158,6 +158,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             "node", F.least("label", F.coalesce("further", "label")).alias("label"), "was"), name)
         changed = step.filter("label <> was").limit(1).count()
         labels = step.select("node", "label")
+        labels.rf_path = step.rf_path
         if not changed:
             return labels
 
@@ -215,40 +216,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     rows = picked(docs, id=F.col(id_col).cast("long"), text=F.col(text_col).cast("string"))
-    sketch = written(rows.select("id", "text", "rf_file", "rf_row").mapInArrow(
-        _sketch, "id bigint, rf_file string, rf_row bigint, n bigint, digest binary, bands array<bigint>"), "sketch")
-    # Nulls last: a struct with a flag first orders them so.
-    place = F.struct(F.col("id").isNull().alias("no_id"), "id", "rf_file", "rf_row")
-    classes = written(sketch.filter("n > 0").groupBy("digest", "n").agg(F.min(place).alias("place"), F.first("bands").alias("bands")).withColumn(
-        "cid", F.monotonically_increasing_id()), "classes")
-    banded = classes.select(F.explode("bands").alias("key"), "cid", "n")
-    # Small tables are written before a join by key, so that the join can split a hot bucket.
-    shared = written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("in_key")).filter("in_key > 1"), "buckets")
-    members = written(banded.join(shared, "key"), "members")
-    chosen = written(classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "place.rf_file", "place.rf_row"), "candidates")
-    sets = written(join_checked(rows.select("text", "rf_file", "rf_row"), chosen, ["rf_file", "rf_row"], "inner").select("cid", "text").mapInArrow(
-        _sets, "cid bigint, members array<bigint>"), "sets")
-    edges, left = None, members.withColumns({"label": F.col("cid"), "common": F.col("n"), "frequent": F.col("n")})
-    for k in range(3):
-        if k < 2:
-            order = [F.xxhash64("cid")] if k == 0 else [F.col("n") - F.col("frequent"), F.xxhash64("cid")]
-            first = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "cid", "n", "label", "common"))
-            leader = written(left.groupBy("key").agg(first.alias("y")), "leaders")
-            star = left.alias("x").join(leader, "key").filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", "common"))
-            pairs = star.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
-        else:
-            pairs = _rest(left, facts)
-        found = linked(pairs, sets)
-        edges = written(found if edges is None else edges.unionByName(found), "edges")
-        labels = components(edges)
-        if k < 2:
-            left, facts = _open(members, labels, sets)
-            if not left.limit(1).count():
-                break
-    ends = labels.withColumnRenamed("node", "cid")
-    lowest = written(ends.join(classes.select("cid", "place"), "cid").groupBy("label").agg(F.min("place").alias("lowest")), "lowest")
-    named = classes.select("digest", "n", "place", "cid").join(ends.join(lowest, "label").select("cid", "lowest"), "cid", "left")
-    named = named.select("digest", "n", F.coalesce("lowest", "place").alias("lowest"))
+    with scratch(spark):
+        sketch = written(rows.select("id", "text", "rf_file", "rf_row").mapInArrow(
+            _sketch, "id bigint, rf_file string, rf_row bigint, n bigint, digest binary, bands array<bigint>"), "sketch")
+        # Nulls last: a struct with a flag first orders them so.
+        place = F.struct(F.col("id").isNull().alias("no_id"), "id", "rf_file", "rf_row")
+        classes = written(sketch.filter("n > 0").groupBy("digest", "n").agg(F.min(place).alias("place"), F.first("bands").alias("bands")).withColumn(
+            "cid", F.monotonically_increasing_id()), "classes")
+        banded = classes.select(F.explode("bands").alias("key"), "cid", "n")
+        # Small tables are written before a join by key, so that the join can split a hot bucket.
+        shared = written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("in_key")).filter("in_key > 1"), "buckets")
+        members = written(banded.join(shared, "key"), "members")
+        chosen = written(classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "place.rf_file", "place.rf_row"), "candidates")
+        sets = written(join_checked(rows.select("text", "rf_file", "rf_row"), chosen, ["rf_file", "rf_row"], "inner").select("cid", "text").mapInArrow(
+            _sets, "cid bigint, members array<bigint>"), "sets")
+        edges, left = None, members.withColumns({"label": F.col("cid"), "common": F.col("n"), "frequent": F.col("n")})
+        for k in range(3):
+            if k < 2:
+                order = [F.xxhash64("cid")] if k == 0 else [F.col("n") - F.col("frequent"), F.xxhash64("cid")]
+                first = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "cid", "n", "label", "common"))
+                leader = written(left.groupBy("key").agg(first.alias("y")), "leaders")
+                star = left.alias("x").join(leader, "key").filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", "common"))
+                pairs = star.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
+            else:
+                pairs = _rest(left, facts)
+            found = linked(pairs, sets)
+            edges = written(found if edges is None else edges.unionByName(found), "edges")
+            labels = components(edges)
+            if k < 2:
+                left, facts = _open(members, labels, sets)
+                if not left.limit(1).count():
+                    break
+        ends = labels.withColumnRenamed("node", "cid")
+        lowest = written(ends.join(classes.select("cid", "place"), "cid").groupBy("label").agg(F.min("place").alias("lowest")), "lowest")
+        named = classes.select("digest", "n", "place", "cid").join(ends.join(lowest, "label").select("cid", "lowest"), "cid", "left")
+        named = named.select("digest", "n", F.coalesce("lowest", "place").alias("lowest"))
+        kept(sketch, classes, labels, lowest)
     out = sketch.select("id", "n", "digest", "rf_file", "rf_row").join(named, ["digest", "n"], "left")
     out = out.withColumn("lowest", F.coalesce("lowest", place))
     return out.select(
@@ -260,5 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, that with the smallest id, with the columns of `docs`."""
     docs = filed(docs)
-    gone = written(near_duplicates(docs, id_col, text_col).filter("NOT first").select("rf_file", "rf_row"), "near-copies")
+    with scratch(docs.sparkSession):
+        gone = written(near_duplicates(docs, id_col, text_col).filter("NOT first").select("rf_file", "rf_row"), "near-copies")
+        kept(gone)
     return keep_rows(docs, gone, "left_anti")
