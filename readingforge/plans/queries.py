@@ -36,7 +36,7 @@ def reading_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def reading_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = P.table(spark, sf_dir, "documents")
-    return t.select("doc_id", R.normalise(F.substring("text", 1, 400)).alias("head"), R.normalise(F.concat(F.lit("-"), F.col("doc_id").cast("string"), F.lit(",5.2-"))).alias("number"))
+    return t.select("doc_id", R.normalise(F.coalesce("text", F.lit(""))).alias("head"), R.normalise(F.concat(F.lit("-"), F.col("doc_id").cast("string"), F.lit(",5.2-"))).alias("number"))
 
 
 @query
