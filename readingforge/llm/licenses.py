@@ -2,7 +2,8 @@
 
 A text is cut into sentences (at line ends, and after full stops and the like before white space).
 A sentence is normalised to its lower-case ASCII letters and digits in single spaces.  Known
-sentences have an identifier; a sentence that speaks of licences and is not known is `unknown`.
+sentences have an identifier and are matched whole, also where they hold such an end themselves; a
+sentence that speaks of licences and is not known is `unknown`.
 The identifiers of a text in order are then matched with the licence rules in order: a rule is a
 sequence of identifiers, and what it matches is taken, so longer rules stand first.
 
@@ -81,6 +82,11 @@ MARKS = ["licen", "copyright", "rights reserved", "permission", "redistribut", "
 
 #: Ends of sentences.
 CUT = r"[.;:!?]*\s*\n\s*|[.;:!?]+\s+"
+#: The same ends in two kinds.  At a pause a known sentence may go on; at a stop only where it has one itself.
+STOP = r"(?<![.;:!?])(?=[:;]*[.!?])[.;:!?]++\s+|[.;:!?]*\s*\n\s*"
+PAUSE = r"(?<![.;:!?])[:;]++\s+"
+#: What stands for them in a normalised text.
+STOPPED, PAUSED = "\x01", "\x02"
 
 
 def normalised(sentence: str) -> str:
@@ -88,8 +94,27 @@ def normalised(sentence: str) -> str:
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in sentence.lower()).split())
 
 
+def known_sentences() -> dict[str, str]:
+    """Identifiers by normalised sentence."""
+    out = {}
+    for name, own in SENTENCES.items():
+        for s in own:
+            if out.setdefault(normalised(s), name) != name:
+                raise ValueError(f"{s!r} has two identifiers")
+    return out
+
+
+def known_pattern() -> str:
+    """Finds the known sentences, the longest first, and otherwise what stands between two ends."""
+    every = {s for own in SENTENCES.values() for s in own}
+    spelt = {f"[ {STOPPED}{PAUSED}]".join(f"[ {PAUSED}]".join(normalised(p).split()) for p in re.split(STOP, s)) for s in every}
+    known = "|".join(sorted(spelt, key=lambda x: (-len(x), x)))
+    return f"(?:{known})(?![^{STOPPED}{PAUSED}])|[^{STOPPED}{PAUSED}]+"
+
+
 def known_pieces() -> dict[str, str]:
-    """Identifiers by normalised sentence; where the cut divides a sentence, by its longest piece."""
+    """For the SQL only, which knows a divided sentence by its longest piece: identifiers by piece.
+    Sentences that share that piece (those of SPDX) overwrite each other here."""
     out = {}
     for name, own in SENTENCES.items():
         for s in own:
@@ -105,21 +130,25 @@ def marked(low: Column, marks: list[str] = MARKS) -> Column:
     return out
 
 
-def _normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+def _normal(text: Column) -> Column:
+    """The lower-case letters and digits of a text, with its ends of sentences."""
+    ends = F.regexp_replace(F.regexp_replace(F.translate(text, STOPPED + PAUSED, "  "), STOP, STOPPED), PAUSE, PAUSED)
+    spaced = F.regexp_replace(F.lower(ends), f"[^a-z0-9{STOPPED}{PAUSED}]+", " ")
+    return F.trim(F.regexp_replace(spaced, f" ?([{STOPPED}{PAUSED}]) ?", "$1"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, sentences (identifiers in order), licenses (in order of the rules), n_unknown."""
     text = F.col(text_col).cast("string")
-    known = known_pieces()
+    known = known_sentences()
     wanted = [x for x in known if not any(m in x for m in MARKS)]
     names = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
 
     def speaks(s: Column) -> Column:
         return marked(s) | s.isin(wanted) if wanted else marked(s)
 
-    normal = F.filter(F.transform(F.split(text, CUT), _normal), speaks)
+    pieces = F.regexp_extract_all(_normal(text), F.lit(known_pattern()), F.lit(0))
+    normal = F.filter(F.transform(pieces, lambda s: F.translate(s, STOPPED + PAUSED, "  ")), speaks)
     found = F.transform(normal, lambda s: F.coalesce(F.try_element_at(names, s), F.lit("unknown")))
     empty = F.expr("cast(array() as array<string>)")
     # Most texts lack the marks' words, however these are spaced, and aren't cut up.

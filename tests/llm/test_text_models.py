@@ -98,6 +98,26 @@ def test_known_sentences_are_marked():
     assert {r for _, rule in licenses.RULES for r in rule} <= set(licenses.SENTENCES)
 
 
+def test_divided_licence_sentences(spark):
+    ids = [(own[-1], name) for name, own in licenses.SENTENCES.items() if own[-1].startswith("SPDX")]
+    of = {rule[0]: name for name, rule in licenses.RULES if len(rule) == 1}
+    free = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+    rows = [(k, f"# {text}\nimport os\n", of[name], 0) for k, (text, name) in enumerate(ids)]
+    rows += [
+        (20, "SPDX-License-Identifier: Zlib", "", 1), (21, "SPDX-License-Identifier: MIT AND Zlib", "", 1), (22, "/* SPDX-License-Identifier: MIT */", "MIT", 0),
+        (23, free.format(":", ",", 3), "GPL-3.0-or-later", 0), (24, free.format(":", ";", 3), "GPL-3.0-or-later", 0), (25, free.format(";", ";", 2), "GPL-2.0-or-later", 0),
+        (26, free.format(";", ";", 4), "", 2), (27, "Licensed under the MIT. License", "", 2), (28, "\x01Released under\x02the MIT License\x01", "MIT", 0),
+    ]
+    got = licenses.scan(cases.docs(spark, [(i, t, "en", "s") for i, t, _, _ in rows])).collect()
+    assert sorted((r.id, ",".join(r.licenses), r.n_unknown) for r in got) == sorted((i, x, n) for i, _, x, n in rows)
+    assert len(ids) == 10 and len(set(of[name] for _, name in ids)) == 10
+
+
+def test_no_two_identifiers_share_a_sentence():
+    spelt = [(licenses.normalised(s), name) for name, own in licenses.SENTENCES.items() for s in own]
+    assert dict(spelt) == licenses.known_sentences() and len(set(spelt)) == len(licenses.known_sentences())
+
+
 # ---- quality
 
 
