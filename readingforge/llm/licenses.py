@@ -2,8 +2,9 @@
 
 A text is cut into sentences (at line ends, and after full stops and the like before white space).
 A sentence is normalised to its lower-case ASCII letters and digits in single spaces.  Known
-sentences have an identifier and are matched whole, also where they hold such an end themselves; a
-sentence that speaks of licences and is not known is `unknown`.
+sentences and headings have an identifier and are matched whole, also where they hold such an end
+themselves or are wrapped, in comments too; a sentence that speaks of licences and is not known is
+`unknown`, and where it is wrapped, each of its lines that does.
 The identifiers of a text in order are then matched with the licence rules in order: a rule is a
 sequence of identifiers, and what it matches is taken, so longer rules stand first.
 
@@ -56,6 +57,20 @@ SENTENCES = {
     "reserved": ["All rights reserved"],
 }
 
+# Headings of licence files, which are known as sentences are.
+HEADINGS = {
+    "apache-ref": ["Apache License Version 2.0, January 2004"],
+    "mit-ref": ["MIT License"],
+    "isc-ref": ["ISC License", "The ISC License"],
+    "bsd2-ref": ["BSD 2-Clause License", "The BSD 2-Clause License"],
+    "bsd3-ref": ["BSD 3-Clause License", "The BSD 3-Clause License"],
+    "gpl2-ref": ["GNU General Public License Version 2, June 1991"],
+    "gpl3-ref": ["GNU General Public License Version 3, 29 June 2007"],
+    "agpl3-ref": ["GNU Affero General Public License Version 3, 19 November 2007"],
+    "lgpl3-ref": ["GNU Lesser General Public License Version 3, 29 June 2007"],
+    "mpl2-ref": ["Mozilla Public License Version 2.0"],
+}
+
 # The licence rules, matched in this order.
 RULES = [
     ("Apache-2.0", ["apache-ref", "apache-use", "apache-copy", "apache-asis", "apache-see"]),
@@ -76,6 +91,8 @@ RULES = [
     ("CC-BY-NC-4.0", ["cc-by-nc-ref"]), ("CC-BY-ND-4.0", ["cc-by-nd-ref"]), ("Unlicense", ["unlicense"]),
     ("proprietary", ["reserved"]),
 ]
+#: After them, the rules of names that only headings have.
+HEADING_RULES = [("ISC", ["isc-ref"])]
 
 #: Every known sentence holds one of these, and a sentence that holds one speaks of licences.
 MARKS = ["licen", "copyright", "rights reserved", "permission", "redistribut", "permitted", "public domain", "warrant", "copy of the", "prior written"]
@@ -83,8 +100,9 @@ MARKS = ["licen", "copyright", "rights reserved", "permission", "redistribut", "
 #: Ends of sentences.
 CUT = r"[.;:!?]*\s*\n\s*|[.;:!?]+\s+"
 #: The same ends in two kinds.  At a pause a known sentence may go on; at a stop only where it has one itself.
-STOP = r"(?<![.;:!?])(?=[:;]*[.!?])[.;:!?]++\s+|[.;:!?]*\s*\n\s*"
-PAUSE = r"(?<![.;:!?])[:;]++\s+"
+#: A line's end is a pause, so that known sentences may be wrapped; a blank line is a stop.
+STOP = r"(?<![.;:!?])(?=[:;]*[.!?])[.;:!?]++\s+|(?<!\s)[^\S\n]*\n[^\S\n]*\n\s*"
+PAUSE = r"(?<![.;:!?])[:;]++\s+|(?<!\s)\s*\n\s*"
 #: What stands for them in a normalised text.
 STOPPED, PAUSED = "\x01", "\x02"
 
@@ -97,7 +115,7 @@ def normalised(sentence: str) -> str:
 def known_sentences() -> dict[str, str]:
     """Identifiers by normalised sentence."""
     out = {}
-    for name, own in SENTENCES.items():
+    for name, own in [*SENTENCES.items(), *HEADINGS.items()]:
         for s in own:
             if out.setdefault(normalised(s), name) != name:
                 raise ValueError(f"{s!r} has two identifiers")
@@ -106,7 +124,7 @@ def known_sentences() -> dict[str, str]:
 
 def known_pattern() -> str:
     """Finds the known sentences, the longest first, and otherwise what stands between two ends."""
-    every = {s for own in SENTENCES.values() for s in own}
+    every = {s for own in [*SENTENCES.values(), *HEADINGS.values()] for s in own}
     spelt = {f"[ {STOPPED}{PAUSED}]".join(f"[ {PAUSED}]".join(normalised(p).split()) for p in re.split(STOP, s)) for s in every}
     known = "|".join(sorted(spelt, key=lambda x: (-len(x), x)))
     return f"(?:{known})(?![^{STOPPED}{PAUSED}])|[^{STOPPED}{PAUSED}]+"
@@ -134,7 +152,9 @@ def _normal(text: Column) -> Column:
     """The lower-case letters and digits of a text, with its ends of sentences."""
     ends = F.regexp_replace(F.regexp_replace(F.translate(text, STOPPED + PAUSED, "  "), STOP, STOPPED), PAUSE, PAUSED)
     spaced = F.regexp_replace(F.lower(ends), f"[^a-z0-9{STOPPED}{PAUSED}]+", " ")
-    return F.trim(F.regexp_replace(spaced, f" ?([{STOPPED}{PAUSED}]) ?", "$1"))
+    ends = F.regexp_replace(spaced, f" ?([{STOPPED}{PAUSED}]) ?", "$1")
+    # Lines with signs only, as comments have them, are blank.
+    return F.trim(F.regexp_replace(ends, f"{PAUSED}{{2,}}", STOPPED))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,7 +176,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.when(marked(F.lower(text), words), found).otherwise(empty).alias("sentences"))
     # <a><b> is a sequence of identifiers, =X= a licence that took its place.
     line = F.array_join(F.transform("sentences", lambda s: F.concat(F.lit("<"), s, F.lit(">"))), "")
-    for name, rule in RULES:
+    for name, rule in RULES + HEADING_RULES:
         line = F.replace(line, F.lit("".join(f"<{r}>" for r in rule)), F.lit(f"={name}="))
     rows = rows.withColumn("line", line)
     order = list(dict.fromkeys(name for name, _ in RULES))

@@ -3,6 +3,7 @@ import datetime
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -113,8 +114,28 @@ def test_divided_licence_sentences(spark):
     assert len(ids) == 10 and len(set(of[name] for _, name in ids)) == 10
 
 
+def test_wrapped_licence_files(spark):
+    of = lambda *names: [licenses.SENTENCES[n][0] for n in names]
+    mit, apache = of("mit-grant", "mit-notice", "mit-asis"), [", ".join(of("apache-ref", "apache-use")).replace("2.0,", '2.0 (the "License");'), of("apache-copy")[0] + "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n", *of("apache-asis", "apache-see")]
+    bsd = of("bsd-grant") + [f"{k}. {x}" for k, x in enumerate(of("bsd-source", "bsd-binary", "bsd-names"), 1)]
+    bare = [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Some One\n\n", mit), ("BSD-3-Clause", "Copyright 2020 Some One\n\n", bsd), ("BSD-2-Clause", "", bsd[:3]), ("ISC", "ISC License\n\n", of("isc-grant")),
+        ("Apache-2.0", "Copyright 2020 Some One\n\n", apache), ("GPL-3.0-or-later", "", of("gpl-free", "gpl-hope")), ("GPL-2.0-or-later", "", of("gpl2-free", "gpl-hope")), ("MPL-2.0", "", of("mpl2-ref")),
+    ]
+    fill = lambda part, width: part if part.endswith("\n") else textwrap.fill(part + ".", width)
+    files = [(name, head + "\n\n".join(fill(x, width) for x in parts) + "\n") for name, head, parts in bare for width in (40, 72, 80)]
+    files += [(name, "\n".join(f"{sign} {line}".rstrip() for line in text.split("\n"))) for sign in ("#", " *", "//") for name, text in files]
+    files += [(name, text.replace("\n", "\r\n")) for name, text in files[:24]]
+    heads = [("MIT", "MIT License\n\nprose"), ("ISC", "The ISC License"), ("BSD-3-Clause", "# BSD 3-Clause License"), ("Apache-2.0", "            Apache License\n      Version 2.0, January 2004\n"), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007")]
+    apart = [("", "Released under the MIT\n\nLicense"), ("", "Released under the MIT\n #\n# License"), ("", "Released under the MIT.\nLicense"), ("MIT", "no stop here\nReleased under\nthe MIT License\nno stop there")]
+    every = [(k, text, name) for k, (name, text) in enumerate(files + heads + apart)]
+    got = {r.id: r for r in licenses.scan(cases.docs(spark, [(k, text, "en", "s") for k, text, _ in every])).collect()}
+    assert [(k, ",".join(got[k].licenses)) for k, _, _ in every] == [(k, name) for k, _, name in every]
+    assert [got[k].sentences for k in range(3)] == [["mit-ref", "unknown", "mit-grant", "mit-notice", "mit-asis"]] * 3
+
+
 def test_no_two_identifiers_share_a_sentence():
-    spelt = [(licenses.normalised(s), name) for name, own in licenses.SENTENCES.items() for s in own]
+    spelt = [(licenses.normalised(s), name) for every in (licenses.SENTENCES, licenses.HEADINGS) for name, own in every.items() for s in own]
     assert dict(spelt) == licenses.known_sentences() and len(set(spelt)) == len(licenses.known_sentences())
 
 
