@@ -1,7 +1,8 @@
 """Secret scans: a random forest removes false positives among candidates, in DataFrame
 expressions and Spark's own forest only.
 
-A candidate is a run of at least twelve letters, digits and signs of encodings that has a digit (or begins as a key id does).
+A candidate is a run of at least twelve letters, digits and signs of encodings that has a digit (or begins as a key id does); the
+whole run is the candidate, however long it is.
 Its features: length, character transitions (changes between kinds of characters, distinct
 characters, shares of digits and capitals, hexadecimal or not), dictionary coverage (the share of
 its characters in common words), path (whether the document's path speaks of tests or examples),
@@ -20,7 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=AKIA[A-Z]{16}|[A-Za-z+/_-]{0,256}[0-9])[A-Za-z0-9+/_-]{12,512}+={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=AKIA[A-Z]{16}|[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
 BEFORE = rf"(?:([A-Za-z_]+)[^A-Za-z0-9\n]{{1,4}})?(?:{CANDIDATE})"
 AFTER = rf"(?:{CANDIDATE})(?=(?:[^A-Za-z0-9\n]{{1,4}}([A-Za-z_]+))?)"
 

@@ -306,6 +306,14 @@ def test_secrets(spark):
     assert [(r.n, r.candidate, r.before) for r in two] == [(0, "a1b2c3d4e5f60718293a", "token"), (1, "a1b2c3d4e5f60718293a", "token")]
 
 
+def test_candidates_are_whole_runs(spark):
+    runs = ["a1B2+/c3" * 200, "x" * 300 + "7", "y" * 5000 + "/8" + "z" * 5000 + "==", "q" * 2000, "k3" * 256 + "m", "b4" * 50_000]
+    docs = cases.docs(spark, [(k, f"the key = {x} commit done", "en", "s") for k, x in enumerate(runs)] + [(9, f"sha {runs[0]} and {runs[1]}: id", "en", "s")])
+    got = sorted((r.id, r.n, r.candidate, r.before, r.after) for r in secrets.candidates(docs).collect())
+    assert got == [(k, 0, x, "key", "commit") for k, x in enumerate(runs) if k != 3] + [(9, 0, runs[0], "sha", "and"), (9, 1, runs[1], "and", "id")]
+    assert {r.length for r in secrets.scan(docs, secrets.train(secrets.sample_findings(spark))).select(F.length("candidate").alias("length")).collect()} == {len(x) for x in runs if "q" not in x}
+
+
 def test_forest_on_held_out_findings(spark):
     every = secrets.sample_findings(spark, 4000).withColumn("part", F.pmod(F.xxhash64("candidate"), F.lit(5)))
     model = secrets.train(every.filter("part > 0"))
