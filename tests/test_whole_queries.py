@@ -1,5 +1,7 @@
 """Queries over all of their rows: fixtures whose rows a prefix or a filter would leave out."""
 
+import datetime
+
 from readingforge.plans import queries
 
 
@@ -23,3 +25,29 @@ def test_normalize_reads_whole_texts(spark, tmp_path):
     written(spark.createDataFrame(rows, "doc_id bigint, text string"), tmp_path, "documents")
     got = {r.doc_id: r.head for r in queries.reading_normalize(spark, str(tmp_path)).collect()}
     assert got == {i: normalised(t) for i, t in rows}
+
+
+def month(spark, folder):
+    """Day d of January 1995 has all cells and one order, 3d if d is a multiple of five (so that it is not
+    confirmed) and 3d + 1 if not.  Returns the cells of the patches by order."""
+    orders = [(o, o % 8, datetime.date(1995, 1, d)) for d in range(1, 21) for o in [3 * d + (0 if d % 5 == 0 else 1)]]
+    written(spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderdate date"), folder, "orders")
+    lines = [(datetime.date(1995, 1, d), p, k, 20.0) for d in range(1, 21) for p in range(8) for k in (1, 2)]
+    written(spark.createDataFrame(lines, "l_shipdate date, l_suppkey bigint, l_linenumber int, l_quantity double"), folder, "lineitem")
+    return {o: (day.day, cust % 8 + 1, "temperature" if o % 2 == 0 else "humidity") for o, cust, day in orders}
+
+
+def test_next_day_of_all_confirmed_days(spark, tmp_path):
+    done = sorted({d for o, (d, _, _) in month(spark, tmp_path).items() if o % 3})
+    got = sorted((r.day, r.next, r.previous) for r in queries.next_day(spark, str(tmp_path)).collect())
+    ahead = lambda day: next(d for d in [(day + k - 1) % 31 + 1 for k in range(1, 32)] if d not in done)
+    assert got == [(d, ahead(d), max(d - 1, 1)) for d in done] and {d % 2 for d in done} == {0, 1}
+
+
+def test_every_patch_invalidates_its_day(spark, tmp_path):
+    orders = month(spark, tmp_path)
+    done = {d for o, (d, _, _) in orders.items() if o % 3}
+    touched = {r.day for r in queries.apply_patches(spark, str(tmp_path)).collect() if r.touched}
+    # Without the days that only patches of other numbers than multiples of 16 touch, more days were left.
+    assert done & {d for o, (d, _, _) in orders.items() if d in touched and o % 16}
+    assert {r.day for r in queries.invalidated_days(spark, str(tmp_path)).collect()} == done - touched
