@@ -157,7 +157,7 @@ def label_template(identities: DataFrame, existing: DataFrame, trusted: DataFram
 
 
 def label_errors(rows: DataFrame, identities: DataFrame) -> DataFrame:
-    """All that is wrong with a set of labels: filename, error."""
+    """All that is wrong with a set of labels: filename, error.  Labels of several sheets are named sheet__filename."""
     from ..functions import readings as R
 
     error = lambda df, text: df.select("filename", F.lit(text).alias("error"))

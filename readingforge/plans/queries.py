@@ -214,9 +214,11 @@ def label_template(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def label_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = P.spelled(spark, sf_dir).filter("sheet_id = '1995-03'")
-    cells = rows.filter("mark % 19 <> 0").select("filename", "reading_type", F.col("text").alias("expected_value"), (F.col("mark") % 11 == 0).alias("expected_blank"))
-    return metrics.label_errors(cells, pairing.grid(spark).select("filename"))
+    name = F.concat_ws("__", "sheet_id", "filename").alias("filename")
+    rows = P.spelled(spark, sf_dir)
+    labels = rows.select(name, "reading_type", F.col("text").alias("expected_value"), (F.col("mark") % 11 == 0).alias("expected_blank"))
+    sheets = rows.select("sheet_id").distinct()
+    return metrics.label_errors(labels, sheets.crossJoin(F.broadcast(pairing.grid(spark).select("filename"))).select(name))
 
 
 def _series(spark: SparkSession, sf_dir: str) -> DataFrame:

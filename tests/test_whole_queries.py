@@ -51,3 +51,27 @@ def test_every_patch_invalidates_its_day(spark, tmp_path):
     # Without the days that only patches of other numbers than multiples of 16 touch, more days were left.
     assert done & {d for o, (d, _, _) in orders.items() if d in touched and o % 16}
     assert {r.day for r in queries.invalidated_days(spark, str(tmp_path)).collect()} == done - touched
+
+
+def test_labels_of_every_sheet_are_checked(spark, tmp_path):
+    """Two sheets; the missing labels are four planted ones and those of a day that one month lacks."""
+    cells = {(m, d, p, k) for m in (3, 4) for d in range(1, 32 - (m == 4)) for p in range(1, 9) for k in (1, 2)}
+    gone = {(3, 5, 1, 1), (3, 9, 8, 2), (4, 1, 1, 2), (4, 30, 4, 1)}
+    lines = [(datetime.date(1995, m, d), p - 1, k, 70.0) for m, d, p, k in sorted(cells - gone)]
+    written(spark.createDataFrame(lines, "l_shipdate date, l_suppkey bigint, l_linenumber int, l_quantity double"), tmp_path, "lineitem")
+    want = []
+    for m in (3, 4):
+        for d, p, k in [(d, p, k) for d in range(1, 32) for p in range(1, 9) for k in (1, 2)]:
+            kind = "temperature" if k == 2 else "humidity"
+            name = f"1995-{m:02}__day_{d:02}_point_{p:02}_{kind}.png"
+            mark = 7 * d + 3 * p + m + (k == 2)
+            if (m, d, p, k) not in cells - gone:
+                want.append((name, "missing"))
+            elif mark % 11 == 0 and mark % 13 != 2:
+                want.append((name, "value and blank"))
+            elif mark % 11 and mark % 13 == 2:
+                want.append((name, "no label"))
+            elif mark % 11 and (mark % 13 in (0, 1) or kind == "temperature"):
+                want.append((name, "invalid value"))
+    got = [(r.filename, r.error) for r in queries.label_errors(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and {x[0][:7] for x in got} == {"1995-03", "1995-04"}
