@@ -10,8 +10,9 @@ alphabets by a keyed hash of the other half.  Numbers with odd ranges: the range
 two moduli, and in each round one residue is shifted by a keyed hash of the other.
 
 Defined results: a null text stays null and has no values, an empty one stays empty; candidates
-that are not valid (check digit, ranges, calendar) stay as they are; repeated rows are rows of
-their own; other columns of the input are not returned.
+that are not valid (check digit, ranges, calendar, an e-mail name without letters and digits) stay
+as they are and have no kind; repeated rows are rows of their own; other columns of the input are
+not returned.
 """
 
 from __future__ import annotations
@@ -106,9 +107,19 @@ def refilled(shape: Column, digits: Column) -> Column:
         lambda s: s["out"]))
 
 
+def _shifted(c: Column, key: str, kind: str) -> Column:
+    """One letter or digit, moved within its alphabet by a keyed number of places that is never none."""
+    n = F.conv(F.substr(keyed(key, kind, F.lit(0)), F.lit(1), F.lit(12)), 16, 10).cast("long")
+    out = F.lit(None).cast("string")
+    for a in ALPHABETS:
+        out = F.when(c.between(a[0], a[-1]), F.substr(F.lit(a), ((F.ascii(c) - ord(a[0]) + 1 + n % (len(a) - 1)) % len(a) + 1).cast("int"), F.lit(1))).otherwise(out)
+    return out
+
+
 def _email(m: Column, key: str) -> Column:
     name, rest = F.substring_index(m, "@", 1), F.concat(F.lit("@"), F.substring_index(m, "@", -1))
-    return F.when(F.length(name) > 1, F.concat(permuted_text(name, key, "email"), rest)).otherwise(m)
+    new = F.when(F.length(name) > 1, permuted_text(name, key, "email")).otherwise(_shifted(name, key, "email"))
+    return F.when(name.rlike("[A-Za-z0-9]"), F.concat(new, rest))
 
 
 def _ip(m: Column, key: str) -> Column:

@@ -288,6 +288,16 @@ def test_pseudonyms_of_edge_rows(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
 
 
+def test_email_names_of_one_character(spark):
+    names = [c for a in pii.ALPHABETS for c in a]
+    rows = [(k, f"to {c}@example.com.") for k, c in enumerate(names)] + [(100, "to _@example.com and +-@example.com")]
+    got = {r.id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    new = [got[k].text.removeprefix("to ").removesuffix("@example.com.") for k in range(len(names))]
+    assert all(len(a) == 1 and a != b and next(x for x in pii.ALPHABETS if a in x) == next(x for x in pii.ALPHABETS if b in x) for a, b in zip(new, names, strict=True))
+    assert sorted(new) == sorted(names) and all([v.kind for v in got[k]["values"]] == ["email"] for k in range(len(names)))
+    assert got[100].text == rows[-1][1] and not got[100]["values"]
+
+
 # ---- secrets
 
 
