@@ -27,7 +27,8 @@ from .textscan import U, slices, text_bytes
 PROFILE = 300
 #: Documents that a language is learned from, about: the bound of the training sample.
 TRAIN_DOCS = 1500
-#: Symbols: 0 word bound, 1 a letter that no profile has, then the letters of the profiles.
+#: Symbols: 0 word bound, 1 a letter that no profile has, then the letters of the profiles.  Bits of
+#: a symbol, if that is enough for the letters.
 SYMBOL_BITS = 10
 #: Bits of a count while a document's n-grams are ranked.
 COUNT_BITS = 22
@@ -93,24 +94,29 @@ class Profiles:
         self.langs = sorted({lang for lang, _, _ in rows})
         mask = (1 << _WIDE) - 1
         parts = {c: ((c >> 2) >> (2 * _WIDE) & mask, (c >> 2) >> _WIDE & mask, (c >> 2) & mask) for _, c, _ in rows}
-        alphabet = sorted({s for p in parts.values() for s in p if s})[: (1 << SYMBOL_BITS) - 2]
-        self.codes = np.ones(0x110000, np.uint16)
+        alphabet = sorted({s for p in parts.values() for s in p if s})
+        self.bits = max(SYMBOL_BITS, (len(alphabet) + 1).bit_length())
+        self.codes = np.ones(0x110000, np.uint16 if self.bits <= 16 else np.uint32)
         self.codes[alphabet] = np.arange(2, len(alphabet) + 2)
         small = {s: k + 2 for k, s in enumerate(alphabet)} | {0: 0}
         table: dict[int, np.ndarray] = {}
         for lang, c, rank in rows:
             a, b, d = (small.get(s, 1) for s in parts[c])
-            code = (a << 2 * SYMBOL_BITS | b << SYMBOL_BITS | d) << 2 | c & 3
+            code = (a << 2 * self.bits | b << self.bits | d) << 2 | c & 3
             table.setdefault(code, np.full(len(self.langs), -1))[self.langs.index(lang)] = rank
         self.known = np.array(sorted(table), np.uint64)
         self.ranks = np.array([table[int(c)] for c in self.known]) if table else np.zeros((0, 0))
 
     def distances(self, texts: list[str], length: int = PROFILE) -> tuple[np.ndarray, np.ndarray]:
         """Of each text: its distance to each language and the largest it could have; 0 for no letters."""
+        code_bits = U(3 * self.bits + 2)
+        room = 1 << (64 - int(code_bits))  # documents that have a number beside a code
+        if len(texts) > room:
+            parts = [self.distances(texts[i : i + room], length) for i in range(0, len(texts), room)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         stream, begins = symbols(texts, self.codes)
-        at, codes = grams(stream, SYMBOL_BITS)
+        at, codes = grams(stream, self.bits)
         doc = np.searchsorted(begins, at, "right").astype(np.uint64) - U(1)
-        code_bits = U(3 * SYMBOL_BITS + 2)
         keys = np.sort((doc << code_bits) | codes)
         new = np.ones(len(keys), bool)
         new[1:] = keys[1:] != keys[:-1]

@@ -63,6 +63,19 @@ def test_languages_against_plain_profiles(spark):
     assert all(got[i].lang_pred == ["en", "de", "zh"][i % 3] for i, *_ in rows)
 
 
+@pytest.mark.parametrize("n", [1021, 1022, 1023, 5000, 70_000])
+def test_no_learned_letter_is_merged(n):
+    letters = [c for c in np.flatnonzero(langid.letters()).tolist() if chr(c).lower() == chr(c)][:n]
+    own = {"high": letters[-2:], "low": letters[:2]}
+    rows = [("all", (c << 40) << 2, 299) for c in letters] + [(name, (c << 40) << 2, k) for name, two in own.items() for k, c in enumerate(two)]
+    got = langid.Profiles(rows)
+    assert len(set(got.codes[letters].tolist())) == n == len(got.known) and got.codes.min() == 1 and got.codes[letters].min() == 2
+    texts = ["".join(map(chr, two)) for two in own.values()] * 300
+    assert got.predict(texts)[0] == list(own) * 300
+    far, most = got.distances(texts)
+    assert (far == np.tile(far[:2], (300, 1))).all() and (most == np.tile(most[:2], 300)).all()
+
+
 def test_languages_of_edge_rows(spark):
     docs = cases.docs(spark, cases.edge_rows())
     got = langid.identify(docs, langid.learn(cases.docs(spark, lang_rows()))).collect()
