@@ -99,13 +99,13 @@ hy AS (SELECT *, value_disagreement OR blank_disagreement OR blocking_disagreeme
 
 SERIES = "WITH s AS (SELECT user_id, event_id, round(value, 2) AS value FROM events)"
 
-def _patched(keep: str = "true") -> str:
+def _patched() -> str:
     """Cells folded over their patches one by one: st has a row for each cell and step."""
     return "WITH RECURSIVE " + RESULTS + "," + f"""
 pt0 AS (SELECT strftime(o_orderdate, '%Y-%m') AS sheet_id, CAST(o_orderkey AS INT) AS seq, printf('day_%02d_point_%02d_%s.png', day(o_orderdate), o_custkey % 8 + 1, CASE WHEN o_orderkey % 2 = 0 THEN 'temperature' ELSE 'humidity' END) AS filename,
   o_orderkey % 4 < 2 AS has_value, CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey % 60) || '.' || (o_orderkey % 10) WHEN 1 THEN CAST(o_orderkey % 600 AS VARCHAR) END AS v,
   CASE o_orderkey % 7 WHEN 0 THEN true WHEN 1 THEN false END AS pb, CASE WHEN o_orderkey % 3 = 0 THEN true END AS pv FROM orders),
-pt AS (SELECT *, row_number() OVER (PARTITION BY sheet_id, filename ORDER BY seq) AS k FROM pt0 WHERE {keep}),
+pt AS (SELECT *, row_number() OVER (PARTITION BY sheet_id, filename ORDER BY seq) AS k FROM pt0),
 st AS (
   SELECT sheet_id, filename, reading_type, day, CAST(0 AS BIGINT) AS k, CAST(NULL AS INT) AS seq, text AS value, is_blank AS blank, human_verified AS verified, false AS changed, false AS touched, CAST(NULL AS VARCHAR) AS error FROM results
   UNION ALL
@@ -127,7 +127,7 @@ SELECT sheet_id, day, point, reading_type, value, CAST(context_size AS INT) AS c
 SELECT sheet_id, day, point, reading_type, normalized_value, num AS numeric_value, format_is_valid, within_absolute_limits, error FROM v""",
     "reading_normalize": r"""
 WITH raw AS (SELECT doc_id, regexp_replace(translate(coalesce(x, ''), 'OoQIl|,·•_', '000111....'), '[^0-9.\-]', '', 'g') AS t, k FROM
-  (SELECT doc_id, substr(text, 1, 400) AS x, 1 AS k FROM documents UNION ALL SELECT doc_id, '-' || doc_id || ',5.2-', 2 FROM documents)),
+  (SELECT doc_id, text AS x, 1 AS k FROM documents UNION ALL SELECT doc_id, '-' || doc_id || ',5.2-', 2 FROM documents)),
 dig AS (SELECT *, replace(t, '-', '') AS d FROM raw),
 one AS (SELECT doc_id, k, CASE WHEN t LIKE '-%' THEN '-' ELSE '' END || CASE WHEN contains(d, '.') THEN split_part(d, '.', 1) || '.' || replace(substr(d, strpos(d, '.') + 1), '.', '') ELSE d END AS n FROM dig)
 SELECT doc_id, max(n) FILTER (k = 1) AS head, max(n) FILTER (k = 2) AS number FROM one GROUP BY doc_id""",
@@ -199,7 +199,7 @@ u AS (SELECT f.*, 31 - (SELECT count(*) FROM confirmed c WHERE c.sheet_id = f.sh
 SELECT *, unconfirmed_days + blocking_cells + unverified_confirmations + invalid_values + blocked_cells + mismatch_rows = 0 AS ready FROM u""",
     "day_confirmable": "WITH " + RESULTS.replace("mark % 5 = 0 AS human_verified", "true AS human_verified") + _verified() + """
 SELECT sheet_id, day, count(*) = 16 AND bool_and(format_is_valid AND within_absolute_limits AND NOT blocks_export AND NOT has_blank_mismatch) AS confirmable FROM verified GROUP BY ALL""",
-    "next_day": "WITH " + CONFIRMED + """, cur AS (SELECT * FROM confirmed WHERE day % 2 = 1),
+    "next_day": "WITH " + CONFIRMED + """, cur AS (SELECT * FROM confirmed),
 o AS (SELECT cur.sheet_id, cur.day, CAST(d.d AS INT) AS d FROM cur CROSS JOIN range(1, 32) d(d) WHERE d.d <> cur.day AND NOT EXISTS (SELECT 1 FROM confirmed c WHERE c.sheet_id = cur.sheet_id AND c.day = d.d))
 SELECT cur.sheet_id, cur.day, coalesce((SELECT arg_min(o.d, (o.d - cur.day - 1 + 31) % 31) FROM o WHERE o.sheet_id = cur.sheet_id AND o.day = cur.day), cur.day) AS next, greatest(cur.day - 1, 1) AS previous FROM cur""",
     "apply_patches": _patched() + """
@@ -208,11 +208,11 @@ FROM fin JOIN results r ON r.sheet_id = fin.sheet_id AND r.filename = fin.filena
     "patch_errors": _patched() + """
 SELECT sheet_id, filename, seq, error FROM st WHERE error IS NOT NULL
 UNION ALL SELECT sheet_id, filename, seq, 'Unknown cell.' FROM pt WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.sheet_id = pt.sheet_id AND r.filename = pt.filename)""",
-    "invalidated_days": _patched("seq % 16 = 0") + "," + CONFIRMED + """
+    "invalidated_days": _patched() + "," + CONFIRMED + """
 SELECT sheet_id, day FROM confirmed c WHERE NOT EXISTS (SELECT 1 FROM fin WHERE fin.touched AND fin.sheet_id = c.sheet_id AND fin.day = c.day)""",
     "label_errors": "WITH " + SPELLED + """,
-lab AS (SELECT filename, reading_type, text AS v, mark % 11 = 0 AS b FROM spelled WHERE sheet_id = '1995-03' AND mark % 19 <> 0),
-ids AS (SELECT printf('day_%02d_point_%02d_%s.png', d.d, p.p, k.k) AS filename FROM range(1, 32) d(d) CROSS JOIN range(1, 9) p(p) CROSS JOIN (VALUES ('temperature'), ('humidity')) k(k))
+lab AS (SELECT sheet_id || '__' || filename AS filename, reading_type, text AS v, mark % 11 = 0 AS b FROM spelled),
+ids AS (SELECT s.sheet_id || '__' || printf('day_%02d_point_%02d_%s.png', d.d, p.p, k.k) AS filename FROM (SELECT DISTINCT sheet_id FROM spelled) s CROSS JOIN range(1, 32) d(d) CROSS JOIN range(1, 9) p(p) CROSS JOIN (VALUES ('temperature'), ('humidity')) k(k))
 SELECT filename, 'missing' AS error FROM ids WHERE filename NOT IN (SELECT filename FROM lab)
 UNION ALL SELECT filename, 'unknown' FROM lab WHERE filename NOT IN (SELECT filename FROM ids) UNION ALL SELECT filename, 'repeated' FROM lab GROUP BY filename HAVING count(*) > 1
 UNION ALL SELECT filename, 'value and blank' FROM lab WHERE b AND v <> '' UNION ALL SELECT filename, 'no label' FROM lab WHERE NOT b AND v = ''
