@@ -1,17 +1,17 @@
 """Benchmark decontamination with a positional inverted index that is spread over segments.
 
 The index: documents are cut into segments of bounded size.  A segment holds its dictionary (the
-distinct words, by hash and by bytes), for each word its document count and the ascending list of
-its positions, and the bounds of its documents; it is one row of a Parquet table, so the index is
-built, stored and searched without a shuffle.  Positions number the segment's words, with a gap
-between documents so that no phrase runs across one.
-
-The search: phrases go to all segments in blocks of bounded size.  A first pass over the
-dictionaries sums the document counts of the test words over the whole corpus.  The second pass
-intersects, for each phrase, the position lists shifted by the words' offsets, the corpus's rarest
-word first, and stops at the first empty intersection.  With slop 0 the matches are exact phrases;
-with slop s a document matches at a place of it if each word lies up to s words from where the
-phrase at that place would have it (proximity).
+distinct words in the order of their hashes), for each word the ascending list of its positions, and
+the bounds of its documents; it is one row of a Parquet table, so the index is built, stored and
+searched without a shuffle.  Numbers are stored as differences in planes of bytes, which compress
+well.  Positions number the segment's words, with a gap between documents so that no phrase runs
+across one.
+
+The search: phrases go to all segments in blocks of bounded size, with one scan of the index for a
+block.  For each phrase, a segment intersects the position lists shifted by the words' offsets, from
+the word that is rarest there, and stops at the first empty intersection.  With slop 0 the matches
+are exact phrases; with slop s a document matches at a place of it if each word lies up to s words
+from where the phrase at that place would have it (proximity).
 
 Defined results: a null text has no words; a benchmark item that is null or without words is
 ignored; a null item id counts as the word `null`; repeated rows are documents and items of their
@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filed, keep_rows, kept, picked, scratch, small_batches, written
-from .textscan import ALNUM, LOWER, same_bytes, slices, text_bytes, word_hashes, words
+from .common import filed, keep_rows, kept, picked, scratch, settings, small_batches, written
+from .textscan import ALNUM, LOWER, parts, same_bytes, slices, text_bytes, word_hashes, words
 
 WINDOW = 10
 #: Phrases in a block of the search.
@@ -38,10 +38,21 @@ BLOCK_PHRASES = 50_000
 #: Bytes of text in a segment, unless one document is longer.
 SEGMENT_BYTES = 1 << 20
 
-INDEX = (
-    "ids array<bigint>, files array<string>, rows array<bigint>, begins binary, counts binary, "
-    "hashes binary, spell binary, spelled binary, in_docs binary, lists binary, positions binary"
-)
+INDEX = "ids array<bigint>, files array<string>, rows array<bigint>, begins binary, counts binary, seed int, spell binary, spelled binary, lists binary, positions binary"
+#: A record of the index is some megabytes, so few are read at once.
+SCAN = {"spark.sql.parquet.columnarReaderBatchSize": "8", "spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as their differences, all first bytes before all second ones and so on."""
+    steps = np.diff(numbers.astype(np.uint32), prepend=np.uint32(0))
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def numbers(data: bytes) -> np.ndarray:
+    """What `planes` was given."""
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+    return np.cumsum(steps, dtype=np.uint32).astype(np.int64)
 
 
 def scan(data: np.ndarray, bounds: np.ndarray):
@@ -65,22 +76,17 @@ def segment(data: np.ndarray, bounds: np.ndarray) -> dict:
     docs = np.repeat(np.arange(len(bounds) - 1), np.diff(first))
     positions = (np.arange(len(h)) + docs)[order].astype(np.uint32)  # a gap of one between documents
     heads = np.flatnonzero(new)
-    owner = docs[order]
-    fresh_doc = new.copy()
-    fresh_doc[1:] |= owner[1:] != owner[:-1]
     lead = order[heads]
     spelled = np.concatenate([[0], np.cumsum(ends[lead] - starts[lead])]).astype(np.int64)
-    total = int(spelled[-1])
-    spell = data[np.repeat(starts[lead] - spelled[:-1], np.diff(spelled)) + np.arange(total)]
+    spell = data[np.repeat(starts[lead] - spelled[:-1], np.diff(spelled)) + np.arange(int(spelled[-1]))]
     return {
-        "begins": (first[:-1] + np.arange(len(bounds) - 1)).astype(np.uint32), "counts": np.diff(first).astype(np.uint32),
-        "hashes": np.concatenate([np.array([seed], np.uint64), h[lead]]), "spell": spell, "spelled": spelled,
-        "in_docs": np.add.reduceat(fresh_doc, heads).astype(np.uint32) if len(heads) else np.zeros(0, np.uint32),
-        "lists": np.concatenate([heads, [len(h)]]).astype(np.int64), "positions": positions,
+        "begins": (first[:-1] + np.arange(len(bounds) - 1)).astype(np.uint32).tobytes(), "counts": np.diff(first).astype(np.uint32).tobytes(),
+        "seed": seed, "spell": spell.tobytes(), "spelled": planes(spelled), "lists": planes(np.append(heads, len(h))), "positions": planes(positions),
     }
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"ids": pa.list_(pa.int64()), "files": pa.list_(pa.string()), "rows": pa.list_(pa.int64()), "seed": pa.int32()}
     names = [x.strip().split(" ")[0] for x in INDEX.split(",")]
     held, size = [], 0
 
@@ -88,11 +94,10 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         data, bounds = text_bytes(batch.column("text"))
         for i, j in slices(bounds, SEGMENT_BYTES):
-            parts = segment(LOWER[data[bounds[i] : bounds[j]]], bounds[i : j + 1] - bounds[i])
+            made = segment(LOWER[data[bounds[i] : bounds[j]]], bounds[i : j + 1] - bounds[i])
             own = batch.slice(i, j - i)
-            lists = {"ids": own.column("id"), "files": own.column("rf_file"), "rows": own.column("rf_row")}
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lists[n].to_pylist()], pa.list_(lists[n].type)) if n in lists else pa.array([parts[n].tobytes()], pa.binary()) for n in names], names=names)
+            made |= {n: own.column(c).to_pylist() for n, c in (("ids", "id"), ("files", "rf_file"), ("rows", "rf_row"))}
+            yield pa.RecordBatch.from_arrays([pa.array([made[n]], kinds.get(n, pa.binary())) for n in names], names=names)
 
     for batch in batches:
         held.append(batch)
@@ -106,9 +111,10 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The index of all documents, written to the shared folder."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
     rows = picked(docs, id=F.col(id_col).cast("long"), text=F.col(text_col).cast("string"))
-    return written(rows.mapInArrow(_build, INDEX), "index")
+    with small_batches(spark), settings(spark, {"spark.sql.parquet.compression.codec": "zstd"}):
+        return written(rows.mapInArrow(_build, INDEX), "index")
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -139,25 +145,21 @@ class Query:
         at = {w: k for k, w in enumerate(self.vocab)}
         self.phrases = [np.array([at[w] for w in p]) for p, _ in block]
         self.items = [names for _, names in block]
-        self.order = [np.arange(len(p)) for p in self.phrases]
         width = max(map(len, self.phrases))
         self.grid = np.array([np.pad(p, (0, width - len(p)), mode="edge") for p in self.phrases])
 
-    def rarest_first(self, counts: dict[int, int]) -> None:
-        df = np.array([counts.get(k, 0) for k in range(len(self.vocab))])
-        self.order = [np.argsort(df[p], kind="stable") for p in self.phrases]
-
     def hashes(self, seed: int) -> np.ndarray:
         data = np.frombuffer(b"".join(self.vocab), np.uint8)
         ends = np.cumsum([len(w) for w in self.vocab])
         return word_hashes(data, ends - [len(w) for w in self.vocab], ends, seed)
 
 
-def slots(query: Query, hashes: np.ndarray, spell: bytes, spelled: np.ndarray) -> np.ndarray:
+def slots(query: Query, seed: int, spell: bytes, spelled: np.ndarray) -> np.ndarray:
     """For each word of the query its place in a segment's dictionary, or -1."""
-    own, wanted = hashes[1:], query.hashes(int(hashes[0]))
-    if not len(own):
+    wanted = query.hashes(seed)
+    if len(spelled) < 2:
         return np.full(len(wanted), -1)
+    own = word_hashes(np.frombuffer(spell, np.uint8), spelled[:-1], spelled[1:], seed)
     at = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
     out = np.where(own[at] == wanted, at, -1)
     for k in np.flatnonzero(out >= 0):  # by bytes
@@ -166,23 +168,12 @@ def slots(query: Query, hashes: np.ndarray, spell: bytes, spelled: np.ndarray) -
     return out
 
 
-def _counts(query: Query, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(len(query.vocab), np.int64)
-    for batch in batches:
-        for row in batch.to_pylist():
-            at = slots(query, np.frombuffer(row["hashes"], np.uint64), row["spell"], np.frombuffer(row["spelled"], np.int64))
-            got = np.flatnonzero(at >= 0)
-            total[got] += np.frombuffer(row["in_docs"], np.uint32)[at[got]]
-    got = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(got, pa.int32()), pa.array(total[got], pa.int64())], names=["word", "n"])
-
-
-def occurrences(phrase: np.ndarray, order: np.ndarray, at: np.ndarray, lists: np.ndarray, positions: np.ndarray, slop: int) -> np.ndarray:
-    """Positions where the phrase starts."""
-    starts = None
-    for o in order:
+def occurrences(phrase: np.ndarray, at: np.ndarray, lists: np.ndarray, positions: np.ndarray, slop: int) -> np.ndarray:
+    """Positions where the phrase starts; the word with the shortest list comes first."""
+    starts, own = None, at[phrase]
+    for o in np.argsort(lists[own + 1] - lists[own], kind="stable"):
         s = at[phrase[o]]
-        own = positions[lists[s] : lists[s + 1]].astype(np.int64) - o
+        own = positions[lists[s] : lists[s + 1]] - o
         if starts is None:
             starts = np.unique((own[:, None] + np.arange(-slop, slop + 1)).ravel())
             starts = starts[starts >= 0]
@@ -195,16 +186,17 @@ def occurrences(phrase: np.ndarray, order: np.ndarray, at: np.ndarray, lists: np
     return starts
 
 
-def _search(query: Query, slop: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _search(shared, slop: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    query = shared.value
+    for batch in parts(batches, 1):
         for row in batch.to_pylist():
             counts, begins = np.frombuffer(row["counts"], np.uint32).astype(np.int64), np.frombuffer(row["begins"], np.uint32).astype(np.int64)
-            lists, positions = np.frombuffer(row["lists"], np.int64), np.frombuffer(row["positions"], np.uint32)
-            at = slots(query, np.frombuffer(row["hashes"], np.uint64), row["spell"], np.frombuffer(row["spelled"], np.int64))
+            lists, positions = numbers(row["lists"]), numbers(row["positions"])
+            at = slots(query, row["seed"], row["spell"], numbers(row["spelled"]))
             names: list[set] = [set() for _ in counts]
             spans: list[list] = [[] for _ in counts]
             for k in np.flatnonzero((at[query.grid] >= 0).all(axis=1)):
-                found = occurrences(query.phrases[k], query.order[k], at, lists, positions, slop)
+                found = occurrences(query.phrases[k], at, lists, positions, slop)
                 if not len(found):
                     continue
                 n = len(query.phrases[k])
@@ -229,7 +221,7 @@ def _within(phrase, at, lists, positions, found, slop, begin, end) -> np.ndarray
     """Which sloppy starts lie in a document that has all the words near them."""
     ok = found < end
     for o, w in enumerate(phrase):
-        own = positions[lists[at[w]] : lists[at[w] + 1]].astype(np.int64)
+        own = positions[lists[at[w]] : lists[at[w] + 1]]
         k = np.searchsorted(own, np.maximum(found + o - slop, begin))
         ok &= (k < len(own)) & (own[np.minimum(k, len(own) - 1)] <= np.minimum(found + o + slop, end - 1))
     return ok
@@ -258,33 +250,23 @@ _UNION = """aggregate(array_sort(flatten(spans)), cast(array() as array<array<bi
 def search(index: DataFrame, benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
     """Per document: id, n_words, spans (disjoint word intervals inside occurrences), items (ids
     of the items with an occurrence), rf_file, rf_row."""
-    small_batches(index.sparkSession, 2)
+    spark = index.sparkSession
     found, count = None, 0
     for block in blocks(benchmark, id_col, text_col, window):
-        query = Query(block)
-        shared = index.sparkSession.sparkContext.broadcast(query)
-        counts = index.select("hashes", "spell", "spelled", "in_docs").mapInArrow(partial(_with, _counts, shared), "word int, n bigint")
-        # At most one row for each word of the block.
-        query.rarest_first({r.word: r.n for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()})
-        shared = index.sparkSession.sparkContext.broadcast(query)
-        hits = index.mapInArrow(partial(_with, _search, shared, slop), _MATCH)
+        hits = index.mapInArrow(partial(_search, spark.sparkContext.broadcast(Query(block)), slop), _MATCH)
         found = hits if found is None else found.unionByName(hits)
         count += 1
     if found is None:
         empty = F.expr("cast(array() as array<array<bigint>>)")
         docs = index.select(F.expr("explode(arrays_zip(ids, files, rows, sequence(1, size(ids)))) as d"), "counts")
         n = F.conv(F.expr("hex(reverse(substring(counts, 4 * d.`3` - 3, 4)))"), 16, 10).cast("bigint")
-        return docs.select(F.col("d.ids").alias("id"), F.col("d.files").alias("rf_file"), F.col("d.rows").alias("rf_row"), n.alias("n_words"), empty.alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+        found = docs.select(F.col("d.ids").alias("id"), F.col("d.files").alias("rf_file"), F.col("d.rows").alias("rf_row"), n.alias("n_words"), empty.alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     if count > 1:
         found = found.groupBy("rf_file", "rf_row").agg(
             F.first("id").alias("id"), F.first("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
         ).withColumn("spans", F.expr(_UNION)).select("id", "rf_file", "rf_row", "n_words", "spans", "items")
-    return found
-
-
-def _with(step, shared, *rest):
-    *args, batches = rest
-    yield from step(shared.value, *args, batches)
+    with settings(spark, SCAN):
+        return written(found, "matches")
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Iterator[list]:
@@ -304,7 +286,9 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> Ite
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", slop: int = 0) -> DataFrame:
     """Per row: id, n_words, n_hit, n_items, items, contaminated, rf_file, rf_row."""
-    found = search(build_index(docs, id_col, text_col), benchmark, slop=slop)
+    with scratch(docs.sparkSession):  # the index goes once the matches are written
+        found = search(build_index(docs, id_col, text_col), benchmark, slop=slop)
+        kept(found)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda total, s: total + s[1] - s[0])
     return found.select("id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", (F.size("items") > 0).alias("contaminated"), "rf_file", "rf_row")
 

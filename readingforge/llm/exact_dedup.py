@@ -13,12 +13,10 @@ empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filed, join_checked, keep_rows, kept, picked, scratch, shared_path, tracked, written
+from .common import filed, join_checked, keep_rows, kept, picked, scratch, settings, shared_path, tracked, written
 
 #: Settings of the state store while a stream runs.
 STATE = {
@@ -35,18 +33,6 @@ def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(F.encode(text, "UTF-8"), 256))
 
 
-@contextmanager
-def settings(spark: SparkSession, conf: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in conf}
-    try:
-        for k, v in conf.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 class StreamDedup:
     """Keyed dedup state in `state_dir`.  `ingest` streams what landed since the last call through
     the state, so that a corpus can grow; a call that was cut off goes on where it stopped."""

@@ -6,8 +6,9 @@ language's by out-of-place distance: the sum of the rank differences, where an n
 language lacks counts as the full length of a profile.  The nearest language wins.
 
 Defined results: null texts and texts without letters are `und` with score 0, and so are all
-texts where nothing could be learned; ties go to the first language in order; a null id is
-trained on as any other; rows that repeat are rows of their own; further columns are ignored.
+texts where nothing could be learned; ties go to the first language in order; a null id counts as
+the empty text, by which it is held out; rows that repeat are rows of their own; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .textscan import U, slices, text_bytes
+from .textscan import U, parts, slices, text_bytes
 
 #: n-grams in a profile.
 PROFILE = 300
@@ -164,13 +166,13 @@ def bounded_sample(labelled: DataFrame, label: str, key: Column, bound: int) ->
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bound: int = TRAIN_DOCS) -> Profiles:
     """The profiles of all languages of a bounded sample of the labelled documents that aren't held out."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = bounded_sample(rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id"))), "lang", F.col("id"), bound)
     counts = rows.select("text", "lang").mapInArrow(_learn, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "code")) - 1
     top = counts.withColumn("rank", place).filter(F.col("rank") < PROFILE)
-    return Profiles([(r.lang, r.code, r.rank) for r in top.select("lang", "code", "rank").collect()])
+    with small_batches(docs.sparkSession):
+        return Profiles([(r.lang, r.code, r.rank) for r in top.select("lang", "code", "rank").collect()])
 
 
 def _predictions(profiles: Profiles, column: pa.Array) -> tuple[list[str], list[float]]:
@@ -186,27 +188,30 @@ def _predictions(profiles: Profiles, column: pa.Array) -> tuple[list[str], list[
 
 
 def _predict(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in parts(batches):
         names, scores = _predictions(shared.value, batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "held_out", "lang_pred", "score"])
 
 
 def identify(docs: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, lang_pred, score (1 less the distance's share of the largest possible)."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(partial(_predict, shared), "id bigint, held_out boolean, lang_pred string, score double")
 
 
-def _keep(shared, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        names, _ = _predictions(shared.value, batch.column(at).cast(pa.string()))
-        yield batch.filter(pa.array([n != "und" for n in names], pa.bool_()))
+def _label(shared, text: int, lang: int, wanted: set[str] | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts(batches):
+        names, _ = _predictions(shared.value, batch.column(text).cast(pa.string()))
+        own = batch.column(lang)
+        filled = pc.coalesce(own, pa.array(names, pa.string()).cast(own.type))
+        named = pa.array([n != "und" and (wanted is None or n in wanted) for n in names], pa.bool_())
+        yield batch.set_column(lang, batch.schema.field(lang), filled).filter(named)
 
 
-def drop_unidentified(docs: DataFrame, profiles: Profiles, text_col: str = "text") -> DataFrame:
-    """The rows whose text has a language, with all columns."""
-    small_batches(docs.sparkSession)
+def label_languages(docs: DataFrame, profiles: Profiles, wanted: set[str] | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows whose text is in one of the `wanted` languages (in any that was learned, if None), with
+    the columns of `docs`; where `lang_col` is null it gets the prediction."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    return docs.mapInArrow(partial(_keep, shared, docs.columns.index(text_col)), docs.schema)
+    at = docs.columns.index
+    return docs.mapInArrow(partial(_label, shared, at(text_col), at(lang_col), wanted), docs.schema)

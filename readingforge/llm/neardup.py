@@ -7,13 +7,18 @@ value under each shift is one coordinate.  Four coordinates make a band.  Docume
 sets are one class; classes that share a band are candidates, and a pair is linked only if the
 full sets have 100 * intersection >= 75 * union.
 
-Buckets are never expanded into all pairs.  In a star round each bucket's members are compared
-with one leader (first any, then the one with the fewest rare shingles), and linked classes become
-one component; pairs within a component need no comparison, since only components are returned.
-What is left in buckets of several components is settled exactly by shingle counts among the open
-classes: a pair can be linked only if the frequent shingles of both alone are enough, and such
-pairs are compared within their buckets, in salted blocks; or if it shares a rare shingle among the
-first of each set in the order of rarity (a prefix filter), and a rare shingle has few owners.
+Buckets are settled in steps; only components are returned, so pairs within one need no comparison.
+1. Every bucket's members are compared with one leader, which then leaves the bucket.
+2. Buckets of few members that still hold several components: their pairs across components.
+3. The others, which may be huge: shingles are counted among the classes that are left.  A class can
+   be linked only through shingles that others have too, so most classes leave.  The rest are
+   compared with one more leader, the one with the fewest rare shingles.
+4. What is left is settled exactly by those counts: a pair can be linked only if the frequent
+   shingles of both alone are enough, and such pairs are compared within their buckets, in salted
+   blocks; or if it shares a rare shingle among the first of each set in the order of rarity (a
+   prefix filter), and a rare shingle has few owners.
+Before full sets are compared, a pair's signatures are: at similarity 0.75 fewer than AGREE of
+the 128 coordinates agree with probability 2e-7.
 
 Defined results: null and empty texts and texts without words have an empty set, stay and are
 linked with nothing; a text of fewer than five words has one shingle, all of it; equal texts are
@@ -36,8 +41,10 @@ from .textscan import LOWER, NOT_BLANK, U, mix64, slices, text_bytes, word_hashe
 
 SHINGLE, PERCENT = 5, 75
 BANDS, BAND_ROWS = 32, 4
-#: Members of a bucket that one task pairs with as many others.
-BLOCK = 256
+#: Coordinates that agree between the signatures of a pair whose full sets are compared, at least.
+AGREE = 70
+#: Members of a bucket whose pairs are listed, at most, and that one task pairs with as many others.
+FEW, BLOCK = 16, 256
 #: Open classes that have a rare shingle, at most.
 RARE = 32
 
@@ -125,23 +132,29 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, bounds = text_bytes(batch.column("text"))
         for i, j in slices(bounds):
             sets = shingle_sets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
-            yield pa.RecordBatch.from_arrays(
-                [batch.slice(i, j - i).column("cid"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))],
-                names=["cid", "members"],
-            )
+            marks = signatures(sets, BANDS * BAND_ROWS).view(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                batch.slice(i, j - i).column("cid"), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
+                pa.array(list(marks), pa.list_(pa.int32())),
+            ], names=["cid", "members", "marks"])
+
+
+def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """The pairs (a, b) with sa and sb, the `column` of either."""
+    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "ends")
+    own = join_checked(sets.select("cid", column), ends, ["cid"], "left_semi")
+    side = lambda end: own.select(F.col("cid").alias(end), F.col(column).alias(f"s{end}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) whose full sets are similar enough; `sets` has cid, members, marks."""
     pairs = written(pairs.distinct(), "pairs")
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "ends")
-    sets = join_checked(sets, ends, ["cid"], "left_semi")
-    a = sets.select(F.col("cid").alias("a"), F.col("members").alias("sa"))
-    b = sets.select(F.col("cid").alias("b"), F.col("members").alias("sb"))
+    agreeing = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
+    close = written(_with_both(pairs, sets, "marks").filter(agreeing >= AGREE).select("a", "b"), "close")
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").filter(
-        100 * both >= percent * (F.size("sa") + F.size("sb") - both)
-    ).select("a", "b")
+    return written(_with_both(close, sets, "members").filter(
+        100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"), "links")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -163,6 +176,19 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """`labels` (node, label) of all linked nodes once the `links` (a, b) are added; only components
+    that a link joins are worked on."""
+    if labels is None:
+        return components(links)
+    at = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
+    ends = written(links.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "joined")
+    moved = components(ends.filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    new = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    every = labels.select("node", "label").unionByName(new.select("node", F.col("node").alias("label")))
+    return written(every.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
 def _may_link(x: str, y: str, most: str):
     """Whether sizes allow a link, if the intersection has at most the `most` of either class."""
     both = F.least(f"{x}.{most}", f"{y}.{most}")
@@ -175,26 +201,49 @@ def _mixed(members: DataFrame) -> DataFrame:
     return written(members.join(written(keys, "open-keys"), "key", "left_semi"), "open")
 
 
-def _open(members: DataFrame, labels: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The members of mixed buckets with label, common (shingles that another open class has) and
-    frequent (those that many have), without classes that can be linked with none; and for each
-    class its rare shingles, rarest first."""
-    marked = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    left = _mixed(written(marked, "marked"))
-    shingles = sets.join(left.select("cid").distinct(), "cid", "left_semi").select("cid", F.explode("members").alias("s"))
+def _relabelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    new = labels.select(F.col("node").alias("cid"), F.col("label").alias("to"))
+    return written(members.join(new, "cid", "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "marked")
+
+
+def _stars(left: DataFrame, most: str, *order) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's first member by `order` with its others, and the members without it."""
+    first = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "cid", "n", "label", *([most] if most != "n" else [])))
+    leader = written(left.groupBy("key").agg(first.alias("y")), "leaders")
+    star = left.alias("x").join(leader, "key")
+    pairs = star.filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", most))
+    return pairs.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")), star.filter("x.cid <> y.cid").drop("y")
+
+
+def _few(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs of different components in buckets of at most FEW members, and the members of the others."""
+    sizes = written(left.groupBy("key").agg(F.count(F.lit(1)).alias("k")), "sizes")
+    few = left.join(sizes.filter(F.col("k") <= FEW).select("key"), "key", "left_semi")
+    apart = (F.col("x.cid") < F.col("y.cid")) & (F.col("x.label") != F.col("y.label"))
+    pairs = few.alias("x").join(few.alias("y"), "key").filter(apart & _may_link("x", "y", "n")).select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b"))
+    return pairs, left.join(sizes.filter(F.col("k") > FEW).select("key"), "key", "left_semi")
+
+
+def _counted(left: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`left` with common (shingles of a class that another class left
+    has too) and frequent (those that many have), without classes that can be linked with none; and
+    for each class its rare shingles, rarest first.  The counts stay bounds while more classes leave."""
+    classes = written(left.select("cid").distinct(), "classes-left")
+    shingles = join_checked(sets.select("cid", "members"), classes, ["cid"], "left_semi").select("cid", F.explode("members").alias("s"))
     shared = written(shingles.groupBy("s").agg(F.count(F.lit(1)).alias("owners")).filter("owners > 1"), "shared-shingles")
     rare = F.when(F.col("owners") <= RARE, F.struct("owners", "s"))
     facts = written(shingles.join(shared, "s").groupBy("cid").agg(
         F.count(F.lit(1)).alias("common"), F.count_if(F.col("owners") > RARE).alias("frequent"), F.sort_array(F.collect_list(rare)).alias("rare")), "facts")
     left = left.join(facts.select("cid", "common", "frequent"), "cid").filter(100 * F.col("common") >= PERCENT * F.col("n"))
-    return _mixed(written(left, "open")), facts
+    return _mixed(written(left, "counted")), facts
 
 
 def _rest(left: DataFrame, facts: DataFrame) -> DataFrame:
-    """The pairs (x, y) of open members that may still be linked."""
-    blocks = F.ceil(F.col("in_key") / BLOCK).cast("int")
+    """The pairs (a, b) of open members that may still be linked."""
     able = left.filter(100 * F.col("frequent") >= PERCENT * F.col("n"))
-    able = written(able.join(able.groupBy("cid").agg(F.collect_set("key").alias("keys")), "cid"), "able")
+    in_key = written(able.groupBy("key").agg(F.count(F.lit(1)).alias("in_key")), "able-keys")
+    able = written(able.join(able.groupBy("cid").agg(F.collect_set("key").alias("keys")), "cid").join(in_key, "key"), "able")
+    blocks = F.ceil(F.col("in_key") / BLOCK).cast("int")
     once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("key")  # a pair is met in one of its buckets
     one = able.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
     two = able.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -210,13 +259,33 @@ def _rest(left: DataFrame, facts: DataFrame) -> DataFrame:
     return by_frequent.unionByName(by_rare)
 
 
+def _settled(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, label of all linked classes; `members` has key, cid, n."""
+    left, labels, facts = members.withColumn("label", F.col("cid")), None, None
+    for step in range(4):
+        if step == 0:
+            pairs, rest = _stars(left, "n", F.xxhash64("cid"))
+        elif step == 1:
+            pairs, rest = _few(left)
+        elif step == 2:
+            left, facts = _counted(left, sets)
+            pairs, rest = _stars(left, "common", F.col("n") - F.col("frequent"), F.xxhash64("cid"))
+        else:
+            pairs, rest = _rest(left, facts), None
+        labels = merged(labels, linked(pairs, sets))
+        if rest is None:
+            break
+        left = _mixed(_relabelled(rest, labels))
+        if not left.limit(1).count():
+            break
+    return labels
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, first (whether the row is the one of its component
     that stays), rf_file, rf_row."""
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = picked(docs, id=F.col(id_col).cast("long"), text=F.col(text_col).cast("string"))
-    with scratch(spark):
+    with scratch(docs.sparkSession), small_batches(docs.sparkSession):
         sketch = written(rows.select("id", "text", "rf_file", "rf_row").mapInArrow(
             _sketch, "id bigint, rf_file string, rf_row bigint, n bigint, digest binary, bands array<bigint>"), "sketch")
         # Nulls last: a struct with a flag first orders them so.
@@ -225,29 +294,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "cid", F.monotonically_increasing_id()), "classes")
         banded = classes.select(F.explode("bands").alias("key"), "cid", "n")
         # Small tables are written before a join by key, so that the join can split a hot bucket.
-        shared = written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("in_key")).filter("in_key > 1"), "buckets")
+        shared = written(banded.groupBy("key").agg(F.count(F.lit(1)).alias("in_key")).filter("in_key > 1").select("key"), "buckets")
         members = written(banded.join(shared, "key"), "members")
         chosen = written(classes.join(members.select("cid").distinct(), "cid", "left_semi").select("cid", "place.rf_file", "place.rf_row"), "candidates")
         sets = written(join_checked(rows.select("text", "rf_file", "rf_row"), chosen, ["rf_file", "rf_row"], "inner").select("cid", "text").mapInArrow(
-            _sets, "cid bigint, members array<bigint>"), "sets")
-        edges, left = None, members.withColumns({"label": F.col("cid"), "common": F.col("n"), "frequent": F.col("n")})
-        for k in range(3):
-            if k < 2:
-                order = [F.xxhash64("cid")] if k == 0 else [F.col("n") - F.col("frequent"), F.xxhash64("cid")]
-                first = F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], "cid", "n", "label", "common"))
-                leader = written(left.groupBy("key").agg(first.alias("y")), "leaders")
-                star = left.alias("x").join(leader, "key").filter((F.col("x.label") != F.col("y.label")) & _may_link("x", "y", "common"))
-                pairs = star.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b"))
-            else:
-                pairs = _rest(left, facts)
-            found = linked(pairs, sets)
-            edges = written(found if edges is None else edges.unionByName(found), "edges")
-            labels = components(edges)
-            if k < 2:
-                left, facts = _open(members, labels, sets)
-                if not left.limit(1).count():
-                    break
-        ends = labels.withColumnRenamed("node", "cid")
+            _sets, "cid bigint, members array<bigint>, marks array<int>"), "sets")
+        labels = _settled(members, sets)
+        ends = labels.select(F.col("node").alias("cid"), "label")
         lowest = written(ends.join(classes.select("cid", "place"), "cid").groupBy("label").agg(F.min("place").alias("lowest")), "lowest")
         named = classes.select("digest", "n", "place", "cid").join(ends.join(lowest, "label").select("cid", "lowest"), "cid", "left")
         named = named.select("digest", "n", F.coalesce("lowest", "place").alias("lowest"))

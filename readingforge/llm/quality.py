@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import join_checked, small_batches, written
 from .langid import bounded_sample, held_out
-from .textscan import LOWER, U, class_table, slices, text_bytes, word_hashes
+from .textscan import LOWER, U, class_table, parts, slices, text_bytes, word_hashes
 
 #: Labelled documents of each class that the model is fitted on, about: the bound of the sample.
 TRAIN_DOCS = 1500
@@ -153,13 +153,13 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = TRAIN_DOCS) -> tuple[np.ndarray, Network]:
     """Word vectors and network of a bounded sample of the labelled documents that aren't held out."""
-    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
     sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     prior = sizes.get(1, 0) / sum(sizes.values()) if sizes else 0.5
-    chosen = written(bounded_sample(known, "label", F.col("id"), bound), "labels") if sizes else known.limit(0)
+    chosen = written(bounded_sample(known, "label", F.col("id"), bound), "labels")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    sample = written(join_checked(rows, chosen, ["id"], "inner").select("id", "text", "label").mapInArrow(_buckets, "label int, buckets array<int>"), "sample")
+    with small_batches(docs.sparkSession):
+        sample = written(join_checked(rows, chosen, ["id"], "inner").select("id", "text", "label").mapInArrow(_buckets, "label int, buckets array<int>"), "sample")
     # The sample is bounded; its rows come to the driver one partition at a time.
     got = sorted(((r.label, np.array(r.buckets, np.int64)) for r in sample.toLocalIterator()), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
     vectors = word_vectors(b for _, b in got)
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     vectors, network = shared.value
-    for batch in batches:
+    for batch in parts(batches):
         data, bounds = text_bytes(batch.column("text"))
         scores = [np.zeros(0)]
         for i, j in slices(bounds, 1 << 18):
@@ -180,7 +180,6 @@ def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def score(docs: DataFrame, model: tuple[np.ndarray, Network], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, held_out, score."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(partial(_score, shared), "id bigint, held_out boolean, score double")

@@ -79,6 +79,13 @@ def slices(bounds: np.ndarray, limit: int = SCAN_BYTES) -> Iterator[tuple[int, i
         i = min(j, n)
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few records, so that what a worker makes of one stays small."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)
+
+
 def words(data: np.ndarray, bounds: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each text the place of its first word (and the end)."""
     inside = member[data]

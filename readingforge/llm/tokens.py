@@ -102,7 +102,6 @@ def cached(spark: SparkSession, cache_dir: str, tokenizer: str) -> DataFrame:
 def token_counts(docs: DataFrame, path: str, ranks: str | None = None, cache_dir: str | None = None, normalise=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes, n_tokens."""
     spark = docs.sparkSession
-    small_batches(spark)
     cache_dir, own = cache_dir or shared_path(spark, "token-cache"), version(path)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = picked(docs, id=F.col(id_col).cast("long"), text=normalise(text) if normalise else text)
@@ -117,5 +116,6 @@ def token_counts(docs: DataFrame, path: str, ranks: str | None = None, cache_dir
             todo = join_checked(rows, rest, ["rf_file", "rf_row"], "left_anti")
         else:
             todo = join_checked(rows, wanted, ["rf_file", "rf_row"], "left_semi")
-        todo.select("text").mapInArrow(partial(_encode, path, ranks), COUNTS).write.mode("append").parquet(f"{cache_dir}/version={own}")
+        with small_batches(spark):
+            todo.select("text").mapInArrow(partial(_encode, path, ranks), COUNTS).write.mode("append").parquet(f"{cache_dir}/version={own}")
     return digests.join(cached(spark, cache_dir, own), "digest").select("id", "n_bytes", "n_tokens")

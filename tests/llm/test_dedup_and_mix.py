@@ -130,6 +130,55 @@ def test_decontamination_without_items_or_documents(spark):
     assert decontam.drop_contaminated(docs, benchmark(spark)).columns == docs.columns
 
 
+def test_planes_of_numbers():
+    import numpy as np
+
+    for x in ([], [0], [7, 3, 2**32 - 1, 0, 5], list(range(100_000))):
+        assert decontam.numbers(decontam.planes(np.array(x, np.int64))).tolist() == x
+
+
+def test_settings_and_scopes_are_the_callers(spark):
+    """Operators leave the session as it was, and threads don't remove each other's tables."""
+    import os
+    import threading
+
+    from readingforge.llm.common import scratch
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = cases.docs(spark, cases.edge_rows())
+    decontam.decontaminate(docs, benchmark(spark)).count()
+    neardup.near_duplicates(docs).count()
+    assert spark.conf.get(name) == before
+    made = {}
+    opened, done = threading.Event(), threading.Event()
+
+    def other():
+        with scratch(spark):
+            opened.set()
+            done.wait(60)
+
+    thread = threading.Thread(target=other)
+    with scratch(spark):
+        thread.start()
+        opened.wait(60)
+        made["own"] = written(spark.range(2), "own").rf_path.removeprefix("file:")
+        done.set()
+        thread.join()
+        assert os.path.isdir(made["own"].replace("//", "/"))
+    assert not os.path.exists(made["own"].replace("//", "/"))
+
+
+def test_rows_of_limits_and_samples_are_written(spark, tmp_path):
+    from readingforge.llm.common import filed
+
+    spark.range(100).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    assert filed(t) is t and not hasattr(filed(t.filter("id > 3").select("id")), "rf_path")
+    for odd in (t.limit(5), t.filter(F.rand() < 0.5), t.sample(0.5), t.union(t), t.withColumn("x", F.rand())):
+        assert hasattr(filed(odd), "rf_path")
+
+
 def test_proximity_matches(spark):
     items = [(1, "red green blue white")]
     rows = [(1, "red green blue white", "en", "s"), (2, "red green x blue white", "en", "s"), (3, "green red blue white", "en", "s"), (4, "red x y z green blue white", "en", "s"), (5, "red green", "en", "s"), (6, "blue white", "en", "s")]

@@ -84,8 +84,13 @@ def test_languages_of_edge_rows(spark):
     assert none == {4, 5, 7, 12, None} and all((r.score == 0) == (r.lang_pred == "und") for r in got)
     empty = langid.learn(docs.limit(0))
     assert {(r.lang_pred, r.score) for r in langid.identify(docs, empty).collect()} == {("und", 0.0)}
-    kept = langid.drop_unidentified(docs, langid.learn(cases.docs(spark, lang_rows())))
+    profiles = langid.learn(cases.docs(spark, lang_rows()))
+    kept = langid.label_languages(docs, profiles)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, 3, 8, 9, 10, 11, None}
+    unnamed = docs.withColumn("lang", F.lit(None).cast("string"))
+    want = {r.id: r.lang_pred for r in got if r.lang_pred != "und" and r.id}
+    assert {r.doc_id: r.lang for r in langid.label_languages(unnamed, profiles).collect() if r.doc_id} == want
+    assert {r.doc_id for r in langid.label_languages(unnamed, profiles, {"zh"}).collect()} == {i for i, g in want.items() if g == "zh"}
 
 
 # ---- licences
