@@ -18,8 +18,9 @@ ORACLE_SQL = oracle.PIPELINE
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (no text, no letters) go."""
-    return langid.drop_unidentified(docs, langid.learn(docs))
+    """Documents in which no language can be told (no text, no letters) go; where `lang` is null, the
+    others get the language that their text is identified as."""
+    return langid.label_languages(docs, langid.learn(docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
