@@ -141,7 +141,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     """The pairs (a, b) with sa and sb, the `column` of either."""
-    ends = written(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "ends")
+    ends = written(pairs.select(F.col("a").alias("cid")).distinct().union(pairs.select("b").distinct()).distinct(), "ends")
     own = join_checked(sets.select("cid", column), ends, ["cid"], "left_semi")
     side = lambda end: own.select(F.col("cid").alias(end), F.col(column).alias(f"s{end}"))
     return pairs.join(side("a"), "a").join(side("b"), "b")
@@ -184,7 +184,7 @@ def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     at = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"l{end}"))
     ends = written(links.join(at("a"), "a", "left").join(at("b"), "b", "left").select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb")), "joined")
     moved = components(ends.filter("la <> lb").select(F.col("la").alias("a"), F.col("lb").alias("b")))
-    new = ends.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(labels, "node", "left_anti")
+    new = ends.select(F.col("a").alias("node")).distinct().union(ends.select("b").distinct()).distinct().join(labels, "node", "left_anti")
     every = labels.select("node", "label").unionByName(new.select("node", F.col("node").alias("label")))
     return written(every.join(moved.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
