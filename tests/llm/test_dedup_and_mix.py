@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readingforge.llm import decontam, exact_dedup, mixing, neardup
-from readingforge.llm.common import located, shared_path, written
+from readingforge.llm.common import shared_path, written
 
 from . import cases
 
@@ -29,20 +29,42 @@ def test_exact_dedup_of_edge_rows(spark):
 
 def test_exact_dedup_tells_clashing_digests_apart(spark):
     docs = cases.docs(spark, [(1, "a", "en", "s"), (2, "b", "en", "s"), (3, "a", "en", "s"), (4, "cc", "en", "s")])
-    weak = lambda text: F.encode(F.length(text).cast("string"), "UTF-8")
     got = {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs, digest=weak).collect()}
     assert got == {1: (3, 2, False), 2: (2, 1, True), 3: (3, 2, True), 4: (4, 1, True)}
 
 
-def test_exact_dedup_state_grows_over_batches(spark):
+def weak(text):
+    """A digest that texts of one length share."""
+    return F.encode(F.length(text).cast("string"), "UTF-8")
+
+
+def test_exact_dedup_state_grows_over_calls(spark):
     path = shared_path(spark, "test-state")
-    stream = exact_dedup.StreamDedup(spark, path, files_per_batch=1)
-    for part in ([(1, "x"), (2, "y")], [(3, "x")], [(4, "z"), (0, "y")]):
-        docs = cases.docs(spark, [(i, t, "en", "s") for i, t in part])
-        stream.land(located(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id"), exact_dedup.sha256(F.col("text")).alias("digest"), "rf_file", "rf_row"))
-        stream.ingest()
-    got = sorted((r.stays.id, r.group_size) for r in stream.held().collect())
-    assert got == [(2, 2), (3, 2), (4, 1)]
+    call = lambda *rows: {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(cases.docs(spark, [(i, t, "en", "s") for i, t in rows]), state_dir=path, files_per_batch=1).collect()}
+    assert call((1, "x"), (2, "y")) == {1: (1, 1, True), 2: (2, 1, True)}
+    assert call((3, "x")) == {3: (3, 2, True)}
+    assert call((4, "z"), (0, "y")) == {4: (4, 1, True), 0: (2, 2, False)}
+    # The same rows again change nothing.
+    assert call((4, "z"), (0, "y")) == {4: (4, 1, True), 0: (2, 2, False)}
+    assert call((1, "x"), (2, "y")) == {1: (3, 2, False), 2: (2, 2, True)}
+
+
+def test_exact_dedup_compares_bytes_across_calls(spark):
+    path = shared_path(spark, "test-clash")
+    call = lambda *rows: {r.id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(cases.docs(spark, [(i, t, "en", "s") for i, t in rows]), digest=weak, state_dir=path).collect()}
+    assert call((1, "a"), (9, "long")) == {1: (1, 1, True), 9: (9, 1, True)}
+    assert call((2, "b"), (3, "c"), (4, "b")) == {2: (4, 2, False), 3: (3, 1, True), 4: (4, 2, True)}
+    assert call((5, "c"), (6, "a"), (7, "d"), (8, None)) == {5: (5, 2, True), 6: (6, 2, True), 7: (7, 1, True), 8: (8, 1, True)}
+
+
+def test_a_batch_lands_once(spark):
+    path = shared_path(spark, "test-batch")
+    docs = cases.docs(spark, [(1, "x", "en", "s"), (2, "x", "en", "s")])
+    for _ in range(2):
+        got = exact_dedup.exact_dedup(docs, state_dir=path, batch="monday").collect()
+        assert sorted((r.id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 2, 2, False), (2, 2, 2, True)]
+    got = exact_dedup.exact_dedup(docs, state_dir=path, batch="tuesday").collect()
+    assert {r.group_size for r in got} == {4} and sum(r.kept for r in got) <= 1
 
 
 @pytest.mark.parametrize("step", [exact_dedup.drop_copies, neardup.drop_near_duplicates])
