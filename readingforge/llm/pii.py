@@ -2,17 +2,23 @@
 
 A keyed Feistel network permutes each value within its own format: digits stay digits, letters
 stay letters of their case, separators stay, a card number stays valid by its check digit, an
-address keeps four bytes, a date stays a date of 1900 to 2099.  The same value has the same pseudonym everywhere,
-so records stay linked, and two values never share one.
+address keeps four bytes, a date stays a date of 1900 to 2099, a phone number keeps its country.
+The same value has the same pseudonym everywhere, so records stay linked, and two values of a format
+never share one.  Spellings of one value stay linked too: phone numbers are permuted by their digits,
+however they are spaced, and dates by their day, however it is written.  Dates written with slashes
+are read with the day first; those that have only the other reading are permuted among themselves,
+by walking the cycle of the same permutation to the next such date, so that no text comes up twice.
 
 Characters: the string is halved, and in each round one half's characters are shifted in their
 alphabets by a keyed hash of the other half.  Numbers with odd ranges: the range is a product of
-two moduli, and in each round one residue is shifted by a keyed hash of the other.
+two moduli, and in each round one residue is shifted by a keyed hash of the other.  Who knows the key
+can invert this, so the caller has to give one and to keep it secret.
 
 Defined results: a null text stays null and has no values, an empty one stays empty; candidates
 that are not valid (check digit, ranges, calendar, an e-mail name without letters and digits) stay
-as they are and have no kind; repeated rows are rows of their own; other columns of the input are
-not returned.
+as they are and have no kind; names of more than 64 characters and domains with parts of more than
+63, which the mail standard doesn't allow, are no addresses; repeated rows are rows of their own;
+other columns of the input are not returned.
 """
 
 from __future__ import annotations
@@ -23,7 +29,8 @@ from pyspark.sql import functions as F
 from ..functions.readings import let
 
 ROUNDS = 8
-KEY = "readingforge"
+#: Steps of a walk along a cycle, at most.  Three days in five end it, so none needs so many.
+WALK = 96
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 #: Candidates by kind; the first that matches at a place counts.
@@ -33,10 +40,13 @@ PATTERNS = {
     "iso_date": r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])",
     "date": r"(?<![\d./])\d{2}([./])\d{2}\1\d{4}(?!\d|[./]\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)",
+    "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)",
     "card": r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+# The country codes of one and of two digits; all others have three.
+ONE_DIGIT = "17"
+TWO_DIGITS = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
 #: Days from 1900-01-01 to 2099-12-31, as a product.
 DAY_MODULI = (17, 4297)
 
@@ -129,16 +139,33 @@ def _ip(m: Column, key: str) -> Column:
     return F.when(F.forall(part, lambda x: x <= 255), out)
 
 
-def _date(m: Column, formats: list[str], key: str) -> Column:
-    """In the first format by which the value is a date of the range."""
-    out = F.lit(None).cast("string")
-    for f in reversed(formats):
-        day = F.try_to_timestamp(m, F.lit(f)).cast("date")
-        n = F.datediff(day, F.lit("1900-01-01").cast("date"))
-        days = let(permuted_pair(F.floor(n / DAY_MODULI[1]), n % DAY_MODULI[1], DAY_MODULI, key, "date"), lambda p: (p["a"] * DAY_MODULI[1] + p["b"]).cast("int"))
-        moved = F.date_add(F.lit("1900-01-01").cast("date"), days)
-        out = F.when(F.year(day).between(1900, 2099), F.date_format(moved, f)).otherwise(out)
-    return out
+def _day(m: Column, f: str) -> Column:
+    """The number of days since 1900 of a date of the range in format `f`, else null."""
+    day = F.try_to_timestamp(m, F.lit(f)).cast("date")
+    return F.when(F.year(day).between(1900, 2099), F.datediff(day, F.lit("1900-01-01").cast("date")))
+
+
+def _date_at(n: Column) -> Column:
+    return F.date_add(F.lit("1900-01-01").cast("date"), n)
+
+
+def _moved_day(n: Column, key: str) -> Column:
+    return let(permuted_pair(F.floor(n / DAY_MODULI[1]), n % DAY_MODULI[1], DAY_MODULI, key, "date"), lambda p: (p["a"] * DAY_MODULI[1] + p["b"]).cast("int"))
+
+
+def _date(m: Column, f: str, key: str) -> Column:
+    return let(_day(m, f), lambda n: F.when(n.isNotNull(), F.date_format(_date_at(_moved_day(n, key)), f)))
+
+
+def _slash_date(m: Column, key: str) -> Column:
+    def step(n: Column, _: Column) -> Column:
+        return F.when((n["k"] > 0) & (F.dayofmonth(_date_at(n["n"])) > 12), n).otherwise(F.struct((n["k"] + 1).alias("k"), _moved_day(n["n"], key).alias("n")))
+
+    def walked(n: Column) -> Column:
+        end = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.struct(F.lit(0).alias("k"), n.alias("n")), step, lambda s: s["n"])
+        return F.when(n.isNotNull(), F.date_format(_date_at(end), "MM/dd/yyyy"))
+
+    return F.coalesce(_date(m, "dd/MM/yyyy", key), let(_day(m, "MM/dd/yyyy"), walked))
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -154,12 +181,13 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code, as far as a separator shows it, stays."""
-    country = F.regexp_extract(m, r"^\+(\d{1,3})(?=[ .(-])", 1)
-    country = F.when(country == "", F.substr(m, F.lit(2), F.lit(1))).otherwise(country)
-    digits = digits_of(m)
-    rest = F.substr(digits, F.length(country) + 1)
-    return F.when(F.length(digits).between(8, 15), refilled(m, F.concat(country, permuted_text(rest, key, "phone"))))
+    """The country code stays."""
+
+    def moved(digits: Column) -> Column:
+        n = F.when(F.substr(digits, F.lit(1), F.lit(1)).isin(*ONE_DIGIT), 1).when(F.substr(digits, F.lit(1), F.lit(2)).isin(*TWO_DIGITS), 2).otherwise(3)
+        return F.when(F.length(digits).between(8, 15), refilled(m, F.concat(F.substr(digits, F.lit(1), n), permuted_text(F.substr(digits, n + 1), key, "phone"))))
+
+    return let(digits_of(m), moved)
 
 
 def _card(m: Column, key: str) -> Column:
@@ -181,9 +209,9 @@ def replaced(m: Column, key: str) -> Column:
     return (
         F.when(F.contains(m, F.lit("@")), found("email", _email(m, key)))
         .when(as_is("ip"), found("ip", _ip(m, key)))
-        .when(as_is("iso_date"), found("date", _date(m, ["yyyy-MM-dd"], key)))
-        .when(m.rlike(r"^\d{2}/\d{2}/\d{4}$"), found("date", _date(m, ["dd/MM/yyyy", "MM/dd/yyyy"], key)))
-        .when(m.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), found("date", _date(m, ["dd.MM.yyyy"], key)))
+        .when(as_is("iso_date"), found("date", _date(m, "yyyy-MM-dd", key)))
+        .when(m.rlike(r"^\d{2}/\d{2}/\d{4}$"), found("date", _slash_date(m, key)))
+        .when(m.rlike(r"^\d{2}\.\d{2}\.\d{4}$"), found("date", _date(m, "dd.MM.yyyy", key)))
         .when(as_is("ssn"), found("ssn", _ssn(m, key)))
         .when(F.startswith(m, F.lit("+")), found("phone", _phone(m, key)))
         .otherwise(found("card", _card(m, key)))
@@ -193,8 +221,11 @@ def replaced(m: Column, key: str) -> Column:
 KINDS = ("email", "ip", "date", "ssn", "phone", "card")
 
 
-def pseudonymise(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, text with pseudonyms, values (kind and pseudonym in order)."""
+def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, text with pseudonyms, values (kind and pseudonym in order).  `key` is a secret; under
+    the same key the same values have the same pseudonyms, in every run."""
+    if not key:
+        raise ValueError("a secret key is needed")
     text = F.col(text_col).cast("string")
     kinds = "array<struct<kind:string,value:string>>"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))

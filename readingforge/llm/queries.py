@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,8 +40,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+#: The setting that holds the secret key of pseudonyms.  A session without one gets a key of its own.
+PSEUDONYM_KEY = "spark.readingforge.pseudonymKey"
+
+
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymise(table(spark, sf_dir, "documents"))
+    if not spark.conf.get(PSEUDONYM_KEY, None):
+        spark.conf.set(PSEUDONYM_KEY, uuid.uuid4().hex + uuid.uuid4().hex)
+    out = pii.pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get(PSEUDONYM_KEY))
     count = lambda kind: F.size(F.filter("values", lambda x: x["kind"] == kind)).cast("long")
     return out.select(F.col("id").alias("doc_id"), "text", *[count(k).alias(f"n_{k}") for k in pii.KINDS])
 

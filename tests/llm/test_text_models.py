@@ -237,7 +237,10 @@ def test_cache_encodes_distinct_misses_only(spark):
 # ---- pseudonyms
 
 
-def ref_text(value, kind, key=pii.KEY):
+KEY = "a secret of the tests"
+
+
+def ref_text(value, kind, key=KEY):
     """The Feistel network over characters, in plain Python."""
     a, b = value[: len(value) // 2], value[len(value) // 2 :]
     for k in range(1, pii.ROUNDS + 1):
@@ -251,7 +254,7 @@ def ref_text(value, kind, key=pii.KEY):
     return a + b
 
 
-def ref_pair(a, b, moduli, kind, key=pii.KEY):
+def ref_pair(a, b, moduli, kind, key=KEY):
     for k in range(1, pii.ROUNDS + 1):
         f = lambda x: int(hashlib.sha256(f"{key}|{kind}|{k}|{x}".encode()).hexdigest()[:12], 16)  # noqa: B023, E731
         if k % 2 == 0:
@@ -267,7 +270,7 @@ def valid_card(digits):
 
 def test_pseudonyms_against_plain_python(spark):
     text = "mail bob.07@mail1.example.com, from 152.143.123.131### on 2024-02-29 or 31/12/1999 or 12/31/1999 or 05.06.2001; call +1 (469) 555-8958. Card 4539 1488 0343 6467$$$ ssn 123-45-6789 end"
-    out = pii.pseudonymise(cases.docs(spark, [(1, text, "en", "s")])).first()
+    out = pii.pseudonymise(cases.docs(spark, [(1, text, "en", "s")]), KEY).first()
     day0 = datetime.date(1900, 1, 1)
 
     def date(s, f):
@@ -275,6 +278,14 @@ def test_pseudonyms_against_plain_python(spark):
         a, b = ref_pair(n // pii.DAY_MODULI[1], n % pii.DAY_MODULI[1], pii.DAY_MODULI, "date")
         return (day0 + datetime.timedelta(a * pii.DAY_MODULI[1] + b)).strftime(f)
 
+    def walked(s):
+        n = (datetime.datetime.strptime(s, "%m/%d/%Y").date() - day0).days
+        while True:
+            a, b = ref_pair(n // pii.DAY_MODULI[1], n % pii.DAY_MODULI[1], pii.DAY_MODULI, "date")
+            n = a * pii.DAY_MODULI[1] + b
+            if (day0 + datetime.timedelta(n)).day > 12:
+                return (day0 + datetime.timedelta(n)).strftime("%m/%d/%Y")
+
     a, b = ref_pair(152 * 256 + 143, 123 * 256 + 131, (65536, 65536), "ip")
     phone = ref_text("4695558958", "phone")
     card = ref_text("453914880343646", "card")
@@ -282,7 +293,7 @@ def test_pseudonyms_against_plain_python(spark):
     x, y = ref_pair(122 * 99 + 44, 6788, (898 * 99, 9999), "ssn")
     area = x // 99 + 1 if x // 99 < 665 else x // 99 + 2
     want = (
-        f"mail {ref_text('bob.07', 'email')}@mail1.example.com, from {a // 256}.{a % 256}.{b // 256}.{b % 256}### on {date('2024-02-29', '%Y-%m-%d')} or {date('31/12/1999', '%d/%m/%Y')} or {date('12/31/1999', '%m/%d/%Y')}"
+        f"mail {ref_text('bob.07', 'email')}@mail1.example.com, from {a // 256}.{a % 256}.{b // 256}.{b % 256}### on {date('2024-02-29', '%Y-%m-%d')} or {date('31/12/1999', '%d/%m/%Y')} or {walked('12/31/1999')}"
         f" or {date('05.06.2001', '%d.%m.%Y')}; call +1 ({phone[:3]}) {phone[3:6]}-{phone[6:]}. Card {card[:4]} {card[4:8]} {card[8:12]} {card[12:]}$$$ ssn {area:03d}-{x % 99 + 1:02d}-{y + 1:04d} end"
     )
     assert out.text == want
@@ -292,24 +303,47 @@ def test_pseudonyms_against_plain_python(spark):
 def test_pseudonyms_are_a_permutation(spark):
     days = [datetime.date(1900, 1, 1) + datetime.timedelta(k) for k in range(17 * 4297)]
     docs = spark.createDataFrame([(k, d.isoformat()) for k, d in enumerate(days)], "doc_id bigint, text string")
-    got = [r.text for r in pii.pseudonymise(docs).collect()]
+    got = [r.text for r in pii.pseudonymise(docs, KEY).collect()]
     assert sorted(got) == [d.isoformat() for d in days] and sum(a == d.isoformat() for a, d in zip(got, days)) < 100
+    # Every text that is a date in either order: none comes up twice, and all stay such texts.
+    slashed = sorted({d.strftime(f) for d in days for f in ("%d/%m/%Y", "%m/%d/%Y")})
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame([(k, t) for k, t in enumerate(slashed)], "doc_id bigint, text string").repartition(8), KEY).collect()]
+    assert sorted(got) == slashed
     words = spark.range(1000).select(F.lit(None).cast("long").alias("doc_id"), F.format_string("+49 %03d-1234567", "id").alias("text"))
-    assert pii.pseudonymise(words).select("text").distinct().count() == 1000
+    assert pii.pseudonymise(words, KEY).select("text").distinct().count() == 1000
+
+
+def test_spellings_of_one_value_stay_linked(spark):
+    rows = [(1, "+49 30 1234567"), (2, "+49301234567"), (3, "+49 (30) 123-4567"), (4, "2024-02-29"), (5, "29.02.2024"), (6, "29/02/2024"), (7, "+14695558958"), (8, "+1 469 555 8958"), (9, "+353 1 234 5678")]
+    got = {r.id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), KEY).collect()}
+    bare = lambda k: re.sub("[^0-9]", "", got[k])
+    assert bare(1) == bare(2) == bare(3) and bare(1)[:2] == "49" and bare(7) == bare(8) and bare(7)[0] == "1" and bare(9)[:3] == "353"
+    y, m, d = got[4].split("-")
+    assert got[5] == f"{d}.{m}.{y}" and got[6] == f"{d}/{m}/{y}"
+    other = {r.id: r.text for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), "another").collect()}
+    assert all(other[k] != got[k] for k in got)
+    with pytest.raises(ValueError):
+        pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+
+
+def test_pseudonyms_beside_columns_that_clash(spark):
+    docs = cases.docs(spark, [(1, "x 1.2.3.4", "en", "s")]).withColumns({"found": F.lit(1), "new": F.lit(2), "values": F.lit(3)})
+    out = pii.pseudonymise(docs, KEY)
+    assert out.columns == ["id", "text", "values"] and out.first().text != "x 1.2.3.4"
 
 
 def test_pseudonyms_of_edge_rows(spark):
     rows = [(1, None), (2, ""), (3, "no values"), (4, "999.1.1.1 2023-02-29 4539148803436468 000-12-3456 1.2.3.4.5"), (5, "x 1.2.3.4"), (6, "x 1.2.3.4"), (7, "1.2.3.4"), (8, "long " * 20000 + "1.2.3.4")]
-    got = {r.id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {r.id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), KEY).collect()}
     assert [got[k].text for k in (1, 2, 3, 4)] == [t for _, t in rows[:4]] and not any(got[k]["values"] for k in (1, 2, 3, 4))
     assert got[5].text == got[6].text == "x " + got[7].text and got[8].text.endswith(got[7].text) and got[7].text != "1.2.3.4"
-    assert pii.pseudonymise(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+    assert pii.pseudonymise(spark.createDataFrame([], "doc_id bigint, text string"), KEY).count() == 0
 
 
 def test_email_names_of_one_character(spark):
     names = [c for a in pii.ALPHABETS for c in a]
     rows = [(k, f"to {c}@example.com.") for k, c in enumerate(names)] + [(100, "to _@example.com and +-@example.com")]
-    got = {r.id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {r.id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), KEY).collect()}
     new = [got[k].text.removeprefix("to ").removesuffix("@example.com.") for k in range(len(names))]
     assert all(len(a) == 1 and a != b and next(x for x in pii.ALPHABETS if a in x) == next(x for x in pii.ALPHABETS if b in x) for a, b in zip(new, names, strict=True))
     assert sorted(new) == sorted(names) and all([v.kind for v in got[k]["values"]] == ["email"] for k in range(len(names)))
