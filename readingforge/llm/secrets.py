@@ -6,7 +6,12 @@ whole run is the candidate, however long it is.
 Its features: length, character transitions (changes between kinds of characters, distinct
 characters, shares of digits and capitals, hexadecimal or not), dictionary coverage (the share of
 its characters in common words), path (whether the document's path speaks of tests or examples),
-and the neighbouring words (whether they speak of secrets, or of things that look like them).
+and the neighbouring words (whether they speak of secrets, or of things that look like them).  A
+neighbour is the word that ends one to four signs before the candidate, or begins as close after
+it, on the same line, and isn't part of another candidate.
+
+`train` takes labelled findings as a table; `sample_findings` makes some by rule, for corpora that
+have none.
 
 Defined results: null and empty texts have no candidates; the path may be null; candidates that
 repeat are findings of their own, numbered in each row; repeated rows are rows of their own; an
@@ -22,8 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=AKIA[A-Z]{16}|[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
-BEFORE = rf"(?:([A-Za-z_]+)[^A-Za-z0-9\n]{{1,4}})?(?:{CANDIDATE})"
-AFTER = rf"(?:{CANDIDATE})(?=(?:[^A-Za-z0-9\n]{{1,4}}([A-Za-z_]+))?)"
+#: The word just before a candidate, at the end of what precedes it, and the one just after.  No word
+#: that means anything here has more than NEAR letters, so longer ones are none.
+NEAR = 32
+BEFORE = rf"(?<![A-Za-z_])([A-Za-z_]{{1,{NEAR}}})[^A-Za-z0-9\n]{{1,4}}\z"
+AFTER = rf"\A[^A-Za-z0-9\n]{{1,4}}([A-Za-z_]{{1,{NEAR}}})(?![A-Za-z_])"
 
 # Words near secrets, words near values that look like secrets, signs of test
 # paths, and common words and parts of identifiers.
@@ -71,10 +79,14 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"),
         (F.col(path_col).cast("string") if path_col else F.lit(None).cast("string")).alias("path"),
     ).filter(F.col("text").rlike("[0-9]|AKIA"))
-    every = lambda pattern, group: F.regexp_extract_all("text", F.lit(pattern), F.lit(group))
-    found = rows.withColumn("candidates", every(CANDIDATE, 0)).filter(F.size("candidates") > 0)
-    zipped = F.arrays_zip(F.col("candidates").alias("candidate"), every(BEFORE, 1).alias("before"), every(AFTER, 1).alias("after"))
-    return found.select("id", "path", F.posexplode(zipped).alias("n", "f")).select(
+    found = rows.withColumn("candidates", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).filter(F.size("candidates") > 0)
+    # What lies between the candidates: one part more than they are.  Its ends hold the neighbours.
+    gaps, reach = F.split("text", CANDIDATE, -1), NEAR + 5
+    tail = lambda g: F.nullif(F.regexp_extract(F.right(g, F.lit(reach)), BEFORE, 1), F.lit(""))
+    head = lambda g: F.nullif(F.regexp_extract(F.left(g, F.lit(reach)), AFTER, 1), F.lit(""))
+    found = found.select("id", "path", "candidates", gaps.alias("gaps"))
+    listed = F.transform("candidates", lambda c, i: F.struct(c.alias("candidate"), tail(F.get("gaps", i)).alias("before"), head(F.get("gaps", i + 1)).alias("after")))
+    return found.select("id", "path", F.posexplode(listed).alias("n", "f")).select(
         "id", F.col("n").cast("long").alias("n"), F.col("f.candidate").alias("candidate"), F.col("f.before").alias("before"), F.col("f.after").alias("after"), "path")
 
 
