@@ -5,6 +5,7 @@ A sentence is normalised to its lower-case ASCII letters and digits in single sp
 sentences and headings have an identifier and are matched whole, also where they hold such an end
 themselves or are wrapped, in comments too; a sentence that speaks of licences and is not known is
 `unknown`, and where it is wrapped, each of its lines that does.
+Where an SPDX expression names several licences, each is a sentence of its own.
 The identifiers of a text in order are then matched with the licence rules in order: a rule is a
 sequence of identifiers, and what it matches is taken, so longer rules stand first.
 
@@ -57,11 +58,18 @@ SENTENCES = {
     "reserved": ["All rights reserved"],
 }
 
-# Headings of licence files, which are known as sentences are.
+# Headings of licence files and further identifiers, which are known as sentences are.
 HEADINGS = {
     "apache-ref": ["Apache License Version 2.0, January 2004"],
     "mit-ref": ["MIT License"],
-    "isc-ref": ["ISC License", "The ISC License"],
+    "isc-ref": ["ISC License", "The ISC License", "SPDX-License-Identifier: ISC"],
+    "gpl2-later-ref": ["SPDX-License-Identifier: GPL-2.0-or-later"],
+    "gpl3-later-ref": ["SPDX-License-Identifier: GPL-3.0-or-later"],
+    "cc-by-ref": ["SPDX-License-Identifier: CC-BY-4.0"],
+    "cc-by-sa-ref": ["SPDX-License-Identifier: CC-BY-SA-4.0"],
+    "cc-by-nc-ref": ["SPDX-License-Identifier: CC-BY-NC-4.0"],
+    "cc-by-nd-ref": ["SPDX-License-Identifier: CC-BY-ND-4.0"],
+    "unlicense": ["SPDX-License-Identifier: Unlicense"],
     "bsd2-ref": ["BSD 2-Clause License", "The BSD 2-Clause License"],
     "bsd3-ref": ["BSD 3-Clause License", "The BSD 3-Clause License"],
     "gpl2-ref": ["GNU General Public License Version 2, June 1991"],
@@ -92,14 +100,15 @@ RULES = [
     ("proprietary", ["reserved"]),
 ]
 #: After them, the rules of names that only headings have.
-HEADING_RULES = [("ISC", ["isc-ref"])]
+HEADING_RULES = [("ISC", ["isc-ref"]), ("GPL-2.0-or-later", ["gpl2-later-ref"]), ("GPL-3.0-or-later", ["gpl3-later-ref"])]
 
 #: Every known sentence holds one of these, and a sentence that holds one speaks of licences.
 MARKS = ["licen", "copyright", "rights reserved", "permission", "redistribut", "permitted", "public domain", "warrant", "copy of the", "prior written"]
 
-#: Ends of sentences.
-CUT = r"[.;:!?]*\s*\n\s*|[.;:!?]+\s+"
-#: The same ends in two kinds.  At a pause a known sentence may go on; at a stop only where it has one itself.
+#: An identifier expression names several licences: each `A OR` and `A AND` of it ends a sentence.
+TAG = "SPDX-License-Identifier:"
+EXPRESSION = rf"(?i)(?:({TAG})|\G(?<!\A))([ \t(]*+[\w.+-]++(?:[ \t]++WITH[ \t]++[\w.-]++)?[ \t)]++)(?:OR|AND)(?=[ \t(])"
+#: Ends of sentences, in two kinds.  At a pause a known sentence may go on; at a stop only where it has one itself.
 #: A line's end is a pause, so that known sentences may be wrapped; a blank line is a stop.
 STOP = r"(?<![.;:!?])(?=[:;]*[.!?])[.;:!?]++\s+|(?<!\s)[^\S\n]*\n[^\S\n]*\n\s*"
 PAUSE = r"(?<![.;:!?])[:;]++\s+|(?<!\s)\s*\n\s*"
@@ -130,16 +139,6 @@ def known_pattern() -> str:
     return f"(?:{known})(?![^{STOPPED}{PAUSED}])|[^{STOPPED}{PAUSED}]+"
 
 
-def known_pieces() -> dict[str, str]:
-    """For the SQL only, which knows a divided sentence by its longest piece: identifiers by piece.
-    Sentences that share that piece (those of SPDX) overwrite each other here."""
-    out = {}
-    for name, own in SENTENCES.items():
-        for s in own:
-            out[max((normalised(p) for p in re.split(CUT, s)), key=len)] = name
-    return out
-
-
 def marked(low: Column, marks: list[str] = MARKS) -> Column:
     """Whether a lower-case text speaks of licences."""
     out = F.lit(False)
@@ -150,7 +149,8 @@ def marked(low: Column, marks: list[str] = MARKS) -> Column:
 
 def _normal(text: Column) -> Column:
     """The lower-case letters and digits of a text, with its ends of sentences."""
-    ends = F.regexp_replace(F.regexp_replace(F.translate(text, STOPPED + PAUSED, "  "), STOP, STOPPED), PAUSE, PAUSED)
+    named = F.regexp_replace(F.translate(text, STOPPED + PAUSED, "  "), EXPRESSION, f"$1$2\n\n{TAG}")
+    ends = F.regexp_replace(F.regexp_replace(named, STOP, STOPPED), PAUSE, PAUSED)
     spaced = F.regexp_replace(F.lower(ends), f"[^a-z0-9{STOPPED}{PAUSED}]+", " ")
     ends = F.regexp_replace(spaced, f" ?([{STOPPED}{PAUSED}]) ?", "$1")
     # Lines with signs only, as comments have them, are blank.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from . import licenses, mixing
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,18 +91,41 @@ FROM w LEFT JOIN n USING (doc_id) JOIN low USING (doc_id)
 """
 
 
+def _sentence_pattern(sentence: str) -> str:
+    """Words that a space or a pause parts, or also a stop where the sentence has one itself."""
+    parts = re.split("([a-z0-9]+)", sentence.lower())
+    out = parts[1]
+    for gap, word in zip(parts[2::2], parts[3::2]):
+        out += (r"[ \x01\x02]" if re.search(r"[.!?]+\s", gap) else r"[ \x02]") + word
+    return out
+
+
 def _licenses() -> str:
-    """Sentences are joined to the known ones, and the rules replace their sequences in order."""
-    known = ", ".join(f"('{k}', '{v}')" for k, v in licenses.known_pieces().items())
+    """The published sentences are looked for in texts whose ends of sentences are \\x01 (stops) and
+    \\x02 (pauses, over which a sentence may go on); the rules replace their sequences in order."""
+    every = [(s, name) for kind in (licenses.SENTENCES, licenses.HEADINGS) for name, own in kind.items() for s in own]
+    pattern = "|".join(sorted({_sentence_pattern(s) for s, _ in every}, key=lambda x: (-len(re.sub(r"\[[^]]*\]", " ", x)), x)))
+    quoted = lambda s: s.replace("'", "''")
+    known = ", ".join(f"('{quoted(s)}', '{name}')" for s, name in every)
     marks = " OR ".join(f"contains(n, '{m}')" for m in licenses.MARKS)
     line = "line"
-    for name, rule in licenses.RULES:
+    for name, rule in licenses.RULES + licenses.HEADING_RULES:
         line = f"replace({line}, '{''.join(f'<{r}>' for r in rule)}', '={name}=')"
     names = ", ".join(f"CASE WHEN contains(line, '={n}=') THEN '{n}' END" for n in dict.fromkeys(n for n, _ in licenses.RULES))
-    return f"""
-WITH known(n, name) AS (VALUES {known}),
-parts AS (SELECT doc_id, regexp_split_to_array(text, '{licenses.CUT}') AS p FROM documents WHERE text IS NOT NULL),
-sentences AS (SELECT doc_id, i, trim(regexp_replace(lower(p[i]), '[^a-z0-9]+', ' ', 'g')) AS n FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
+    text = "translate(text, chr(1) || chr(2), '  ')"
+    for _ in range(4):  # expressions of up to five licences
+        text = rf"regexp_replace({text}, '(?i)(SPDX-License-Identifier:[ \t(]*[\w.+-]+(?:[ \t]+WITH[ \t]+[\w.-]+)?[ \t)]+)(?:OR|AND)([ \t(])', '\1' || chr(10) || chr(10) || 'SPDX-License-Identifier:\2', 'g')"
+    steps = [
+        (r"[.;:!?]*[.!?][.;:!?]*[ \t\n\v\f\r]+", "chr(1)"), (r"[ \t\v\f\r]*\n[ \t\v\f\r]*\n[ \t\n\v\f\r]*", "chr(1)"), (r"[:;]+[ \t\n\v\f\r]+", "chr(2)"),
+        (r"[ \t\n\v\f\r]*\n[ \t\n\v\f\r]*", "chr(2)")]
+    for what, end in steps:
+        text = f"regexp_replace({text}, '{what}', {end}, 'g')"
+    text = rf"regexp_replace(lower({text}), '[^a-z0-9\x01\x02]+', ' ', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, ' ?([\x01\x02]) ?', '\1', 'g'), '\x02{{2,}}', chr(1), 'g')"
+    return rf"""
+WITH known AS (SELECT DISTINCT trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS n, name FROM (VALUES {known}) v(s, name)),
+parts AS (SELECT doc_id, regexp_extract_all(trim({text}) || chr(1), '(?:{pattern})[]|[^]+[]') AS p FROM documents WHERE text IS NOT NULL),
+sentences AS (SELECT doc_id, i, trim(translate(p[i], chr(1) || chr(2), '  ')) AS n FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM parts)),
 named AS (SELECT doc_id, i, coalesce(known.name, 'unknown') AS name FROM sentences LEFT JOIN known USING (n) WHERE {marks}),
 lines AS (SELECT doc_id, string_agg(name, ',' ORDER BY i) AS sentences, string_agg('<' || name || '>', '' ORDER BY i) AS line, count(*) FILTER (name = 'unknown') AS n_unknown FROM named GROUP BY doc_id),
 matched AS (SELECT doc_id, sentences, n_unknown, {line} AS line FROM lines)

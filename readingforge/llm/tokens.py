@@ -118,4 +118,6 @@ def token_counts(docs: DataFrame, path: str, ranks: str | None = None, cache_dir
             todo = join_checked(rows, wanted, ["rf_file", "rf_row"], "left_semi")
         with small_batches(spark):
             todo.select("text").mapInArrow(partial(_encode, path, ranks), COUNTS).write.mode("append").parquet(f"{cache_dir}/version={own}")
-    return digests.join(cached(spark, cache_dir, own), "digest").select("id", "n_bytes", "n_tokens")
+    # Written first, so that the join can split a digest that many rows have.
+    counts = written(cached(spark, cache_dir, own).join(digests.select("digest").distinct(), "digest", "left_semi"), "counts")
+    return digests.join(counts, "digest").select("id", "n_bytes", "n_tokens")

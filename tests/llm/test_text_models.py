@@ -113,8 +113,25 @@ def test_licences(spark):
 
 
 def test_known_sentences_are_marked():
-    assert all(any(m in x for m in licenses.MARKS) for x in licenses.known_pieces())
+    assert all(any(m in x for m in licenses.MARKS) for x in licenses.known_sentences())
     assert {r for _, rule in licenses.RULES for r in rule} <= set(licenses.SENTENCES)
+    assert {r for _, rule in licenses.HEADING_RULES for r in rule} <= set(licenses.HEADINGS)
+    assert {n for n, _ in licenses.HEADING_RULES} <= {n for n, _ in licenses.RULES}
+
+
+def spdx_rows():
+    tag = "SPDX-License-Identifier: "
+    return [
+        (40, f"# {tag}MIT OR Apache-2.0\nimport os", "Apache-2.0,MIT", 0), (41, f"// {tag}(MIT AND BSD-3-Clause) OR GPL-2.0-or-later\n", "GPL-2.0-or-later,MIT,BSD-3-Clause", 0),
+        (42, f"{tag}MIT or ISC or Zlib", "ISC,MIT", 1), (43, f"{tag}GPL-2.0-only WITH Classpath-exception-2.0 OR MIT\nMIT OR ISC", "MIT", 1), (44, f"/* {tag}Unlicense */\n{tag}CC-BY-4.0", "CC-BY-4.0,Unlicense", 0),
+        (45, "MIT OR Apache-2.0", "", 0), (46, f"{tag}MIT ORDER of", "", 1),
+    ]
+
+
+def test_spdx_expressions(spark):
+    got = licenses.scan(cases.docs(spark, [(i, t, "en", "s") for i, t, _, _ in spdx_rows()])).collect()
+    order = list(dict.fromkeys(n for n, _ in licenses.RULES))
+    assert sorted((r.id, ",".join(r.licenses), r.n_unknown) for r in got) == sorted((i, ",".join(sorted(x.split(","), key=order.index)) if x else "", n) for i, _, x, n in spdx_rows())
 
 
 def test_divided_licence_sentences(spark):
@@ -123,7 +140,7 @@ def test_divided_licence_sentences(spark):
     free = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
     rows = [(k, f"# {text}\nimport os\n", of[name], 0) for k, (text, name) in enumerate(ids)]
     rows += [
-        (20, "SPDX-License-Identifier: Zlib", "", 1), (21, "SPDX-License-Identifier: MIT AND Zlib", "", 1), (22, "/* SPDX-License-Identifier: MIT */", "MIT", 0),
+        (20, "SPDX-License-Identifier: Zlib", "", 1), (21, "SPDX-License-Identifier: MIT AND Zlib", "MIT", 1), (22, "/* SPDX-License-Identifier: MIT */", "MIT", 0),
         (23, free.format(":", ",", 3), "GPL-3.0-or-later", 0), (24, free.format(":", ";", 3), "GPL-3.0-or-later", 0), (25, free.format(";", ";", 2), "GPL-2.0-or-later", 0),
         (26, free.format(";", ";", 4), "", 2), (27, "Licensed under the MIT. License", "", 2), (28, "\x01Released under\x02the MIT License\x01", "MIT", 0),
     ]
@@ -132,6 +149,20 @@ def test_divided_licence_sentences(spark):
     assert len(ids) == 10 and len(set(of[name] for _, name in ids)) == 10
 
 
+def against_sql(spark, rows):
+    """The operator against the SQL, which finds sentences in its own way."""
+    import duckdb
+
+    from readingforge.llm import oracle
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [list(r) for r in rows])
+    want = con.execute(oracle.SQL["op2_license_scan"]).fetchall()
+    got = licenses.scan(cases.docs(spark, [(i, t, "en", "s") for i, t in rows])).collect()
+    assert sorted((r.id, ",".join(r.sentences), ",".join(r.licenses), r.n_unknown) for r in got) == sorted(want)
+
+
 def test_wrapped_licence_files(spark):
     of = lambda *names: [licenses.SENTENCES[n][0] for n in names]
     mit, apache = of("mit-grant", "mit-notice", "mit-asis"), [", ".join(of("apache-ref", "apache-use")).replace("2.0,", '2.0 (the "License");'), of("apache-copy")[0] + "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n", *of("apache-asis", "apache-see")]
@@ -147,6 +178,7 @@ def test_wrapped_licence_files(spark):
     heads = [("MIT", "MIT License\n\nprose"), ("ISC", "The ISC License"), ("BSD-3-Clause", "# BSD 3-Clause License"), ("Apache-2.0", "            Apache License\n      Version 2.0, January 2004\n"), ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007")]
     apart = [("", "Released under the MIT\n\nLicense"), ("", "Released under the MIT\n #\n# License"), ("", "Released under the MIT.\nLicense"), ("MIT", "no stop here\nReleased under\nthe MIT License\nno stop there")]
     every = [(k, text, name) for k, (name, text) in enumerate(files + heads + apart)]
+    against_sql(spark, [(k, text) for k, text, _ in every] + [(1000 + i, t) for i, t, _, _ in spdx_rows()] + [(2000, None), (2001, "")])
     got = {r.id: r for r in licenses.scan(cases.docs(spark, [(k, text, "en", "s") for k, text, _ in every])).collect()}
     assert [(k, ",".join(got[k].licenses)) for k, _, _ in every] == [(k, name) for k, _, name in every]
     assert [got[k].sentences for k in range(3)] == [["mit-ref", "unknown", "mit-grant", "mit-notice", "mit-asis"]] * 3
