@@ -266,24 +266,6 @@ def orientation(image: np.ndarray) -> dict:
     return {"rotation": "clockwise" if c >= k else "counterclockwise", "confident": best >= ORIENTATION_SCORE and margin >= ORIENTATION_MARGIN, "clockwise_score": c, "counterclockwise_score": k, "margin": margin}
 
 
-def row_sequence(strength: np.ndarray, rows: int, spacing: float, search: float = 0.08, steps: int = 41) -> tuple[float, float, float]:
-    """top, spacing and mean strength of the evenly spaced rows that fit a profile best, by trying
-    all spacings near the expected one and all tops."""
-    strength = np.max([strength, np.append(strength[1:], 0), np.append(0, strength[:-1])], axis=0)  # a row may be off by one
-    best = (0.0, spacing, -1.0)
-    for s in np.linspace(spacing * (1 - search), spacing * (1 + search), steps):
-        last = len(strength) - 1 - s * (rows - 1)
-        if last < 0:
-            continue
-        tops = np.arange(0, int(last) + 1)
-        at = np.rint(tops[:, None] + s * np.arange(rows)).astype(int)
-        score = strength[np.minimum(at, len(strength) - 1)].mean(1)
-        k = int(score.argmax())
-        if score[k] > best[2]:
-            best = (float(tops[k]), float(s), float(score[k]))
-    return best
-
-
 def peak_near(strength: np.ndarray, at: float, reach: int, floor: float) -> tuple[int, float] | None:
     """The first highest place within reach, if it is high enough."""
     low, high = max(0, int(round(at)) - reach), min(len(strength), int(round(at)) + reach + 1)

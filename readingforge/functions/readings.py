@@ -1,14 +1,17 @@
 """Rules for the text of one reading, as column expressions.  Texts are kept as text: whether a
-reading is valid depends on its spelling.  Digits are ASCII digits."""
+reading is valid depends on its spelling.  The decimal digits of all scripts are digits of a value;
+what counts digits, and what corrects recognised texts, means ASCII digits."""
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import ALARMING_TOP, LIMITS, LOW_GEOMETRY_CONFIDENCE, SEVERITIES
 
-#: Messages of the value rules.
+# Messages of the value rules.
 EMPTY = "Enter a value or mark the cell as blank."
 TOO_LONG = "Too many digits or decimal places; verify the handwritten value."
 SPELLING = "Use exactly one decimal place, such as 22.0 or 53.3."
@@ -16,6 +19,10 @@ SPELLING = "Use exactly one decimal place, such as 22.0 or 53.3."
 # Characters that recognition confuses.
 CONFUSED, MEANT = "OoQIl|,·•_", "000111...."
 
+#: The decimal digits of other scripts, each in the order of its value.
+DIGITS = "".join(c for c in map(chr, range(128, 0x110000)) if unicodedata.category(c) == "Nd")
+VALUES = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
+
 
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once."""
@@ -42,12 +49,17 @@ def shown(number: Column) -> Column:
 
 
 def one_decimal(text: Column) -> Column:
-    return text.rlike(r"\A-?[0-9]+\.[0-9]\z")
+    return text.rlike(r"\A-?\p{Nd}+\.\p{Nd}\z")
+
+
+def ascii_digits(text: Column) -> Column:
+    """The text with ASCII digits.  Few texts have others, so few are gone through."""
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, DIGITS, VALUES)).otherwise(text)
 
 
 def numeric(text: Column) -> Column:
     """The number of a one-decimal text, else null."""
-    return F.when(one_decimal(text), text.try_cast("double"))
+    return F.when(one_decimal(text), ascii_digits(text).try_cast("double"))
 
 
 def is_valid(text: Column, kind: Column) -> Column:
@@ -74,7 +86,7 @@ def _validated(x: Column) -> Column:
     )
     return F.struct(
         t.alias("text"),
-        F.when(~blank & shaped & inside, F.regexp_replace(t, r"\A(-?)0+(?=[0-9])", "$1")).alias("normalized_value"),
+        F.when(~blank & shaped & inside, F.regexp_replace(ascii_digits(t), r"\A(-?)0+(?=[0-9])", "$1")).alias("normalized_value"),
         F.when(~blank & shaped, n).alias("numeric_value"), blank.alias("is_blank"),
         F.when(blank, allowed).otherwise(shaped).alias("format_is_valid"),
         F.when(blank, allowed).otherwise(F.coalesce(shaped & inside, F.lit(False))).alias("within_absolute_limits"),

@@ -93,18 +93,28 @@ def blank_gate(cells: DataFrame) -> DataFrame:
     return cells.mapInPandas(step, ", ".join(f"`{n}` {t}" for n, t in cells.dtypes) + ", " + extra)
 
 
+GEOMETRY = ("geometry_rejection_reason", "uses_fallback_geometry", "local_geometry_confidence")
+
+
 def process(cells: DataFrame, factory: Callable[[], Recogniser], strategy: str = "consensus") -> DataFrame:
-    """Verified cell results: blank cells are set aside, the others recognised, likely blanks found."""
+    """Verified cell results: blank cells are set aside, the others recognised, likely blanks found.
+    Cells may have the columns of their GEOMETRY, which stay; a badly cut cell is no likely blank.
+    A filled cell that the recogniser lost is an error."""
     gated = blank_gate(cells).persist()
     filled = {"consensus": by_consensus, "adaptive": adaptive}[strategy](gated.filter("NOT is_blank"), factory)
     measures = [c for c in gated.columns if c.startswith("blank_") or c == "is_blank"]
+    geometry = [c for c in GEOMETRY if c in gated.columns]
     rows = gated.drop("image").join(filled.drop("reading_type"), KEYS, "left")
     none = F.expr("cast(array() as array<string>)")
+    lost = F.raise_error(F.concat(F.lit("no recognition of "), "filename")).cast(f"array<{VARIANT}>")
+    variants = F.when(F.col("variants").isNull() & ~F.col("is_blank"), lost).otherwise(F.coalesce("variants", F.expr(f"cast(array() as array<{VARIANT}>)")))
     rows = rows.select(
-        *KEYS, "reading_type", *measures, F.coalesce("variants", F.expr(f"cast(array() as array<{VARIANT}>)")).alias("variants"), F.coalesce("consensus_prediction", F.lit("")).alias("consensus_prediction"),
+        *KEYS, "reading_type", *measures, *geometry, variants.alias("variants"), F.coalesce("consensus_prediction", F.lit("")).alias("consensus_prediction"),
         F.coalesce("agreement_count", F.lit(0)).alias("agreement_count"), F.coalesce("average_consensus_confidence", F.lit(0.0)).alias("average_consensus_confidence"),
         F.coalesce("final_value", F.lit("")).alias("final_value"), F.lit(False).alias("human_verified"), F.coalesce("ocr_uncertainty_reasons", none).alias("ocr_uncertainty_reasons"),
         F.coalesce("postprocessing_status", F.lit("blank")).alias("postprocessing_status"), F.coalesce("candidate_interpretations", none).alias("candidate_interpretations"))
+    if len(geometry) == len(GEOMETRY):
+        rows = rows.withColumn("serious_geometry", R.serious_geometry(*[F.col(c) for c in GEOMETRY]))
     return verify.verify(verify.likely_blank(rows))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -106,9 +106,10 @@ def fill_missing_curves(rows: DataFrame, reach: int = 2) -> DataFrame:
     return rows.withColumn("offset", F.when(F.col("reliable"), F.col("offset")).otherwise(mean)).drop("_low", "_high")
 
 
-def monotonic(rows: DataFrame, least_gap: float) -> DataFrame:
+def monotonic(rows: DataFrame, least_gap: float, largest_gap: float = float("inf")) -> DataFrame:
     """Boundaries (sheet_id, axis, index, position, expected, confidence) made ascending: of the first
-    pair that is too close the less confident goes back to where it was expected, again and again.
+    two neighbours that are too close or too far apart the less confident goes back to where it was
+    expected, again and again, at most twice for each boundary.
 
     Each round depends on the one before, so it runs in Python, over one axis of one sheet (32
     boundaries) at a time."""
@@ -116,13 +117,14 @@ def monotonic(rows: DataFrame, least_gap: float) -> DataFrame:
     def repair(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("index").reset_index(drop=True)
         position, confidence = group["position"].to_numpy(float).copy(), group["confidence"].to_numpy(float).copy()
-        moved = group["position"].notna().to_numpy() & False
+        moved = np.zeros(len(group), bool)
         for _ in range(2 * len(group)):
-            close = [k for k in range(len(group) - 1) if position[k + 1] - position[k] < least_gap and not (moved[k] and moved[k + 1])]
-            if not close:
+            gaps = np.diff(position)
+            wrong = np.flatnonzero((gaps < least_gap) | (gaps > largest_gap))
+            free = [k for k in (wrong[0], wrong[0] + 1) if not moved[k]] if len(wrong) else []
+            if not free:
                 break
-            k = close[0]
-            weak = k if (not moved[k] and (moved[k + 1] or confidence[k] <= confidence[k + 1])) else k + 1
+            weak = min(free, key=lambda k: confidence[k])
             position[weak], confidence[weak], moved[weak] = group["expected"][weak], 0.0, True
         return group.assign(position=position, confidence=confidence)
 

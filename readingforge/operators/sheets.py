@@ -27,7 +27,10 @@ PADDING_TOP, PADDING_BOTTOM = 0.03, 0.06
 MIN_TABLE_SHARE = 0.25
 ROW_SPACING, ROW_TOP, STRONG, MIN_STRONG, MIN_MEDIAN = (0.90, 1.23), (0.04, 0.20), 0.20, 30, 0.70
 BANDS_ACROSS, BANDS_DOWN, MATCH_ACROSS, MATCH_DOWN, REACH = 8, 6, 4, 3, 0.42
-CELL_WIDTH, CELL_HEIGHT = (0.5, 1.5), (0.5, 1.5)
+CELL_WIDTH, CELL_HEIGHT, MIN_AREA, GAPS = (0.5, 1.5), (0.5, 1.5), 0.5, (0.5, 1.5)
+PEAK, BEND = 0.25, 0.30
+#: How far from its bound a line counts, in rows.
+NEAR_BOUND = 0.15
 
 
 def bounds(width: int = TABLE[0], height: int = TABLE[1]) -> tuple[np.ndarray, np.ndarray]:
@@ -61,42 +64,65 @@ def flattened(image: np.ndarray) -> np.ndarray:
     return K.warp(image, found, *TABLE)
 
 
-def likelihood(mask: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """For each pixel row the share of the form's columns in which a line runs there."""
-    inside = [mask[:, a:b].mean(1) > 0.5 for a, b in zip(x[:-1], x[1:], strict=True)]
-    return np.mean(inside, axis=0)
+def ruling(mask: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """For each pixel row the share of the form's width, from its first column bound to its last, that
+    a horizontal line covers there or in the rows next to it."""
+    return K.dilate(mask[:, x[0] : x[-1]], 3, 1).mean(1)
+
+
+def ridges(strength: np.ndarray, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Middles and heights of the runs in which a profile is above `floor`."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], (strength > floor).astype(np.int8), [0]])))
+    spans = list(zip(edge[::2], edge[1::2], strict=True))
+    return np.array([(a + b - 1) / 2 for a, b in spans]), np.array([strength[a:b].max() for a, b in spans])
+
+
+def sequences(lines: np.ndarray, height: int, row: float) -> np.ndarray:
+    """(top, spacing) of all sequences of bounds that the form allows and whose first or second and last
+    or last but one bound are found lines."""
+    a, b = (v.ravel() for v in np.meshgrid(lines, lines, indexing="ij"))
+    out = []
+    for first in (0, 1):
+        for last in (DAYS - 1, DAYS):
+            spacing = (b - a) / (last - first)
+            out.append(np.stack([a - first * spacing, spacing], 1))
+    every = np.concatenate(out)
+    top, spacing = every.T
+    allowed = (spacing >= row * ROW_SPACING[0]) & (spacing <= row * ROW_SPACING[1]) & (top >= height * ROW_TOP[0]) & (top <= height * ROW_TOP[1])
+    return every[allowed]
 
 
 def fitted_rows(table: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Row bounds from the printed lines: of all evenly spaced sequences of 32 that the form allows,
-    the one with the most evidence that ends nearest the table's edge; else the known bounds, with
-    the reasons."""
+    """Row bounds from the printed lines, or the known bounds, with the reasons against the lines.
+
+    Two found lines fix a sequence of 32 evenly spaced bounds.  The sequence that meets the most ruling
+    wins (a line counts less, the further from its bound it is), and is then fitted by least squares to
+    the lines that it meets."""
     height, row = table.shape[0], float(np.median(np.diff(y)))
     mask, _ = K.line_masks(table, row, float(np.median(np.diff(x))))
-    strength = likelihood(mask, x)
-    strength = np.max([strength, np.append(strength[1:], 0), np.append(0, strength[:-1])], axis=0)
-    spacing = np.arange(row * ROW_SPACING[0], row * ROW_SPACING[1], 0.1)
-    tops = np.arange(round(height * ROW_TOP[0]), round(height * ROW_TOP[1]) + 1)
-    best: tuple = (-np.inf,)
-    for s in spacing:  # a few hundred; all tops at once
-        place = tops[:, None] + s * np.arange(DAYS + 1)
-        seen = np.where(place < height - 0.5, strength[np.minimum(np.rint(place).astype(int), height - 1)], 0.0)
-        score = np.minimum(seen, 0.75).sum(1) + 0.5 * (seen > STRONG).sum(1) - np.abs(tops + s * DAYS - (height - 1)) / max(1.0, 0.15 * row)
-        k = int(score.argmax())
-        if score[k] > best[0]:
-            best = (score[k], float(tops[k]), float(s), int((seen[k] > STRONG).sum()), float(np.median(seen[k])))
-    _, top, s, strong, median = best
-    reasons = []
-    if strong < MIN_STRONG:
-        reasons.append(f"only {strong} of {DAYS + 1} boundaries had strong evidence")
-    if median < MIN_MEDIAN:
-        reasons.append(f"the median line strength was {median:.3f}")
-    if abs(top + s * DAYS - (height - 1)) > row:
-        reasons.append("the last boundary is too far from the table's edge")
-    facts = {"top": top, "spacing": s, "strong": strong, "median_strength": median, "reason": "; ".join(reasons) or None}
+    strength = ruling(mask, x)
+    lines, heights = ridges(strength, STRONG)
+    facts = {"top": None, "spacing": None, "strong": 0, "median_strength": 0.0, "reason": "no lines that could bound the rows"}
+    every = sequences(lines, height, row)
+    if not len(every):
+        return y, facts
+    reach, step = NEAR_BOUND * row, np.arange(DAYS + 1)
+    place = every[:, :1] + every[:, 1:] * step
+    right = np.clip(np.searchsorted(lines, place), 1, len(lines) - 1) if len(lines) > 1 else np.zeros(place.shape, int)
+    near = np.where(np.abs(lines[right - 1] - place) <= np.abs(lines[right] - place), right - 1, right)
+    away = np.abs(lines[near] - place)
+    k = int((heights[near] * np.clip(1 - away / reach, 0, 1)).sum(1).argmax())
+    met = away[k] <= reach
+    spacing, top = np.polyfit(step[met], lines[near[k, met]], 1) if met.sum() > 1 else every[k, ::-1]
+    seen = np.where(met, heights[near[k]], 0.0)
+    strong, median, last = int((seen > STRONG).sum()), float(np.median(seen)), top + spacing * DAYS
+    reasons = [text for wrong, text in (
+        (strong < MIN_STRONG, f"{strong} of {DAYS + 1} bounds are ruled"), (median < MIN_MEDIAN, f"the ruling of a bound is {median:.3f} in the median"),
+        (abs(last - (height - 1)) > row, f"the last bound is {abs(last - (height - 1)):.0f} pixels from the table's edge")) if wrong]
+    facts = {"top": float(top), "spacing": float(spacing), "strong": strong, "median_strength": median, "reason": "; ".join(reasons) or None}
     if reasons:
         return y, facts
-    return np.rint(np.linspace(top, min(height - 1.0, top + s * DAYS), DAYS + 1)).astype(int), facts
+    return np.rint(np.minimum(top + spacing * step, height - 1)).astype(int), facts
 
 
 def measured(mask: np.ndarray, expected: np.ndarray, ends: tuple[int, int], bands: int, least: int) -> list[dict]:
@@ -110,13 +136,17 @@ def measured(mask: np.ndarray, expected: np.ndarray, ends: tuple[int, int], band
     for e in expected:
         found = [K.peak_near(p, e, int(REACH * spacing), 0.3) for p in profiles]
         offsets = np.array([f[0] - e if f else np.nan for f in found], float)
-        middle = np.nanmedian(offsets) if np.isfinite(offsets).any() else np.nan
-        offsets[np.abs(offsets - middle) > 0.25 * spacing] = np.nan
+        offsets[np.abs(offsets) > REACH * spacing] = np.nan
+        between = (offsets[:-2] + offsets[2:]) / 2
+        lone = np.abs(offsets[1:-1] - between) > PEAK * spacing  # by the offsets as they were found
+        offsets[1:-1][lone] = np.nan
         good = np.isfinite(offsets)
         reliable = int(good.sum()) >= least
         line = np.interp(at, at[good], offsets[good]) if reliable else np.zeros(bands)
+        if reliable and bands > 2 and np.abs(np.diff(line, 2)).max() > BEND * spacing:
+            reliable, line = False, np.zeros(bands)  # too curved
         out.append({
-            "expected": float(e), "at": at, "position": e + line, "direct": int(good.sum()), "reliable": reliable,
+            "expected": float(e), "at": at, "position": e + line, "direct": int(good.sum()), "reliable": reliable, "fixed": False,
             "confidence": float(np.mean([f[1] for f, g in zip(found, good, strict=True) if g])) if good.any() else 0.0})
     return out
 
@@ -128,11 +158,29 @@ def followed(curves: list[dict]) -> list[dict]:
         if not c["reliable"]:
             near = [next((curves[j] for j in js if 0 <= j < len(curves) and curves[j]["reliable"]), None) for js in ((k - 1, k - 2), (k + 1, k + 2))]
             offsets = [(n["position"] - n["expected"]) for n in near if n]
-            c = c | {"position": c["expected"] + (np.mean(offsets, axis=0) if offsets else np.zeros(len(c["at"]))), "confidence": 0.5 * c["confidence"] + 0.2 * bool(offsets)}
+            c = c | {"position": c["expected"] + (np.mean(offsets, axis=0) if offsets else np.zeros(len(c["at"]))), "confidence": 0.5 * c["confidence"] + 0.2 * bool(offsets), "fixed": not offsets}
         out.append(c)
     return out
 
 
+def ascending(curves: list[dict]) -> list[dict]:
+    """Curves of which two neighbours come too close or too far apart anywhere go back to where they
+    were expected: of the first such pair the one that is less certain, until there is none."""
+    out = [dict(c) for c in curves]
+    spacing = float(np.median(np.diff([c["expected"] for c in out])))
+    for _ in range(2 * len(out)):
+        gaps = np.diff([c["position"] for c in out], axis=0)
+        wrong = np.flatnonzero(((gaps < GAPS[0] * spacing) | (gaps > GAPS[1] * spacing)).any(1))
+        if not len(wrong):
+            break
+        free = [out[k] for k in (wrong[0], wrong[0] + 1) if not out[k]["fixed"]]
+        if not free:
+            break
+        weak = min(free, key=lambda c: (c["confidence"], c["direct"]))
+        weak |= {"position": np.full(len(weak["at"]), weak["expected"]), "confidence": 0.0, "fixed": True}
+    return out
+
+
 def mesh(across: list[dict], down: list[dict]) -> np.ndarray:
     """Where the row and column curves cross: 32 x 17 x (x, y), by a few rounds of substitution."""
     out = np.zeros((len(across), len(down), 2))
@@ -156,6 +204,9 @@ def rejected(quad: np.ndarray, width: float, height: float, shape: tuple[int, ..
         return "unlikely width"
     if not ((h > CELL_HEIGHT[0] * height) & (h < CELL_HEIGHT[1] * height)).all():
         return "unlikely height"
+    (ax, ay), (bx, by) = quad[2] - quad[0], quad[3] - quad[1]
+    if abs(ax * by - ay * bx) / 2 < MIN_AREA * width * height:  # half the cross product of the diagonals
+        return "too small"
     return None
 
 
@@ -167,8 +218,8 @@ def cut(image: np.ndarray, geometry: str = "fixed") -> list[dict]:
     crossings = confidence = None
     if geometry == "calibrated":
         rows, columns = K.line_masks(table, float(np.median(np.diff(y))), float(np.median(np.diff(x))))
-        across = followed(measured(rows, y, (x[0], x[-1]), BANDS_ACROSS, MATCH_ACROSS))
-        down = followed(measured(columns.T, x, (y[0], y[-1]), BANDS_DOWN, MATCH_DOWN))
+        across = ascending(followed(measured(rows, y, (x[0], x[-1]), BANDS_ACROSS, MATCH_ACROSS)))
+        down = ascending(followed(measured(columns.T, x, (y[0], y[-1]), BANDS_DOWN, MATCH_DOWN)))
         crossings = mesh(across, down)
         confidence = lambda d, c: float(min(across[d]["confidence"], across[d + 1]["confidence"], down[c]["confidence"], down[c + 1]["confidence"]))
     out = []
@@ -180,7 +231,8 @@ def cut(image: np.ndarray, geometry: str = "fixed") -> list[dict]:
             if crossings is not None:
                 quad = np.array([crossings[d, c], crossings[d, c + 1], crossings[d + 1, c + 1], crossings[d + 1, c]])
                 reason = rejected(quad, float(x[c + 1] - x[c]), float(h), table.shape)
-                row |= {"geometry_rejection_reason": reason, "uses_fallback_geometry": reason is not None, "local_geometry_confidence": confidence(d, c)}
+                used = reason is not None or any(k["fixed"] for k in (across[d], across[d + 1], down[c], down[c + 1]))
+                row |= {"geometry_rejection_reason": reason, "uses_fallback_geometry": used, "local_geometry_confidence": confidence(d, c)}
                 if reason is None:
                     quad[:2, 1] -= h * PADDING_TOP
                     quad[2:, 1] += h * PADDING_BOTTOM

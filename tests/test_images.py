@@ -95,11 +95,9 @@ def test_resizing():
     assert set(K.variants(drawn("23.2"))) == {"original", "grayscale", "contrast", "binary"}
 
 
-def test_row_sequence_finds_the_rows():
+def test_peaks():
     strength = np.zeros(700)
     strength[(40 + 20.5 * np.arange(32)).round().astype(int)] = 1
-    top, spacing, score = K.row_sequence(strength, 32, 20.0)
-    assert abs(top - 40) <= 1 and abs(spacing - 20.5) < 0.05 and score > 0.9
     assert K.peak_near(strength, 43, 5, 0.5) == (40, 1.0) and K.peak_near(strength, 50, 5, 0.5) is None
 
 
@@ -143,22 +141,74 @@ def test_cascade(spark, strategy):
     assert (n.cells, n.filled, n.inputs, n.saved) == ((3, 2, 6, 0) if strategy == "consensus" else (3, 2, 4, 2))
 
 
-def test_job_queue(spark, tmp_path):
-    inbox = tmp_path / "inbox"
-    inbox.mkdir()
+def test_likely_blanks_need_a_good_cut(spark):
+    """A faint single stroke that reads as 1 is a likely blank, but not in a cell that was badly cut."""
+    stroke = np.full((40, 80), 255, np.uint8)
+    stroke[12:24, 40:42] = 20
+    kinds = [("a", None, False, 0.9), ("b", "outside", True, 0.9), ("c", None, False, 0.1), ("d", None, True, 0.9)]
+    rows = [(s, "day_01_point_01_temperature.png", 1, 1, "temperature", why, fixed, sure, images.pack(stroke)) for s, why, fixed, sure in kinds]
+    df = spark.createDataFrame(rows, f"sheet_id string, filename string, day int, point int, reading_type string, geometry_rejection_reason string, uses_fallback_geometry boolean, local_geometry_confidence double, image {images.IMAGE}")
+    assert not K.blankness(stroke)["is_blank"] and K.blankness(stroke)["component_count"] == 1
+    got = {r.sheet_id: r.postprocessing_status for r in recognition.process(df, ones).collect()}
+    assert got["a"] == "likely_blank" and "likely_blank" not in (got["b"], got["c"], got["d"])
 
-    def land(name, *rows):
-        (inbox / name).write_text("\n".join(f'{{"owner_id":"{o}","sheet_id":"{s}","source_filename":"{name}"}}' for o, s in rows))
 
-    work = lambda rows: rows.select("job_id", "sheet_id", F.when(F.col("sheet_id") == "bad", "broken").alias("error"))
-    queue = jobs.JobQueue(spark, str(inbox), str(tmp_path / "store"), work)
-    land("1.json", ("a", "x"), ("a", "x"), ("a", "bad"), ("b", "x"))
-    queue.run()
-    land("2.json", ("a", "x"), ("a", "bad"), ("a", "y"))
+class Ones:
+    def predict(self, batch):
+        return [("1", 0.9)] * len(batch)
+
+
+def ones():
+    return Ones()
+
+
+def test_a_lost_recognition_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(recognition, "by_consensus", lambda cells, factory: recognition.consensus.assemble(recognition.recognise(cells.filter("point = 1"), factory, recognition.CONSENSUS_ORDER), recognition.KEYS))
+    with pytest.raises(Exception, match="no recognition of day_01_point_02"):
+        recognition.process(cell_images(spark), fake).collect()
+
+
+def test_job_queue(spark, tmp_path):
+    def work(rows):
+        if rows.filter("sheet_id = 'crash'").count():
+            raise RuntimeError("crashed")
+        return rows.select("job_id", "sheet_id", F.when(F.col("sheet_id") == "bad", "broken").alias("error"))
+
+    queue = jobs.JobQueue(spark, str(tmp_path / "store"), work)
+    x, again = queue.submit("a", "x", source_filename="f"), queue.submit("a", "x")
+    assert x == again and queue.submit("b", "x") != x
+    assert queue.snapshot(x, "a").state == "queued" and queue.snapshot(x, "b") is None
+    ids = {(r.owner_id, r.sheet_id): r.job_id for r in queue.submit_all(spark.createDataFrame([("a", "bad"), ("a", "x"), ("a", "crash"), ("a", "y"), ("a", "y")], "owner_id string, sheet_id string")).collect()}
+    assert len(ids) == 4 and ids["a", "x"] == x
     queue.run()
-    mine = [(r.sheet_id, r.state) for r in queue.snapshots("a").collect()]
-    assert mine == [("bad", "failed"), ("x", "completed"), ("bad", "failed"), ("y", "completed")]
+    assert [(r.sheet_id, r.state, r.processed_count) for r in queue.snapshots("a").collect()] == [("x", "completed", 1), ("bad", "failed", 1), ("crash", "failed", 0), ("y", "completed", 1)]
+    assert "crashed" in queue.snapshot(ids["a", "crash"], "a").error and queue.snapshot(ids["a", "bad"], "a").error == "broken"
     assert sorted(r.sheet_id for r in queue.results("a").collect()) == ["x", "y"] and queue.results("b").count() == 1
+    # What has ended may be submitted again, as a new job.
+    new = queue.submit("a", "x")
+    assert new != x
+    queue.run()
+    assert queue.snapshot(new, "a").state == "completed"
+    assert queue.consume_result(x, "b") is None and queue.consume_result(x, "a").count() == 1 and queue.consume_result(x, "a") is None
+    assert queue.consume_result(ids["a", "bad"], "a") is None
+    assert not queue.discard_terminal_job(x, "b") and queue.discard_terminal_job(x, "a") and queue.snapshot(x, "a") is None
+    left = spark.createDataFrame([("y",)], "sheet_id string")
+    assert [r.sheet_id for r in jobs.attach(queue.results("a"), left).collect()] == ["y"]
+
+
+def test_job_queue_runs_until_it_is_shut_down(spark, tmp_path):
+    queue = jobs.JobQueue(spark, str(tmp_path / "store"), lambda rows: rows.select("job_id", "sheet_id"))
+    queue.start("0 seconds")
+    job = queue.submit("a", "x")
+    queue.shutdown()
+    assert queue.query is None and queue.snapshot(job, "a").state == "completed"
+
+
+def test_stages(spark):
+    rows = [("a", "failed", None, None), ("b", "queued", None, None), ("c", "completed", True, 0), ("d", "completed", False, 30), ("e", "completed", False, 31)]
+    df = spark.createDataFrame(rows, "sheet_id string, state string, ready boolean, unconfirmed_days int")
+    got = {r.sheet_id: r.stage for r in jobs.stage_label(df.select("sheet_id", "state"), df.filter("ready IS NOT NULL")).collect()}
+    assert got == {"a": "Failed", "b": "Processing", "c": "Ready to export", "d": "In review", "e": "Awaiting review"}
 
 
 def template():
@@ -244,6 +294,61 @@ def test_table_is_found_and_rows_are_fitted():
     assert (same == y).all() and facts["reason"]
 
 
+def test_rows_without_some_lines():
+    """Lines that are missing don't move the others; too few are a reason."""
+    from readingforge.operators import sheets as S
+
+    x, y = S.bounds()
+    for gone, fine in (((0,), True), ((31, 15), True), ((0, 7), True), ((3, 9, 20), False)):
+        image = sheet(shift=-20)
+        for k in gone:
+            place = int(np.rint(np.linspace(y[0] - 20, S.TABLE[1] - 3, 32)[k]))
+            image[place - 2 : place + 6, 4 : S.TABLE[0] - 6] = 250
+        got, facts = S.fitted_rows(image, x, y)
+        assert (facts["reason"] is None) == fine, (gone, facts)
+        if fine:
+            assert np.abs(got - np.linspace(y[0] - 20, S.TABLE[1] - 3, 32)).max() < 5
+    far = np.full((S.TABLE[1], S.TABLE[0]), 250, np.uint8)
+    for k in range(32):
+        far[100 + 31 * k : 103 + 31 * k] = 30
+    same, facts = S.fitted_rows(far, x, y)
+    assert (same == y).all() and "edge" in facts["reason"]
+
+
+def test_curves_are_repaired():
+    from readingforge.operators import sheets as S
+
+    at = np.arange(4.0)
+    curve = lambda expected, position, confidence: {"expected": float(expected), "at": at, "position": np.asarray(position, float) * np.ones(4), "confidence": confidence, "direct": 4, "reliable": True, "fixed": False}
+    curves = [curve(0, 0, 0.9), curve(10, 12, 0.9), curve(20, [20, 16, 20, 20], 0.4), curve(30, 30, 0.9), curve(40, 47, 0.8)]
+    got = S.ascending(curves)
+    assert [c["fixed"] for c in got] == [False, False, True, False, True] and (got[2]["position"] == 20).all() and got[4]["confidence"] == 0.0
+    assert [c["fixed"] for c in curves] == [False] * 5
+    quad = np.array([[10, 10], [60, 10], [60, 30], [10, 30]], float)
+    assert S.rejected(quad, 50, 20, (100, 100)) is None
+    assert S.rejected(quad * [1, 0] + [0, 200], 50, 20, (100, 100)) == "outside the table"
+    assert S.rejected(quad + [0.5, 0.0], 50, 45, (100, 100)) == "unlikely height" and S.rejected(quad, 120, 20, (100, 100)) == "unlikely width"
+    assert S.rejected(np.array([[10, 10], [60, 10], [78, 18.7], [28, 18.7]]), 50, 20, (100, 100)) == "too small"  # sheared: its sides are long enough
+
+
+def test_curves_are_fitted():
+    """Offsets too large, lone peaks and bends that are too strong are no lines."""
+    from readingforge.operators import sheets as S
+
+    def mask(rows):
+        m = np.zeros((100, 80), bool)
+        for k, r in enumerate(rows):
+            m[r, 10 * k : 10 * k + 10] = True
+        return m
+
+    one = lambda rows: S.measured(mask(rows), np.array([20, 50, 80]), (0, 80), 8, 4)[1]
+    straight = one([50, 51, 51, 52, 52, 53, 53, 54])
+    assert straight["reliable"] and straight["direct"] == 8 and straight["position"][0] == 50 and straight["position"][-1] == 54
+    lone = one([50, 50, 50, 60, 50, 50, 50, 50])
+    assert lone["reliable"] and not (lone["position"] > 52).any() and lone["direct"] < 8
+    assert not one([40, 40, 61, 61, 40, 40, 61, 61])["reliable"] and not one([0] * 8)["reliable"]
+
+
 def test_cells_of_a_sheet(spark):
     from readingforge.operators import series
     from readingforge.operators import sheets as S

@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,10 +10,23 @@ def run(spark, rows, schema, column):
     return [r[0] for r in spark.createDataFrame(rows, schema).select(column).collect()]
 
 
-def test_malformed_readings_are_rejected(spark):
-    bad = ["22.", "22", "53.33", "2a.0", "22..0", "22,0", "２２.０", "22.0\n1"]
-    got = run(spark, [(b,) for b in bad], "t string", R.validate(F.col("t"), F.lit("temperature")))
-    assert all(v.error and v.normalized_value is None and not v.format_is_valid for v in got)
+def one_decimal(t):
+    """The shape of a reading, one character at a time: perhaps a minus, digits, a dot, one digit."""
+    t = t.removeprefix("-")
+    head, dot, tail = t.partition(".")
+    return bool(dot) and head.isdecimal() and tail.isdecimal() and len(tail) == 1
+
+
+def test_only_one_decimal_is_a_reading(spark):
+    """All texts of up to four of these signs, and some longer ones."""
+    every = ["".join(x) for n in range(1, 5) for x in itertools.product("7.- ,a", repeat=n)] + ["3\n1", "12.5\n", "1e1.0", "+12.0", "12.0.", "0012.3", "-012.3", "12345", "1.23456", "１２.５", "1２.5", "٣.٤"]
+    clean = [t.strip() for t in every]
+    got = run(spark, [(t,) for t in every], "t string", R.validate(F.col("t"), F.lit("humidity"), False))
+    for t, v in zip(clean, got, strict=True):
+        assert v.format_is_valid == one_decimal(t) and (v.error is None) == (one_decimal(t) and 0 <= float(t) <= 100), t
+        assert v.normalized_value == (None if v.error else ("-" if t[0] == "-" else "") + f"{abs(float(t)):.1f}"), t
+        long = t.isascii() and (t.isdecimal() and len(t) > 3 or t.count(".") == 1 and all(x.isdecimal() for x in t.split(".")) and len(t.split(".")[1]) > 1)
+        assert not v.error or one_decimal(t) or (v.error == R.TOO_LONG) == long or not t, t
 
 
 @pytest.mark.parametrize(
@@ -28,7 +43,7 @@ def test_validate(spark, text, kind, normalized, shaped, inside):
     [
         ("493", "temperature", "49.3", "decimal_inferred", ["49.3"]), ("227", "temperature", "22.7", "decimal_inferred", ["22.7"]), ("568", "temperature", "568", "three_digit_inference_invalid", []),
         ("568", "humidity", "56.8", "decimal_inferred", ["56.8"]), ("4114", "temperature", "4114", "too_many_digits", ["11.4", "41.1"]), ("41.14", "temperature", "41.14", "extra_decimal_digits", ["41.1"]),
-        ("４９３", "temperature", "４９３", "no_safe_correction", []), ("22.0", "temperature", "22.0", "valid_unchanged", []), ("", "humidity", "", "empty_prediction", []), ("51.0", "temperature", "51.0", "malformed_with_decimal", []),
+        ("４９３", "temperature", "４９３", "no_safe_correction", []), ("２２.０", "temperature", "２２.０", "valid_unchanged", []), ("22.0", "temperature", "22.0", "valid_unchanged", []), ("", "humidity", "", "empty_prediction", []), ("51.0", "temperature", "51.0", "malformed_with_decimal", []),
         ("22.", "temperature", "22.", "malformed_with_decimal", []), ("55", "humidity", "5.5", "proposed_correction", ["5.5"]),
     ],
 )
