@@ -1,8 +1,8 @@
 """Local outliers: a reading against its neighbourhood on the form.
 
 The neighbourhood of a reading is the readings of its type and sheet on the same day, and those at
-its point within two days.  Both are window frames over one partitioning by sheet and type, so
-there is no self-join, and what a row gathers is bounded by the form (eleven readings)."""
+its point within two days.  Both are window frames over one partitioning by sheet, so there is no
+self-join, and what a row gathers is bounded by the form (eleven readings)."""
 
 from __future__ import annotations
 
@@ -27,8 +27,8 @@ def neighbours(cells: DataFrame, value: str = "value") -> DataFrame:
     known = F.when(F.col(value).isNotNull(), cell)
     day = Window.partitionBy(*GROUP, "day")
     point = Window.partitionBy(*GROUP, "point").orderBy("day").rangeBetween(-DAY_REACH, DAY_REACH)
-    # One exchange serves both windows.
-    rows = cells.repartition(*GROUP).withColumns({"_day": F.collect_list(known).over(day), "_point": F.collect_list(known).over(point)})
+    # One exchange serves both windows, and those by the rows of a sheet that follow; a sheet has 496 cells.
+    rows = cells.repartition("sheet_id").withColumns({"_day": F.collect_list(known).over(day), "_point": F.collect_list(known).over(point)})
     around = F.concat(
         F.filter("_day", lambda c: c["filename"] != F.col("filename")), F.filter("_point", lambda c: c["day"] != F.col("day")))
     out = F.when(F.col(value).isNotNull(), F.sort_array(F.transform(around, lambda c: c["v"])))

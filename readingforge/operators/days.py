@@ -18,10 +18,14 @@ def confirmable(verified: DataFrame) -> DataFrame:
     return verified.groupBy(*DAY).agg(((F.count(F.lit(1)) == 2 * POINTS) & F.bool_and(fine)).alias("confirmable"))
 
 
+def without(confirmed: DataFrame, touched: DataFrame) -> DataFrame:
+    """The confirmed days without those of `touched` cells."""
+    return confirmed.join(touched.select(*DAY).distinct(), DAY, "left_anti")
+
+
 def invalidate(confirmed: DataFrame, cells: DataFrame, changed: DataFrame) -> DataFrame:
     """The confirmed days without those of changed cells."""
-    touched = cells.join(changed, ["sheet_id", "filename"], "left_semi").select(*DAY).distinct()
-    return confirmed.join(touched, DAY, "left_anti")
+    return without(confirmed, cells.join(changed, ["sheet_id", "filename"], "left_semi"))
 
 
 def next_day(confirmed: DataFrame, current: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import readings as R
 
 CELL = ["sheet_id", "filename"]
-EMPTY = "Empty values require the blank-cell checkbox."
+# Messages of rejected patches.
 UNBLANK = "A value is needed to unmark a blank cell."
 UNKNOWN = "Unknown cell."
 
@@ -36,27 +36,34 @@ def _applied(state: Column, patch: Column, kind: Column) -> Column:
         F.concat(state["errors"], F.array_compact(F.array(F.when(keep, F.struct(patch["seq"].alias("seq"), rejected.alias("error")))))).alias("errors"))
 
 
-def apply_patches(cells: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cells after their patches in order of seq, errors (sheet_id, filename, seq, error), and the
-    changed cells (sheet_id, filename).  The caller verifies the cells once, afterwards."""
+def patched(cells: DataFrame, patches: DataFrame) -> DataFrame:
+    """`cells` after their patches in order of seq, with touched (whether a patch changed the value, the
+    blank mark or the verification) and patch_errors (seq, error).  One join."""
     patch = F.struct("seq", "has_value", F.col("final_value").alias("final_value"), "is_blank", "human_verified")
     listed = patches.groupBy(*CELL).agg(F.array_sort(F.collect_list(patch)).alias("_patches"))
-    errors_type = "array<struct<seq:int,error:string>>"
+    none = F.expr("cast(array() as array<struct<seq:int,error:string>>)")
     start = F.struct(
         F.coalesce("final_value", F.lit("")).alias("value"), F.col("is_blank").alias("blank"), F.col("human_verified").alias("verified"), F.lit(False).alias("changed"),
-        F.lit(False).alias("touched"), F.expr(f"cast(array() as {errors_type})").alias("errors"))
+        F.lit(False).alias("touched"), none.alias("errors"))
     folded = cells.join(listed, CELL, "left").withColumn(
         "_s", F.when(F.col("_patches").isNotNull(), F.aggregate("_patches", start, lambda s, p: _applied(s, p, F.col("reading_type")))))
     done = F.col("_s").isNotNull()
-    out = folded.withColumns({
+    new = {
         "final_value": F.when(done, F.col("_s.value")).otherwise(F.col("final_value")), "is_blank": F.when(done, F.col("_s.blank")).otherwise(F.col("is_blank")),
         "human_verified": F.when(done, F.col("_s.verified")).otherwise(F.col("human_verified")),
         "postprocessing_status": F.when(done & F.col("_s.changed"), "manually_corrected").otherwise(F.col("postprocessing_status")),
-    }).drop("_patches", "_s")
-    wrong = folded.select(*CELL, F.explode("_s.errors").alias("e")).select(*CELL, "e.seq", "e.error")
+    }
+    return folded.select(
+        *[new.get(c, F.col(c)).alias(c) for c in cells.columns], F.coalesce("_s.touched", F.lit(False)).alias("touched"), F.coalesce("_s.errors", none).alias("patch_errors"))
+
+
+def apply_patches(cells: DataFrame, patches: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cells after their patches, errors (sheet_id, filename, seq, error), and the changed cells
+    (sheet_id, filename).  The caller verifies the cells once, afterwards."""
+    out = patched(cells, patches)
+    wrong = out.select(*CELL, F.explode("patch_errors").alias("e")).select(*CELL, "e.seq", "e.error")
     unknown = patches.join(cells.select(*CELL), CELL, "left_anti").select(*CELL, "seq", F.lit(UNKNOWN).alias("error"))
-    changed = folded.filter(F.col("_s.touched")).select(*CELL)
-    return out.select(cells.columns), wrong.unionByName(unknown), changed
+    return out.select(cells.columns), wrong.unionByName(unknown), out.filter("touched").select(*CELL)
 
 
 def from_actions(actions: DataFrame) -> tuple[DataFrame, DataFrame]:

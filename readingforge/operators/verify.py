@@ -1,7 +1,8 @@
 """The verification pass: all derived state of cells from their values, as one plan.
 
 Derived columns are a pure function of the others and are computed anew each time, so the pass is
-idempotent.  One exchange by sheet serves the neighbourhood and the counterpart."""
+idempotent.  One exchange by sheet serves the neighbourhood and the counterpart; a sheet is bounded
+by its form.  Texts of reasons and names of statuses and categories are fixed values."""
 
 from __future__ import annotations
 

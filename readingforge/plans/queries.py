@@ -142,10 +142,8 @@ def next_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def apply_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = P.cell_results(spark, sf_dir)
-    out, _, changed = patches.apply_patches(cells, P.patch_rows(spark, sf_dir))
-    rows = out.join(changed.withColumn("touched", F.lit(True)), ["sheet_id", "filename"], "left")
-    return rows.select(*CELL, "final_value", "is_blank", "human_verified", "postprocessing_status", F.coalesce("touched", F.lit(False)).alias("touched"))
+    out = patches.patched(P.cell_results(spark, sf_dir), P.patch_rows(spark, sf_dir))
+    return out.select(*CELL, "final_value", "is_blank", "human_verified", "postprocessing_status", "touched")
 
 
 @query
@@ -156,9 +154,8 @@ def patch_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def invalidated_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = P.cell_results(spark, sf_dir)
-    _, _, changed = patches.apply_patches(cells, P.patch_rows(spark, sf_dir))
-    return days.invalidate(P.confirmations(spark, sf_dir), cells, changed)
+    out = patches.patched(P.cell_results(spark, sf_dir), P.patch_rows(spark, sf_dir))
+    return days.without(P.confirmations(spark, sf_dir), out.filter("touched"))
 
 
 @query
