@@ -55,6 +55,21 @@ def _metrics(inputs: Column | None = None) -> list[Column]:
     ]
 
 
+VARIANT_NAMES = ("original", "grayscale", "contrast")
+
+
+def variant_rates(rows: DataFrame, *by: str) -> DataFrame:
+    """How often each variant alone was right, how many inputs the recogniser got, how many a cell, and
+    how many were saved against all variants of each filled cell.  `rows` has expected_value and variants
+    (variant, text)."""
+    n, inputs = F.count(F.lit(1)), F.coalesce(F.sum(F.size("variants")), F.lit(0))
+    right = lambda v: F.count_if(F.exists("variants", lambda x: (x["variant"] == v) & (x["text"] == F.col("expected_value"))))
+    filled = F.count_if(F.size("variants") > 0)
+    return rows.groupBy(*by).agg(
+        n.alias("cell_count"), *[safe_ratio(right(v), n).alias(f"{v}_accuracy") for v in VARIANT_NAMES], inputs.alias("ocr_input_count"), safe_ratio(inputs, n).alias("average_ocr_inputs_per_cell"),
+        F.greatest(len(VARIANT_NAMES) * filled - inputs, F.lit(0)).alias("ocr_inputs_saved"))
+
+
 def quality_metrics(rows: DataFrame, *by: str) -> DataFrame:
     """Accuracy, acceptance, review and blank metrics, overall or by columns; ratios to six
     places, null where there is nothing to divide by."""

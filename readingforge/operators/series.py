@@ -72,6 +72,13 @@ def drift(rows: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.round(F.max_by(value, at) - F.min_by(value, at), 6).alias("drift"))
 
 
+def drift_distribution(drifts: DataFrame, *by: str) -> DataFrame:
+    """p50, p95 and max of the absolute drift of series (see `drift`)."""
+    size = F.abs(F.col("drift"))
+    p = lambda q: F.round(F.percentile(size, F.lit(q)), 6)
+    return drifts.groupBy(*by).agg(p(0.5).alias("drift_p50"), p(0.95).alias("drift_p95"), F.round(F.max(size), 6).alias("drift_max"))
+
+
 def boundary_summary(rows: DataFrame) -> DataFrame:
     """Per sheet and axis: counts, p50, p95 and max of absolute and normalised errors, continuity.
     `rows` has sheet_id, axis, index, expected_position, detected_position, spacing, continuity."""
@@ -84,10 +91,16 @@ def boundary_summary(rows: DataFrame) -> DataFrame:
         F.round(F.avg("continuity"), 6).alias("continuity"))
 
 
+# The normalised error and the spacing variation at which nothing is left of a score.
+WORST_ERROR, WORST_VARIATION = 0.35, 0.20
+
+
 def alignment_score(coverage: Column, continuity: Column, error: Column, variation: Column) -> Column:
-    """0 to 100 from coverage, continuity, normalised error and spacing variation."""
+    """0 to 100 from coverage, continuity, the median normalised error (1 if unknown) and the variation of
+    the spacing (nothing if unknown)."""
     share = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    return F.round(100 * (0.35 * share(coverage) + 0.25 * share(continuity) + 0.25 * share(1 - error) + 0.15 * share(1 - variation)), 2)
+    even = F.when(variation.isNull(), 0.0).otherwise(1 - share(variation / WORST_VARIATION))
+    return F.round(100 * (0.35 * share(coverage) + 0.25 * share(continuity) + 0.25 * (1 - share(F.coalesce(error, F.lit(1.0)) / WORST_ERROR)) + 0.15 * even), 2)
 
 
 def sheet_drift(summary: DataFrame) -> DataFrame:

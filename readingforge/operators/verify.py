@@ -107,7 +107,12 @@ def display_status(cells: DataFrame) -> Column:
 # Filters of the review table by name.
 def table_filter(name: str) -> Column:
     some = lambda c: F.size(c) > 0
+    of = lambda c: F.array_contains("review_categories", c)
     return {
+        # the quick review's filters
+        "All unresolved": F.lit(True), "Blocking errors": some("blocking_errors"), "Required confirmations": some("required_confirmation_reasons") & ~F.col("human_verified"),
+        "OCR uncertainty": of("ocr_uncertainty"), "Anomalies": of("anomaly"), "Blank mismatch": of("blank_mismatch"),
+        # the table's
         "All": F.lit(True), "Unresolved": F.col("blocks_export"), "Blocking": some("blocking_errors"), "Confirmations": some("required_confirmation_reasons"),
         "Warnings": some("operational_warnings"), "Notices": some("informational_notices"), "Blank mismatches": F.col("has_blank_mismatch"),
         "Detailed": F.col("blocks_export") | some("review_categories"),

@@ -87,6 +87,13 @@ JUDGED = """WITH judged AS (SELECT CAST(doc_id AS VARCHAR) AS filename, lang, so
   (quality = 1) = (n_chars > 1600) AS postprocessing_correct, n_chars % 5 = 0 AS needs_review, toxic = 1 AS expected_blank, n_chars % 9 = 0 AS predicted_blank, n_chars % 17 = 0 AS crop_alignment_failure
   FROM documents JOIN labels USING (doc_id))"""
 
+_GATES = JUDGED + """, m AS (SELECT source, expected_blank, predicted_blank, needs_review, unnest(['f', 'c', 'h']) AS mode, unnest([final_value_correct, postprocessing_correct, consensus_correct]) AS ok,
+  unnest([crop_alignment_failure, crop_alignment_failure AND needs_review, crop_alignment_failure AND NOT needs_review]) AS fail FROM judged),
+g AS (SELECT mode, coalesce(source, '') AS s, count(*) FILTER (ok) AS r, count(*) FILTER (NOT needs_review AND NOT ok) AS u, count(*) FILTER (fail) AS x, count(*) FILTER (expected_blank) AS eb, count(*) FILTER (predicted_blank) AS pb,
+  round(count(*) FILTER (expected_blank AND predicted_blank) / nullif(count(*) FILTER (predicted_blank), 0), 6) AS bp, round(count(*) FILTER (expected_blank AND predicted_blank) / nullif(count(*) FILTER (expected_blank), 0), 6) AS br
+  FROM m GROUP BY GROUPING SETS ((mode), (mode, source)) HAVING grouping(source) = 1 OR source IS NOT NULL)"""
+_JOINED = " CROSS JOIN ".join(f"(SELECT * FROM g WHERE mode = '{m}' AND s = '{'' if k is None else f'src{k}'}') {m}{'' if k is None else k}" for m in "fch" for k in (None, 0, 1, 2))
+
 METHODS = """WITH raw AS (SELECT strftime(l_shipdate, '%Y-%m') AS sheet_id, strftime(l_shipdate, '%Y-%m') || '_' || day(l_shipdate) || '_' || l_suppkey % 8 AS filename, l_returnflag AS flag, CAST(l_quantity AS BIGINT) AS q, l_orderkey AS k FROM lineitem),
 mc AS (SELECT sheet_id, filename, coalesce(CAST(sum(q) FILTER (flag = 'N') AS BIGINT), 0) AS n, coalesce(CAST(sum(q) FILTER (flag <> 'N') AS BIGINT), 0) AS r, min(k) AS k FROM raw GROUP BY ALL),
 dr AS (SELECT sheet_id, sum(r) / sum(n + r) AS drift FROM mc GROUP BY sheet_id),
@@ -120,18 +127,7 @@ st AS (
 fin AS (SELECT sheet_id, filename, any_value(reading_type) AS reading_type, arg_max(value, k) AS value, arg_max(blank, k) AS blank, arg_max(verified, k) AS verified, arg_max(changed, k) AS changed, arg_max(touched, k) AS touched, any_value(day) AS day FROM st GROUP BY ALL)"""
 
 
-SQL: dict[str, str] = {
-    "reading_anomaly": "WITH " + READINGS + "," + _anomalies("cells", "value", "x") + """
-SELECT sheet_id, day, point, reading_type, value, CAST(context_size AS INT) AS context_size, context_median, context_mad, threshold, coalesce(abs(value - context_median) > threshold, false) AS is_anomaly FROM x""",
-    "reading_validate": "WITH " + SPELLED + "," + _validated("spelled", "text", "mark % 2 = 0", "v") + """
-SELECT sheet_id, day, point, reading_type, normalized_value, num AS numeric_value, format_is_valid, within_absolute_limits, error FROM v""",
-    "reading_normalize": r"""
-WITH raw AS (SELECT doc_id, regexp_replace(translate(coalesce(x, ''), 'OoQIl|,·•_', '000111....'), '[^0-9.\-]', '', 'g') AS t, k FROM
-  (SELECT doc_id, text AS x, 1 AS k FROM documents UNION ALL SELECT doc_id, '-' || doc_id || ',5.2-', 2 FROM documents)),
-dig AS (SELECT *, replace(t, '-', '') AS d FROM raw),
-one AS (SELECT doc_id, k, CASE WHEN t LIKE '-%' THEN '-' ELSE '' END || CASE WHEN contains(d, '.') THEN split_part(d, '.', 1) || '.' || replace(substr(d, strpos(d, '.') + 1), '.', '') ELSE d END AS n FROM dig)
-SELECT doc_id, max(n) FILTER (k = 1) AS head, max(n) FILTER (k = 2) AS number FROM one GROUP BY doc_id""",
-    "reading_correct": r"""
+_CORRECT = r"""
 WITH p AS (SELECT p_partkey, p_partkey AS k, CASE WHEN p_partkey % 2 = 0 THEN 'temperature' ELSE 'humidity' END AS reading_type FROM part),
 t AS (SELECT *, CASE k % 6 WHEN 0 THEN CAST(k AS VARCHAR) WHEN 1 THEN CAST(k % 900 + 100 AS VARCHAR) WHEN 2 THEN (k % 70) || '.' || (k % 10) WHEN 3 THEN (k % 70) || '.' || (k % 100 + 100)
   WHEN 4 THEN (k % 100) || '.' ELSE (k % 10) || '-' END AS text, CASE WHEN reading_type = 'temperature' THEN 10.0 ELSE 0.0 END AS lo, CASE WHEN reading_type = 'temperature' THEN 50.0 ELSE 100.0 END AS hi FROM p),
@@ -144,7 +140,20 @@ f AS (SELECT *, list_sort(list_distinct(list_filter([text[2:], c1, c2, c3], lamb
 s AS (SELECT *, CASE WHEN text = '' THEN 'empty_prediction' WHEN regexp_full_match(text, '-?[0-9]*\.[0-9]{2,}') THEN 'extra_decimal_digits' WHEN fine THEN 'valid_unchanged'
   WHEN regexp_full_match(text, '[0-9]{3}') AND c1_fine THEN 'decimal_inferred' WHEN regexp_full_match(text, '[0-9]{3}') THEN 'three_digit_inference_invalid' WHEN contains(text, '.') THEN 'malformed_with_decimal'
   WHEN regexp_full_match(text, '[0-9]{4,}') THEN 'too_many_digits' WHEN len(found) = 1 THEN 'proposed_correction' WHEN len(found) > 1 THEN 'multiple_interpretations' ELSE 'no_safe_correction' END AS status FROM f)
-SELECT p_partkey, text, CASE status WHEN 'decimal_inferred' THEN c1 WHEN 'proposed_correction' THEN found[1] ELSE text END AS corrected_text, status IN ('decimal_inferred', 'proposed_correction') AS changed,
+"""
+
+SQL: dict[str, str] = {
+    "reading_anomaly": "WITH " + READINGS + "," + _anomalies("cells", "value", "x") + """
+SELECT sheet_id, day, point, reading_type, value, CAST(context_size AS INT) AS context_size, context_median, context_mad, threshold, coalesce(abs(value - context_median) > threshold, false) AS is_anomaly FROM x""",
+    "reading_validate": "WITH " + SPELLED + "," + _validated("spelled", "text", "mark % 2 = 0", "v") + """
+SELECT sheet_id, day, point, reading_type, normalized_value, num AS numeric_value, format_is_valid, within_absolute_limits, error FROM v""",
+    "reading_normalize": r"""
+WITH raw AS (SELECT doc_id, regexp_replace(translate(coalesce(x, ''), 'OoQIl|,·•_', '000111....'), '[^0-9.\-]', '', 'g') AS t, k FROM
+  (SELECT doc_id, text AS x, 1 AS k FROM documents UNION ALL SELECT doc_id, '-' || doc_id || ',5.2-', 2 FROM documents)),
+dig AS (SELECT *, replace(t, '-', '') AS d FROM raw),
+one AS (SELECT doc_id, k, CASE WHEN t LIKE '-%' THEN '-' ELSE '' END || CASE WHEN contains(d, '.') THEN split_part(d, '.', 1) || '.' || replace(substr(d, strpos(d, '.') + 1), '.', '') ELSE d END AS n FROM dig)
+SELECT doc_id, max(n) FILTER (k = 1) AS head, max(n) FILTER (k = 2) AS number FROM one GROUP BY doc_id""",
+    "reading_correct": _CORRECT + r"""SELECT p_partkey, text, CASE status WHEN 'decimal_inferred' THEN c1 WHEN 'proposed_correction' THEN found[1] ELSE text END AS corrected_text, status IN ('decimal_inferred', 'proposed_correction') AS changed,
   status <> 'valid_unchanged' AS needs_review, status,
   CASE WHEN status = 'extra_decimal_digits' AND cut_fine THEN cut WHEN status = 'decimal_inferred' THEN c1 WHEN status IN ('too_many_digits', 'proposed_correction', 'multiple_interpretations') THEN array_to_string(found, '|') ELSE '' END AS candidates FROM s""",
     "severity_bands": """
@@ -251,7 +260,7 @@ SELECT user_id, count(g) AS n, round(avg(g), 6) AS mean_gap, round(stddev_pop(g)
 WITH r AS (SELECT CAST(user_id % 50 AS VARCHAR) AS sheet_id, event_type AS axis, CASE WHEN event_id % 7 <> 0 THEN abs(round(value, 2) - 50.0) END AS e, event_id % 8 / 8 AS c FROM events),
 b AS (SELECT sheet_id, axis, count(*) AS boundaries, count(e) AS detected, round(quantile_cont(e, 0.5), 6) AS error_p50, round(quantile_cont(e, 0.95), 6) AS error_p95, round(max(e), 6) AS error_max,
   round(quantile_cont(e / 37.0, 0.5), 6) AS normalised_p50, round(quantile_cont(e / 37.0, 0.95), 6) AS normalised_p95, round(max(e / 37.0), 6) AS normalised_max, round(avg(c), 6) AS continuity FROM r GROUP BY ALL)
-SELECT *, round(100 * (0.35 * greatest(0, least(1, detected / boundaries)) + 0.25 * greatest(0, least(1, continuity)) + 0.25 * greatest(0, least(1, 1 - normalised_p95)) + 0.15 * 0.9), 2) AS score FROM b""",
+SELECT *, round(100 * (0.35 * greatest(0, least(1, detected / boundaries)) + 0.25 * greatest(0, least(1, continuity)) + 0.25 * (1 - greatest(0, least(1, normalised_p50 / 0.35))) + 0.15 * 0.5), 2) AS score FROM b""",
     "nearest_sample": SERIES + """, t AS (SELECT user_id, event_id AS target FROM s WHERE event_id % 10 = 3), p AS (SELECT * FROM s WHERE event_id % 10 <> 3),
 r AS (SELECT t.user_id, t.target, p.event_id, p.value, row_number() OVER (PARTITION BY t.user_id, t.target ORDER BY abs(p.event_id - t.target), p.event_id) AS k FROM t LEFT JOIN p ON t.user_id = p.user_id)
 SELECT user_id, target, CAST(event_id AS DOUBLE) AS nearest_at, value AS nearest_value FROM r WHERE k = 1""",
@@ -267,6 +276,84 @@ SELECT user_id, round(max(b), 6) AS bend, coalesce(max(b) > 0.30, false) AS too_
     "mapping_audit": VERIFIED + """, r AS (SELECT DISTINCT sheet_id, day, point FROM verified)
 SELECT r.sheet_id, r.day, r.point, k.reading_type, v.final_value AS value, v.is_blank, chr(CAST(66 + 2 * (r.point - 1) + k.o AS INT)) || (r.day + 6) AS address
 FROM r CROSS JOIN (VALUES ('temperature', 0), ('humidity', 1)) k(reading_type, o) LEFT JOIN verified v ON v.sheet_id = r.sheet_id AND v.day = r.day AND v.point = r.point AND v.reading_type = k.reading_type""",
+    "stage_totals": """
+WITH t AS (SELECT CAST(user_id AS VARCHAR) AS sheet_id, event_id % 12 AS s, CAST(CAST(round(value, 2) AS DECIMAL(18,2)) AS DOUBLE) AS v FROM events)
+SELECT sheet_id, """ + ", ".join(f"round(coalesce(sum(v) FILTER (s = {k}), 0), 4) AS {n}" for k, n in enumerate((
+        "upload_decoding_seconds", "document_table_detection_seconds", "perspective_warp_seconds", "measurement_cell_extraction_seconds", "blank_detection_seconds", "ocr_preprocessing_seconds", "ocr_prediction_seconds",
+        "postprocessing_seconds", "verification_seconds", "monitoring_record_construction_seconds", "ui_thumbnail_preparation_seconds", "model_construction_seconds"))) + """,
+  round(sum(v), 4) AS total_sheet_processing_seconds FROM t GROUP BY sheet_id""",
+    "drift_distribution": SERIES + """, d AS (SELECT user_id, abs(round(arg_max(value, event_id) - arg_min(value, event_id), 6)) AS d FROM s GROUP BY user_id)
+SELECT user_id % 50 AS sheet_id, round(quantile_cont(d, 0.5), 6) AS drift_p50, round(quantile_cont(d, 0.95), 6) AS drift_p95, round(max(d), 6) AS drift_max FROM d GROUP BY ALL""",
+    "correction_summary": _CORRECT + r""", o AS (SELECT *, CASE status WHEN 'decimal_inferred' THEN c1 WHEN 'proposed_correction' THEN found[1] ELSE text END AS v, status <> 'valid_unchanged' AS review, (k % 70) || '.' || (k % 10) AS want FROM s)
+SELECT reading_type, count(*) AS total, count(*) FILTER (text = want) AS consensus_correct, count(*) FILTER (v = want) AS corrected_correct, count(*) FILTER (status IN ('decimal_inferred', 'proposed_correction')) AS changed, count(*) FILTER (review) AS review,
+  count(*) FILTER (NOT review) AS accepted, count(*) FILTER (NOT review AND v = want) AS correct_accepts, count(*) FILTER (NOT review AND v <> want) AS unsafe_accepts, round(count(*) FILTER (NOT review AND v = want) / nullif(count(*) FILTER (NOT review), 0), 6) AS accept_accuracy
+FROM o GROUP BY reading_type""",
+    "production_summary": JUDGED + """
+SELECT source, count(*) AS total, count(*) FILTER (final_value_correct) AS correct, round(count(*) FILTER (final_value_correct) / count(*), 6) AS accuracy, count(*) FILTER (NOT needs_review) AS accepted,
+  count(*) FILTER (NOT needs_review AND final_value_correct) AS correct_accepts, round(count(*) FILTER (NOT needs_review AND final_value_correct) / nullif(count(*) FILTER (NOT needs_review), 0), 6) AS accept_accuracy,
+  count(*) FILTER (NOT needs_review AND NOT final_value_correct) AS unsafe_accepts, count(*) FILTER (needs_review) AS review FROM judged GROUP BY source""",
+    "calibrated_gates": _GATES + """
+SELECT c.r >= f.r AS accuracy_kept, c.u <= f.u AS unsafe_not_increased, c0.r >= f0.r AND c0.u <= f0.u AS sample_kept, c.x < f.x AS alignment_failures_fewer, c1.r > f1.r AS first_month_better, c2.r > f2.r AS second_month_better,
+  accuracy_kept AND unsafe_not_increased AND sample_kept AND alignment_failures_fewer AND first_month_better AND second_month_better AS passed FROM """ + _JOINED,
+    "hybrid_gates": _GATES + """
+SELECT h.u <= f.u AS no_new_unsafe, h0.r >= 14 AS sample_right, coalesce(h.bp = 1.0, false) AS blank_precision_whole, coalesce(h.eb = 16 AND h.pb > 7 AND h.br > 7 / 16, false) AS blank_recall_better, round(CASE WHEN c1.r > f1.r THEN greatest(0, h1.r - f1.r) / (c1.r - f1.r) ELSE 1.0 END, 6) >= 0.80 AS gain_retained,
+  h2.u <= f2.u AS second_month_safe, h.x <= f.x AS alignment_failures_not_more, round(CASE WHEN c1.r > f1.r THEN greatest(0, h1.r - f1.r) / (c1.r - f1.r) ELSE 1.0 END, 6) AS gain_kept,
+  no_new_unsafe AND sample_right AND blank_precision_whole AND blank_recall_better AND gain_retained AND second_month_safe AND alignment_failures_not_more AS passed FROM """ + _JOINED,
+    "variant_rates": "WITH " + RESULTS + """, v AS (SELECT *, CASE WHEN is_blank THEN 0 ELSE 3 END AS k, NOT is_blank AND text = third AS same FROM results)
+SELECT sheet_id, reading_type, count(*) AS cell_count, round(count(*) FILTER (same) / count(*), 6) AS original_accuracy, round(count(*) FILTER (same) / count(*), 6) AS grayscale_accuracy,
+  round(count(*) FILTER (NOT is_blank) / count(*), 6) AS contrast_accuracy, CAST(sum(k) AS BIGINT) AS ocr_input_count, round(sum(k) / count(*), 6) AS average_ocr_inputs_per_cell, CAST(0 AS BIGINT) AS ocr_inputs_saved FROM v GROUP BY ALL""",
+    "geometry_warnings": "WITH " + SPELLED + """,
+ids AS (SELECT s.sheet_id, printf('day_%02d_point_%02d_%s.png', d.d, p.p, k.k) AS filename FROM (SELECT DISTINCT sheet_id FROM spelled) s CROSS JOIN range(1, 32) d(d) CROSS JOIN range(1, 9) p(p) CROSS JOIN (VALUES ('temperature'), ('humidity')) k(k))
+SELECT sheet_id, CASE WHEN mark IS NULL THEN 'Extracted crop is missing for this reading.' WHEN mark % 7 = 0 THEN 'Calibrated crop rejected: reason ' || mark % 3
+  WHEN mark % 5 = 0 THEN 'Calibrated extraction uses one or more fixed fallback boundaries.' ELSE '' END AS geometry_warning, count(*) AS n FROM ids LEFT JOIN spelled USING (sheet_id, filename) GROUP BY ALL""",
+    "preflight_summary": "WITH " + SPELLED + """,
+f AS (SELECT sheet_id, count(*) AS n, count(*) FILTER (mark % 97 = 0) AS inv, count(*) FILTER (mark % 89 = 0) AS fb, count(*) FILTER (mark % 83 = 0) AS low FROM spelled GROUP BY sheet_id),
+w AS (SELECT *, list_filter([CASE WHEN n % 3 = 0 AND n % 2 = 0 THEN 'The printed rows were not clear enough, so the form''s row span was kept: too few lines' END, CASE WHEN inv > 0 THEN inv || ' calibrated cell(s) failed the geometry checks and use fixed crops.' END,
+  CASE WHEN fb > 0 THEN fb || ' boundary estimate(s) use the fixed position.' END, CASE WHEN low > 0 THEN low || ' boundary estimate(s) have low confidence.' END], lambda x: x IS NOT NULL) AS ws FROM f)
+SELECT sheet_id, CASE WHEN n % 3 <> 0 AND n = 496 AND inv = 0 THEN 'calibrated' ELSE 'fixed' END AS recommended, coalesce(array_to_string(ws, '|'), '') AS warnings,
+  coalesce(array_to_string(list_filter([CASE WHEN n % 3 <> 0 THEN 'The grid follows the printed rows of all days (' || n % 33 || '/32 strong bounds).' END,
+    CASE WHEN len(ws) = 0 THEN 'No rejected, fixed or uncertain cell was found; a look at the crops is still needed.' END], lambda x: x IS NOT NULL), '|'), '') AS notices FROM w""",
+    "representative_pairs": "WITH " + READINGS + """, c6 AS (SELECT *, count(*) OVER (PARTITION BY sheet_id) AS n FROM cells WHERE day IN (1, 16, 31) AND point = 4)
+SELECT sheet_id, day, CASE day WHEN 1 THEN 'Top' WHEN 16 THEN 'Middle' ELSE 'Bottom' END AS position, reading_type, filename, value AS fixed, -value AS calibrated FROM c6 WHERE n = 6""",
+    "structure_check": "WITH " + READINGS + """
+SELECT sheet_id, count(*) AS cells, count(*) FILTER (reading_type = 'temperature') AS temperature, count(*) FILTER (reading_type = 'humidity') AS humidity, count(DISTINCT filename) AS names FROM cells GROUP BY sheet_id
+HAVING cells <> 496 OR temperature <> 248 OR humidity <> 248 OR names <> 496""",
+    "review_filters": VERIFIED + """
+SELECT filter, count(*) FILTER (CASE filter WHEN 'All unresolved' THEN true WHEN 'Blocking errors' THEN n_blocking_errors > 0 WHEN 'Required confirmations' THEN n_required_confirmation_reasons > 0 AND NOT human_verified
+  WHEN 'OCR uncertainty' THEN list_contains(categories, 'ocr_uncertainty') WHEN 'Anomalies' THEN list_contains(categories, 'anomaly') ELSE list_contains(categories, 'blank_mismatch') END) AS n
+FROM (SELECT * FROM verified WHERE blocks_export) CROSS JOIN (VALUES ('All unresolved'), ('Blocking errors'), ('Required confirmations'), ('OCR uncertainty'), ('Anomalies'), ('Blank mismatch')) f(filter) GROUP BY filter""",
+    "editor_rows": VERIFIED + """, t AS (SELECT * FROM verified WHERE reading_type = 'temperature'), h AS (SELECT * FROM verified WHERE reading_type = 'humidity')
+SELECT sheet_id, day, point, 'crop of ' || t.filename AS temperature_crop, t.final_value AS temperature, t.is_blank AS temperature_blank, 'crop of ' || h.filename AS humidity_crop, h.final_value AS humidity, h.is_blank AS humidity_blank,
+  CASE WHEN t.blocks_export OR h.blocks_export THEN 'Blocked' WHEN t.warned THEN 'Operational warning' WHEN t.minor OR h.minor THEN 'Ready with notice' ELSE 'Ready' END AS status FROM t JOIN h USING (sheet_id, day, point)""",
+    "diagnostic_rows": VERIFIED + """, j AS (SELECT *, '{"contrast":"' || third || '","grayscale":"' || text || '","original":"' || text || '"}' AS js FROM verified)
+SELECT sheet_id, filename, is_blank, js AS raw_predictions_json, js AS normalized_predictions_json, '{"contrast":0.9,"grayscale":0.9,"original":0.9}' AS confidences_json, agreement AS agreement_count, final_value AS proposed_final_value,
+  '[]' AS candidate_interpretations_json, CASE WHEN len(categories) = 0 THEN '[]' ELSE '["' || array_to_string(categories, '","') || '"]' END AS review_categories_json, human_verified, blocks_export AS needs_review FROM j""",
+    "verification_audit": VERIFIED + "," + CONFIRMED + """, f AS (SELECT sheet_id, count(*) FILTER (n_blocking_errors > 0) AS blocking, count(*) FILTER (n_required_confirmation_reasons > 0 AND NOT human_verified) AS attention,
+  count(*) FILTER (NOT format_is_valid OR NOT within_absolute_limits) AS invalid, count(*) FILTER (blocks_export) AS blocked, count(DISTINCT (day, point)) FILTER (has_blank_mismatch) AS mismatch, count(*) FILTER (warned) AS warned_n FROM verified GROUP BY sheet_id),
+g AS (SELECT f.*, coalesce((SELECT list_sort(list(c.day)) FROM confirmed c WHERE c.sheet_id = f.sheet_id), []) AS done FROM f), e AS (SELECT *, list_filter(range(1, 32), lambda d: NOT list_contains(done, CAST(d AS INT))) AS left_days FROM g)
+SELECT sheet_id, '{"schema_version":1,"sheet_fingerprint":"' || sheet_id || '","geometry_mode":"fixed","confirmed_days":[' || coalesce(array_to_string(done, ','), '') || '],"unconfirmed_days":[' || coalesce(array_to_string(left_days, ','), '')
+  || '],"blocking_cell_count":' || blocking || ',"attention_item_count":' || attention || ',"blank_mismatch_count":' || mismatch || ',"operational_warning_count":' || warned_n || ',"invalid_final_value_count":' || invalid
+  || ',"export_ready":' || CASE WHEN len(left_days) + blocking + attention + mismatch + invalid + blocked = 0 THEN 'true' ELSE 'false' END || '}' AS audit FROM e""",
+    "export_guards": """
+WITH u AS (SELECT CAST(user_id % 200 AS VARCHAR) AS sheet_id, count(*) AS k FROM events GROUP BY ALL),
+r AS (SELECT sheet_id, k, CAST(d.d AS INT) AS day, CAST(p.p AS INT) AS point FROM u CROSS JOIN range(1, 32) d(d) CROSS JOIN range(1, 9) p(p) WHERE k % 5 <> 0 OR d.d * 8 + p.p <> 100),
+e AS (SELECT * FROM r WHERE NOT (k % 11 = 0 AND day = 4 AND point = 1) AND NOT (k % 7 = 0 AND day = 9 AND point = 8) UNION ALL SELECT * FROM r WHERE k % 7 = 0 AND day = 3 AND point = 2
+  UNION ALL SELECT sheet_id, k, 40, point FROM r WHERE k % 11 = 0 AND day = 4 AND point = 1),
+s AS (SELECT *, CASE WHEN k % 13 = 0 AND day = 5 THEN NULL ELSE k % 3 = 0 AND day = 6 END AS b FROM e),
+n AS (SELECT sheet_id, day, point, count(*) AS n FROM s GROUP BY ALL),
+lack AS (SELECT u.sheet_id, min((CAST(d.d AS INT), CAST(p.p AS INT))) AS m FROM u CROSS JOIN range(1, 32) d(d) CROSS JOIN range(1, 9) p(p) WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.sheet_id = u.sheet_id AND n.day = d.d AND n.point = p.p) GROUP BY ALL),
+f AS (SELECT sheet_id, count(*) AS c, count(*) FILTER (b) AS blocked, count(*) FILTER (b IS NULL) AS unknown FROM s GROUP BY sheet_id),
+o AS (SELECT sheet_id, min((day, point)) AS m FROM n WHERE day NOT BETWEEN 1 AND 31 GROUP BY ALL), t AS (SELECT sheet_id, min((day, point)) AS m FROM n WHERE n > 1 GROUP BY ALL),
+v AS (SELECT f.sheet_id, CASE WHEN c <> 248 THEN c || ' rows instead of 248' WHEN unknown > 0 THEN 'rows without an export state' WHEN blocked > 0 THEN blocked || ' blocked rows'
+  WHEN o.m IS NOT NULL THEN 'not on the form: Day ' || o.m[1] || ', Point ' || o.m[2] WHEN t.m IS NOT NULL THEN 'repeated: Day ' || t.m[1] || ', Point ' || t.m[2]
+  WHEN lack.m IS NOT NULL THEN 'missing: Day ' || lack.m[1] || ', Point ' || lack.m[2] END AS violation FROM f LEFT JOIN o USING (sheet_id) LEFT JOIN t USING (sheet_id) LEFT JOIN lack USING (sheet_id))
+SELECT * FROM v WHERE violation IS NOT NULL""",
+    "boundary_positions": """
+WITH a AS (SELECT p_partkey AS k, CAST(p_partkey % 60 - 10 AS DOUBLE) AS x, CAST(p_partkey % 7 AS DOUBLE) AS y0, CAST(p_partkey % 11 AS DOUBLE) AS y1, CAST(p_partkey % 13 AS DOUBLE) AS y2, CAST(p_partkey % 17 AS DOUBLE) AS y3 FROM part)
+SELECT k AS p_partkey, round(CASE WHEN x <= 0 THEN y0 WHEN x <= 10 THEN y0 + (y1 - y0) * x / 10 WHEN x <= 20 THEN y1 + (y2 - y1) * (x - 10) / 10 WHEN x <= 40 THEN y2 + (y3 - y2) * (x - 20) / 20 ELSE y3 END, 6) AS position,
+  CASE k % 4 WHEN 0 THEN 'detected' WHEN 1 THEN 'fixed_fallback' ELSE 'interpolated' END AS source, round((k % 5 - k % 3) / greatest(k % 5 + k % 3, 1e-6), 6) AS difference FROM a""",
+    "queue_stream": """
+SELECT CAST(user_id AS VARCHAR) AS owner_id, event_type AS sheet_id, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS state, CASE WHEN event_type = 'error' THEN 0 ELSE count(*) END AS processed_count FROM events GROUP BY user_id, event_type""",
     "page_slice": "WITH " + READINGS + """, o AS (SELECT *, row_number() OVER (ORDER BY day, point, CASE WHEN reading_type = 'temperature' THEN 0 ELSE 1 END) AS k, least(3, greatest(1, ceil(count(*) OVER () / 40))) AS page
   FROM cells WHERE sheet_id = '1995-03') SELECT sheet_id, day, point, reading_type, value FROM o WHERE k > 40 * (page - 1) AND k <= 40 * page""",
     "context_view": "WITH " + READINGS + """ SELECT sheet_id, day, point, reading_type, value FROM cells WHERE sheet_id = '1995-03' AND reading_type = 'humidity' AND (day = 10 OR (point = 4 AND day BETWEEN 8 AND 12))""",
