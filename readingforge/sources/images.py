@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -114,3 +114,95 @@ def to_png(images: DataFrame, column: str = "image") -> DataFrame:
             yield b.assign(png=[encode_png(unpack(x)) for x in b[column]])
 
     return images.mapInPandas(step, ", ".join(f"`{n}` {t}" for n, t in images.dtypes) + ", png binary")
+
+
+def from_png(images: DataFrame, column: str = "png") -> DataFrame:
+    """`images` with `image`, decoded from PNG files: what `to_png` stored."""
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(image=[pack(decode_png(bytes(x))) for x in b[column]])
+
+    rest = [(n, t) for n, t in images.dtypes if n != "image"]
+    return images.select(*[n for n, _ in rest]).mapInPandas(step, ", ".join(f"`{n}` {t}" for n, t in rest) + f", image {IMAGE}")
+
+
+PAGE_COLUMNS = ["fingerprint", "source_filename", "page", "image", "error"]
+
+
+def decoded_pages(spark: SparkSession, path: str, render=None) -> DataFrame:
+    """fingerprint, source_filename, page, image, error of all uploads of a folder.  Files that are empty,
+    unknown or damaged, and scans that PDF files hold as JPEG, are rows with an error."""
+    from . import pdf
+
+    files = uploads(spark, path)
+    struct = F.struct("height", "width", F.col("nChannels").alias("channels"), "data")
+    raster = load_images(spark, path).select(F.regexp_replace("origin", "^file:/+", "/").alias("_path"), struct.alias("image"))
+    own = files.filter("kind IN ('png', 'jpeg')").withColumn("_path", F.regexp_replace("path", "^file:/+", "/")).join(raster, "_path", "left")
+    images = own.select("fingerprint", "source_filename", F.lit(1).alias("page"), "image", F.when(F.col("image").isNull(), "the image can't be decoded").alias("error"))
+    scans = pdf.pages(files.filter("kind = 'pdf'"), render)
+    scans = scans.withColumn("error", F.coalesce("error", F.when(F.col("jpeg").isNotNull(), "the page is a JPEG file: decode it as an upload of its own")))
+    other = files.filter("kind IN ('empty', 'unknown')").select("fingerprint", "source_filename", F.lit(None).cast("int").alias("page"), F.lit(None).cast(IMAGE).alias("image"), F.concat("kind", F.lit(" content")).alias("error"))
+    return images.unionByName(scans.select(*PAGE_COLUMNS)).unionByName(other)
+
+
+def only_page(pages: DataFrame) -> DataFrame:
+    """`pages`, if each file has exactly one."""
+    from ..operators.pairing import guard
+
+    counts = pages.groupBy("fingerprint").agg(F.count("page").alias("n")).filter("n <> 1")
+    guard(counts, "files without exactly one page")
+    return pages
+
+
+def queue_items(pages: DataFrame) -> DataFrame:
+    """Pages as items of the queue: sheet_id, fingerprint, page, display_name, png."""
+    good = sheet_ids(pages.filter("error IS NULL"))
+    several = F.count(F.lit(1)).over(Window.partitionBy("fingerprint", "source_filename")) > 1
+    name = F.when(several, F.concat("source_filename", F.lit(" - page "), F.col("page").cast("string"))).otherwise(F.col("source_filename"))
+    return to_png(good.withColumn("display_name", name)).select("sheet_id", "fingerprint", "page", "display_name", "png")
+
+
+def named_crops(spark: SparkSession, folder: str) -> DataFrame:
+    """filename and image of a folder of crops."""
+    struct = F.struct("height", "width", F.col("nChannels").alias("channels"), "data")
+    return load_images(spark, folder).select(F.element_at(F.split("origin", "/"), -1).alias("filename"), struct.alias("image"))
+
+
+def sample_cells(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Crops whose names tell their cell (filename, day, point, reading_type, image), and the names of
+    the others."""
+    from ..functions.readings import place_of
+
+    crops = named_crops(spark, folder).withColumn("_p", place_of(F.col("filename")))
+    told = F.col("_p.day").isNotNull()
+    return crops.filter(told).select("filename", "_p.day", "_p.point", "_p.reading_type", "image"), crops.filter(~told).select("filename")
+
+
+def label_cells(spark: SparkSession, labels: DataFrame, folder: str) -> DataFrame:
+    """The crops of a labelled sample, without the truth: sheet_id, filename, day, point, reading_type,
+    image.  A label without a crop is an error."""
+    rows = labels.select("sheet_id", "filename", "day", "point", "reading_type").join(named_crops(spark, folder), "filename", "left")
+    lost = F.raise_error(F.concat(F.lit("no crop of "), "filename")).cast(IMAGE)
+    return rows.select("sheet_id", "filename", "day", "point", "reading_type", F.when(F.col("image").isNull(), lost).otherwise(F.col("image")).alias("image"))
+
+
+def save_pngs(images: DataFrame, folder: str, column: str = "image") -> None:
+    """A PNG file for each row of `images` (filename and an image) in a folder that all executors reach."""
+
+    def step(rows) -> None:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system.create_dir(base, recursive=True)
+        for r in rows:
+            with system.open_output_stream(f"{base}/{r['filename']}") as out:
+                out.write(encode_png(unpack(r[column])))
+
+    images.select("filename", column).foreachPartition(step)
+
+
+def save_review_crops(cells: DataFrame, results: DataFrame, folder: str) -> None:
+    """The crops of the cells that a person has to look at."""
+    wanted = results.filter("needs_review").select("sheet_id", "filename")
+    save_pngs(cells.join(wanted, ["sheet_id", "filename"], "left_semi"), folder)
