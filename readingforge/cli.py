@@ -9,17 +9,15 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators import days, metrics, pairing, recognition, series, sheets
+from .operators import benchmark, consensus, days, metrics, pairing, recognition, reports, series, sheets
+from .functions import readings as R
 from .sources import images, tables, workbook
 
-RESULT_COLUMNS = ["sheet_id", "filename", "day", "point", "reading_type", "final_value", "is_blank", "human_verified", "blocks_export", "needs_review", "review_reason", "review_categories", "variants"]
-
-
 def loaded(spark: SparkSession, path: str):
-    """Images of a folder as sheets (sheet_id, image)."""
-    df = images.load_images(spark, path)
-    image = F.struct("height", "width", F.col("nChannels").alias("channels"), "data")
-    return df.select(F.sha2(F.concat("origin", F.lit(":page:1")), 256).alias("sheet_id"), image.alias("image"))
+    """The pages of a folder of uploads as sheets (sheet_id, image); uploads that can't be read are an error."""
+    pages = images.decoded_pages(spark, path)
+    pairing.guard(pages.filter("error IS NOT NULL").select("source_filename", "error"), "uploads that can't be read")
+    return images.sheet_ids(pages).select("sheet_id", "image")
 
 
 def factory(name: str):
@@ -38,6 +36,12 @@ def parser() -> argparse.ArgumentParser:
     add("readiness", "results", "confirmations", "output")
     add("evaluate", "labels", "results", "output")
     add("export", "results", "template", "month", "output")
+    add("preflight", "images", "output")
+    add("telemetry", "images", "output")
+    add("corrections", "predictions", "output")
+    add("variants", "labels", "crops", "recogniser", "output")
+    add("audit", "results", "confirmations", "output")
+    add("benchmark", "labels", "fixed", "calibrated", "drift", "recogniser", "output")
     return p
 
 
@@ -48,7 +52,8 @@ def main(argv: list[str] | None = None) -> int:
         cells = sheets.cells(sheets.oriented(loaded(spark, a.images)), a.geometry)
         out = recognition.process(cells, factory(a.recogniser), a.strategy)
         out.write.mode("overwrite").parquet(a.output)
-        tables.write_csv(spark.read.parquet(a.output), f"{a.output}.csv", RESULT_COLUMNS, "overwrite")
+        rows = reports.diagnostic_rows(spark.read.parquet(a.output))
+        tables.write_csv(rows, f"{a.output}.csv", rows.columns, "overwrite")
     elif a.command == "align":
         report = series.boundary_summary(sheets.boundaries(loaded(spark, a.images)))
         tables.write_json(report, a.output, "overwrite")
@@ -59,11 +64,30 @@ def main(argv: list[str] | None = None) -> int:
         pairing.guard(metrics.unmatched(labels, results), "labels and results differ")
         tables.write_json(metrics.grouped_metrics(metrics.evaluate(labels, results), ["sheet_id", "reading_type"]), a.output, "overwrite")
     elif a.command == "export":
-        audit = pairing.mapping_audit(pairing.monitoring_rows(spark.read.parquet(a.results)))
+        audit = pairing.mapping_audit(reports.exportable(pairing.monitoring_rows(spark.read.parquet(a.results))))
         with open(a.template, "rb") as f:
             data = workbook.export(f.read(), audit, a.month)
         with open(a.output, "wb") as f:
             f.write(data)
+    elif a.command == "preflight":
+        tables.write_json(reports.preflight(sheets.preflight_facts(loaded(spark, a.images))), a.output, "overwrite")
+    elif a.command == "telemetry":
+        tables.write_json(sheets.manifest(sheets.telemetry(loaded(spark, a.images))), a.output, "overwrite")
+    elif a.command == "corrections":
+        rows = tables.read_csv(spark, a.predictions, ["filename", "expected_value", "consensus_prediction"]).withColumn("reading_type", R.kind_of(F.col("filename")))
+        tables.write_json(reports.correction_summary(rows), a.output, "overwrite")
+    elif a.command == "variants":
+        labels = tables.read_labels(spark, a.labels)
+        rows = benchmark.variant_benchmark(images.label_cells(spark, labels, a.crops), labels, factory(a.recogniser))
+        tables.write_json(consensus.variant_accuracy(rows), a.output, "overwrite")
+    elif a.command == "audit":
+        results, done = spark.read.parquet(a.results), spark.read.parquet(a.confirmations)
+        tables.write_json(reports.verification_audit(results, done, days.readiness(results, done), "fixed"), a.output, "overwrite")
+    elif a.command == "benchmark":
+        labels = tables.read_labels(spark, a.labels)
+        cells = {m: images.label_cells(spark, labels, getattr(a, m)) for m in ("fixed", "calibrated")}
+        drift = spark.read.json(a.drift, schema="sheet_id string, drift double")
+        benchmark.write_bundle(benchmark.run(labels, cells, drift, factory(a.recogniser)), a.output, "overwrite")
     return 0
 
 

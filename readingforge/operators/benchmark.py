@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics, recognition
+from ..sources import tables
+from . import metrics, recognition, reports
 from .pairing import Violation, guard
 
 ORDERS = (("fixed", "calibrated"), ("calibrated", "fixed"))
@@ -56,6 +57,58 @@ def run(labels: DataFrame, cells: dict[str, DataFrame], drift: DataFrame, factor
     results, trials = predict(cells, factory, strategy)
     rows = {m: metrics.evaluate(labels, r) for m, r in results.items()}
     hybrid = metrics.hybrid(rows["fixed"], rows["calibrated"], drift)
-    every = rows["fixed"].withColumn("geometry_mode", F.lit("fixed")).unionByName(rows["calibrated"].withColumn("geometry_mode", F.lit("calibrated")))
+    chosen = hybrid_rows(hybrid, rows)
+    every = rows["fixed"].withColumn("geometry_mode", F.lit("fixed")).unionByName(rows["calibrated"].withColumn("geometry_mode", F.lit("calibrated"))).unionByName(chosen.withColumn("geometry_mode", F.lit("hybrid")))
     times = trials.withColumn("ocr_time_seconds", F.col("processing_time_seconds"))
-    return {"rows": every, "hybrid": hybrid, "summary": metrics.quality_metrics(every, "geometry_mode"), "comparison": metrics.compare(rows["fixed"], rows["calibrated"]), "times": metrics.timing(times)}
+    return {
+        "rows": every, "hybrid": hybrid, "summary": metrics.quality_metrics(every, "geometry_mode"), "variants": metrics.variant_rates(every, "geometry_mode"), "comparison": metrics.compare(rows["fixed"], rows["calibrated"]),
+        "times": metrics.timing(times), "blanks": blank_rows(every)}
+
+
+def hybrid_rows(hybrid: DataFrame, rows: dict[str, DataFrame], key: str = "filename") -> DataFrame:
+    """The evaluated rows of the method that was chosen for each, with what the hybrid policy decides:
+    a confirmation asks for a review and takes the acceptance away."""
+    out = None
+    for mode, df in rows.items():
+        own = hybrid.filter(F.col("selected_geometry") == mode).select(key, F.col("blocks_export").alias("_blocks"), F.col("automatic_acceptance").alias("_automatic"), F.col("needs_confirmation").alias("_ask"))
+        part = df.join(own, key).withColumns({
+            "blocks_export": F.col("_blocks"), "needs_review": F.col("needs_review") | F.col("_ask"), "automatic_acceptance": F.col("_automatic"),
+            "correct_automatic_acceptance": F.col("_automatic") & F.col("final_value_correct"), "unsafe_automatic_acceptance": F.col("_automatic") & ~F.col("final_value_correct")}).drop("_blocks", "_automatic", "_ask")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def blank_rows(rows: DataFrame) -> DataFrame:
+    """Blanks by ink alone and after everything, for `metrics.blank_confusion`: mode, filename,
+    expected_blank, blank_before, blank_after."""
+    before = F.col("is_blank") & (F.col("postprocessing_status") != "likely_blank")
+    return rows.select(F.col("geometry_mode").alias("mode"), "filename", "expected_blank", before.alias("blank_before"), F.col("is_blank").alias("blank_after"))
+
+
+def gates(rows: DataFrame, sheets: tuple[str, str, str]) -> dict[str, DataFrame]:
+    """The checks of both methods that may replace the fixed one; `sheets` are the sample and the two months."""
+    by_mode = {m: metrics.grouped_metrics(rows.filter(F.col("geometry_mode") == m), ["sheet_id"]) for m in ("fixed", "calibrated", "hybrid")}
+    return {"calibrated": reports.calibrated_gates(by_mode["fixed"], by_mode["calibrated"], sheets), "hybrid": reports.hybrid_gates(by_mode["fixed"], by_mode["calibrated"], by_mode["hybrid"], sheets)}
+
+
+ROW_COLUMNS = ["geometry_mode", "item_number", "sheet_id", "filename", "day", "point", "reading_type", "expected_value", "expected_blank", "consensus_prediction", "final_value", "is_blank", "needs_review", "blocks_export", "postprocessing_status", *metrics.FLAGS]
+
+
+def write_bundle(out: dict[str, DataFrame], folder: str, mode: str = "error") -> None:
+    """The results of `run` as files: rows, comparison and hybrid decisions as CSV, summaries and times as JSON."""
+    columns = list(dict.fromkeys(c for c in ROW_COLUMNS if c in out["rows"].columns))
+    tables.write_csv(out["rows"].orderBy("geometry_mode", "item_number"), f"{folder}/rows.csv", columns, mode)
+    for name in ("comparison", "hybrid"):
+        tables.write_csv(out[name], f"{folder}/{name}.csv", out[name].columns, mode)
+    for name in ("summary", "variants", "times"):
+        tables.write_json(out[name], f"{folder}/{name}.json", mode)
+
+
+def variant_benchmark(cells: DataFrame, labels: DataFrame, factory: Callable[[], recognition.Recogniser], variants: tuple[str, ...] = ("original", "grayscale", "contrast", "binary")) -> DataFrame:
+    """Every variant of every labelled cell, read and compared: filename, variant, text, confidence, expected,
+    right, decimal_error.  `consensus.variant_accuracy` sums it up."""
+    from ..functions import readings as R
+
+    read = recognition.recognise(cells, factory, variants).withColumn("text", R.normalise(R.clean(F.col("raw_text"))))
+    rows = read.join(labels.filter("NOT expected_blank").select("filename", F.col("expected_value").alias("expected")), "filename")
+    return rows.select("filename", "variant", "text", "confidence", "expected", (F.col("text") == F.col("expected")).alias("right"), R.decimal_only_error(F.col("text"), F.col("expected")).alias("decimal_error"))

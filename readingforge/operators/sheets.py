@@ -12,9 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..schema import DAYS, KINDS, POINTS
+from ..schema import DAYS, KINDS, LOW_GEOMETRY_CONFIDENCE, POINTS, kind_order
 from ..sources.images import IMAGE, pack, unpack
 
 # The flattened table, the form's column bounds on a table of 1097 x 577, the range
@@ -210,37 +211,123 @@ def rejected(quad: np.ndarray, width: float, height: float, shape: tuple[int, ..
     return None
 
 
+class Grid:
+    """A flattened table with its bounds and, for the calibrated geometry, its curves and crossings."""
+
+    def __init__(self, image: np.ndarray, geometry: str = "fixed"):
+        self.table = flattened(image)
+        self.x, y = bounds(self.table.shape[1], self.table.shape[0])
+        self.y, self.rows = fitted_rows(self.table, self.x, y)
+        self.across = self.down = self.crossings = None
+        if geometry == "calibrated":
+            lines, columns = K.line_masks(self.table, float(np.median(np.diff(self.y))), float(np.median(np.diff(self.x))))
+            self.across = ascending(followed(measured(lines, self.y, (self.x[0], self.x[-1]), BANDS_ACROSS, MATCH_ACROSS)))
+            self.down = ascending(followed(measured(columns.T, self.x, (self.y[0], self.y[-1]), BANDS_DOWN, MATCH_DOWN)))
+            self.crossings = mesh(self.across, self.down)
+
+    def box(self, d: int, c: int) -> np.ndarray:
+        """The corners of a cell by the form's bounds."""
+        x, y = self.x, self.y
+        return np.array([[x[c], y[d]], [x[c + 1], y[d]], [x[c + 1], y[d + 1]], [x[c], y[d + 1]]], float)
+
+    def quad(self, d: int, c: int) -> np.ndarray:
+        """Its corners by the curves."""
+        k = self.crossings
+        return np.array([k[d, c], k[d, c + 1], k[d + 1, c + 1], k[d + 1, c]])
+
+    def sides(self, d: int, c: int) -> list[dict]:
+        """The curves above, below, left and right of it."""
+        return [self.across[d], self.across[d + 1], self.down[c], self.down[c + 1]]
+
+    def reason(self, d: int, c: int) -> str | None:
+        return rejected(self.quad(d, c), float(self.x[c + 1] - self.x[c]), float(self.y[d + 1] - self.y[d]), self.table.shape)
+
+
+def names() -> list[tuple[int, int, dict]]:
+    """Row, column, and day, point and type of the cells in form order."""
+    return [(d, c, {"day": d + 1, "point": c // 2 + 1, "reading_type": KINDS[c % 2]}) for d in range(DAYS) for c in range(2 * POINTS)]
+
+
 def cut(image: np.ndarray, geometry: str = "fixed") -> list[dict]:
     """The 496 cells of a sheet in form order, with their geometry's facts."""
-    table = flattened(image)
-    x, y = bounds(table.shape[1], table.shape[0])
-    y, _ = fitted_rows(table, x, y)
-    crossings = confidence = None
-    if geometry == "calibrated":
-        rows, columns = K.line_masks(table, float(np.median(np.diff(y))), float(np.median(np.diff(x))))
-        across = ascending(followed(measured(rows, y, (x[0], x[-1]), BANDS_ACROSS, MATCH_ACROSS)))
-        down = ascending(followed(measured(columns.T, x, (y[0], y[-1]), BANDS_DOWN, MATCH_DOWN)))
-        crossings = mesh(across, down)
-        confidence = lambda d, c: float(min(across[d]["confidence"], across[d + 1]["confidence"], down[c]["confidence"], down[c + 1]["confidence"]))
-    out = []
-    for d in range(DAYS):
-        for c in range(2 * POINTS):
-            h = y[d + 1] - y[d]
-            fixed = K.crop(table, (x[c], y[d] - int(h * PADDING_TOP), x[c + 1], y[d + 1] + int(h * PADDING_BOTTOM)))
-            row = {"day": d + 1, "point": c // 2 + 1, "reading_type": KINDS[c % 2], "geometry_rejection_reason": None, "uses_fallback_geometry": False, "local_geometry_confidence": 1.0, "image": fixed}
-            if crossings is not None:
-                quad = np.array([crossings[d, c], crossings[d, c + 1], crossings[d + 1, c + 1], crossings[d + 1, c]])
-                reason = rejected(quad, float(x[c + 1] - x[c]), float(h), table.shape)
-                used = reason is not None or any(k["fixed"] for k in (across[d], across[d + 1], down[c], down[c + 1]))
-                row |= {"geometry_rejection_reason": reason, "uses_fallback_geometry": used, "local_geometry_confidence": confidence(d, c)}
-                if reason is None:
-                    quad[:2, 1] -= h * PADDING_TOP
-                    quad[2:, 1] += h * PADDING_BOTTOM
-                    row["image"] = K.warp(table, quad, fixed.shape[1], fixed.shape[0])
-            out.append(row)
+    g, out = Grid(image, geometry), []
+    for d, c, name in names():
+        (x1, y1), _, (x2, y2), _ = g.box(d, c).astype(int)
+        h = y2 - y1
+        fixed = K.crop(g.table, (x1, y1 - int(h * PADDING_TOP), x2, y2 + int(h * PADDING_BOTTOM)))
+        row = name | {"geometry_rejection_reason": None, "uses_fallback_geometry": False, "local_geometry_confidence": 1.0, "image": fixed}
+        if g.crossings is not None:
+            quad, reason, sides = g.quad(d, c), g.reason(d, c), g.sides(d, c)
+            row |= {
+                "geometry_rejection_reason": reason, "uses_fallback_geometry": reason is not None or any(k["fixed"] for k in sides),
+                "local_geometry_confidence": float(min(k["confidence"] for k in sides))}
+            if reason is None:
+                quad[:2, 1] -= h * PADDING_TOP
+                quad[2:, 1] += h * PADDING_BOTTOM
+                row["image"] = K.warp(g.table, quad, fixed.shape[1], fixed.shape[0])
+        out.append(row)
+    return out
+
+
+def source(curve: dict) -> str:
+    return "fixed_fallback" if curve["fixed"] else "detected" if curve["reliable"] else "interpolated"
+
+
+def facts(image: np.ndarray) -> list[dict]:
+    """Of each cell how far its calibrated corners are from the form's, how sure its sides are and where
+    they come from, and its size."""
+    g, out = Grid(image, "calibrated"), []
+    for d, c, name in names():
+        box, quad, sides = g.box(d, c), g.quad(d, c), g.sides(d, c)
+        moved, length = quad - box, lambda a, b: float(np.linalg.norm(quad[a] - quad[b]))  # noqa: B023
+        sources = [source(k) for k in sides]
+        out.append(name | {
+            "fixed_corners": box.tolist(), "calibrated_corners": np.round(quad, 6).tolist(), "corner_displacements": np.round(moved, 6).tolist(),
+            "maximum_corner_displacement": round(float(np.linalg.norm(moved, axis=1).max()), 6), "boundary_confidences": [round(float(k["confidence"]), 6) for k in sides], "boundary_sources": sources,
+            "interpolation_count": sources.count("interpolated"), "fallback_count": sources.count("fixed_fallback"), "local_row_height": round((length(3, 0) + length(2, 1)) / 2, 6), "local_column_width": round((length(1, 0) + length(2, 3)) / 2, 6)})
     return out
 
 
+TELEMETRY = """sheet_id string, filename string, day int, point int, reading_type string, fixed_corners array<array<double>>, calibrated_corners array<array<double>>, corner_displacements array<array<double>>,
+maximum_corner_displacement double, boundary_confidences array<double>, boundary_sources array<string>, interpolation_count int, fallback_count int, local_row_height double, local_column_width double"""
+
+
+def telemetry(sheets: DataFrame) -> DataFrame:
+    """The facts of all cells of `sheets` (sheet_id, image)."""
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                rows = [{"sheet_id": r.sheet_id, "filename": f"day_{k['day']:02d}_point_{k['point']:02d}_{k['reading_type']}.png", **k} for k in facts(unpack(r.image))]
+                yield pd.DataFrame(rows)
+
+    return sheets.select("sheet_id", "image").mapInPandas(step, TELEMETRY)
+
+
+def manifest(rows: DataFrame) -> DataFrame:
+    """sheet_id, items: the telemetry of a sheet's cells in form order as one JSON array; 496 items at most."""
+    item = F.struct("filename", *[c for c in rows.columns if c not in ("sheet_id", "filename")])
+    place = F.struct("day", "point", kind_order(F.col("reading_type")).alias("k"), item.alias("item"))
+    return rows.groupBy("sheet_id").agg(F.to_json(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["item"])).alias("items"))
+
+
+def preflight_facts(sheets: DataFrame) -> DataFrame:
+    """What `reports.preflight` needs to know of each sheet."""
+    schema = "sheet_id string, row_sequence_used boolean, strong_bounds int, row_sequence_reason string, fixed_cells int, calibrated_cells int, invalid_cells int, fallback_boundaries int, low_confidence_boundaries int"
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                g = Grid(unpack(r.image), "calibrated")
+                curves = g.across + g.down
+                yield pd.DataFrame([{
+                    "sheet_id": r.sheet_id, "row_sequence_used": g.rows["reason"] is None, "strong_bounds": g.rows["strong"], "row_sequence_reason": g.rows["reason"], "fixed_cells": len(names()), "calibrated_cells": len(names()),
+                    "invalid_cells": sum(g.reason(d, c) is not None for d, c, _ in names()), "fallback_boundaries": sum(k["fixed"] for k in curves),
+                    "low_confidence_boundaries": sum(not k["fixed"] and k["confidence"] < LOW_GEOMETRY_CONFIDENCE for k in curves)}])
+
+    return sheets.select("sheet_id", "image").mapInPandas(step, schema)
+
+
 CELLS = f"sheet_id string, filename string, day int, point int, reading_type string, geometry_rejection_reason string, uses_fallback_geometry boolean, local_geometry_confidence double, image {IMAGE}"
 
 

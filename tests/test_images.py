@@ -1,4 +1,5 @@
 import io
+import json
 import zipfile
 
 import numpy as np
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from readingforge.functions import kernels as K
-from readingforge.operators import pairing, recognition, verify
+from readingforge.operators import consensus, metrics, pairing, recognition, verify
 from readingforge.sources import images, tables, workbook
 from readingforge.streaming import jobs
 
@@ -364,7 +365,7 @@ def test_cells_of_a_sheet(spark):
     assert up.rotation == "none" and up.confident
 
 
-def test_two_method_benchmark(spark):
+def test_two_method_benchmark(spark, tmp_path):
     from readingforge.operators import benchmark
 
     own = cell_images(spark)
@@ -374,6 +375,18 @@ def test_two_method_benchmark(spark):
     assert summary["fixed"].final_correct == summary["calibrated"].final_correct == 3 and summary["fixed"].blank_recall == 1.0
     assert {r.outcome for r in out["comparison"].collect()} == {"both_correct"} and all(r.same_inputs for r in out["times"].collect())
     assert {r.selected_geometry for r in out["hybrid"].collect()} == {"fixed"}
+    assert summary["hybrid"].final_correct == 3 and summary["hybrid"].review_count == summary["fixed"].review_count
+    rates = {r.geometry_mode: r for r in out["variants"].collect()}
+    assert rates["fixed"].ocr_input_count == 6 and rates["fixed"].ocr_inputs_saved == 0 and rates["hybrid"].cell_count == 3
+    blanks = {(r.mode, r.stage): r for r in metrics.blank_confusion(out["blanks"]).collect()}
+    assert len(blanks) == 6 and blanks["hybrid", "after"].true_blanks == 1
+    gates = {m: df.first() for m, df in benchmark.gates(out["rows"], ("s", "t", "u")).items()}
+    assert not gates["calibrated"].passed and gates["calibrated"].accuracy_kept and gates["hybrid"].no_new_unsafe and not gates["hybrid"].sample_right and gates["hybrid"].gain_kept == 1.0
+    benchmark.write_bundle(out, str(tmp_path / "bundle"))
+    assert {x.name for x in (tmp_path / "bundle").iterdir()} == {"rows.csv", "comparison.csv", "hybrid.csv", "summary.json", "variants.json", "times.json"}
+    assert spark.read.csv(str(tmp_path / "bundle" / "rows.csv"), header=True).count() == 9
+    read = benchmark.variant_benchmark(own, labels, fake)
+    assert read.count() == 8 and {r.variant: r.correct for r in consensus.variant_accuracy(read).collect()} == {"original": 2, "grayscale": 2, "contrast": 2, "binary": 2}
     with pytest.raises(pairing.Violation):
         benchmark.run(labels.limit(2), {"fixed": own, "calibrated": own}, spark.createDataFrame([("s", 0.1)], "sheet_id string, drift double"), fake)
 
@@ -385,5 +398,18 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "in" / "a.png").write_bytes(images.encode_png(sheet()))
     assert cli.main(["align", str(tmp_path / "in"), str(tmp_path / "out")]) == 0
     assert {r.axis for r in spark.read.json(str(tmp_path / "out")).collect()} == {"horizontal", "vertical"}
+    assert cli.main(["preflight", str(tmp_path / "in"), str(tmp_path / "pre")]) == 0
+    found = spark.read.json(str(tmp_path / "pre")).first()
+    assert found.row_sequence_used and found.strong_bounds == 32 and found.fixed_cells == 496 and found.recommended == ("fixed" if found.invalid_cells else "calibrated")
+    assert cli.main(["telemetry", str(tmp_path / "in"), str(tmp_path / "tel")]) == 0
+    items = json.loads(spark.read.json(str(tmp_path / "tel")).first()["items"])
+    assert len(items) == 496 and items[1]["filename"] == "day_01_point_01_humidity.png" and len(items[0]["boundary_sources"]) == 4 and items[0]["maximum_corner_displacement"] < 60
+    (tmp_path / "p.csv").write_text("filename,expected_value,consensus_prediction\na_temperature.png,22.7,227\nb_humidity.png,50.0,50.0\nc_humidity.png,50.0,51.0\n")
+    assert cli.main(["corrections", str(tmp_path / "p.csv"), str(tmp_path / "cor")]) == 0
+    got = spark.read.json(str(tmp_path / "cor")).first()
+    assert (got.total, got.consensus_correct, got.corrected_correct, got.changed, got.accepted, got.unsafe_accepts) == (3, 1, 2, 1, 2, 1)
     with pytest.raises(SystemExit):
         cli.main(["nothing"])
+    (tmp_path / "in" / "b.png").write_bytes(b"broken")
+    with pytest.raises(pairing.Violation):
+        cli.main(["align", str(tmp_path / "in"), str(tmp_path / "out")])
