@@ -180,11 +180,15 @@ def truth(text: Column) -> Column:
 
 
 def day_group(day: Column) -> Column:
-    return F.when(day == 1, "first").when(day == 16, "middle").when(day == 31, "last")
+    """Days that aren't in the sample are an error."""
+    other = F.raise_error(F.concat(F.lit("no day of the sample: "), day.cast("string"))).cast("string")
+    return F.when(day == 1, "first").when(day == 16, "middle").when(day == 31, "last").when(day.isNotNull(), other)
 
 
 def point_group(point: Column) -> Column:
-    return F.when(point == 1, "left").when(point == 4, "center").when(point == 8, "right")
+    """Points that aren't in the sample are an error."""
+    other = F.raise_error(F.concat(F.lit("no point of the sample: "), point.cast("string"))).cast("string")
+    return F.when(point == 1, "left").when(point == 4, "center").when(point == 8, "right").when(point.isNotNull(), other)
 
 
 def serious_geometry(rejection: Column, fallback: Column, confidence: Column) -> Column:

@@ -109,7 +109,7 @@ def hybrid(fixed: DataFrame, calibrated: DataFrame, drift: DataFrame, key: str =
     calibrated one, ask for a confirmation, which blocks and clears acceptance.  Truth isn't read."""
     used = ["final_value", "predicted_blank", "blocks_export", "automatic_acceptance"]
     other = calibrated.select(key, *[F.col(c).alias(f"c_{c}") for c in used])
-    rows = fixed.join(other, key).join(F.broadcast(drift.select("sheet_id", "drift")), "sheet_id", "left")
+    rows = fixed.join(other, key).join(drift.select("sheet_id", "drift"), "sheet_id", "left")
     rows = rows.withColumn("selected_geometry", choose(F.col("drift")))
     rows = rows.withColumns({
         "value_disagreement": F.col("final_value") != F.col("c_final_value"), "blank_disagreement": F.col("predicted_blank") != F.col("c_predicted_blank"),

@@ -113,7 +113,22 @@ def page(rows: DataFrame, order: list, number: int, size: int, selected: str | N
     return out, number, selected if selected in keys else (keys[0] if keys else None)
 
 
-def neighbours_in_queue(rows: DataFrame, order: str, key: str) -> DataFrame:
-    """key, previous, next in order; the ends are their own neighbours."""
-    place = Window.orderBy(order, key)
-    return rows.select(key, F.coalesce(F.lag(key).over(place), F.col(key)).alias("previous"), F.coalesce(F.lead(key).over(place), F.col(key)).alias("next"))
+def neighbours_in_queue(rows: DataFrame, order: str, key: str, owner: str | None = None) -> DataFrame:
+    """key, previous, next in the order of an owner's queue; the ends are their own neighbours."""
+    place = (Window.partitionBy(owner) if owner else Window.partitionBy(F.lit(0))).orderBy(order, key)
+    return rows.select(*([owner] if owner else []), key, F.coalesce(F.lag(key).over(place), F.col(key)).alias("previous"), F.coalesce(F.lead(key).over(place), F.col(key)).alias("next"))
+
+
+def item_order(rows: DataFrame) -> DataFrame:
+    """By number of the item, then by method where there are several."""
+    return rows.orderBy(*(["geometry_mode"] if "geometry_mode" in rows.columns else []), "item_number")
+
+
+def validated_reading(value: Column, kind: Column, day: Column, point: Column) -> Column:
+    """The number of a reading that goes into the form, null for a blank; anything else is an error that
+    names the cell."""
+    def checked(v: Column) -> Column:
+        wrong = F.raise_error(F.concat(R.cell_label(day, point, kind), F.lit(": "), v["error"])).cast("double")
+        return F.when(v["error"].isNotNull(), wrong).otherwise(v["numeric_value"])
+
+    return R.let(R.validate(value, kind, True), checked)

@@ -125,4 +125,4 @@ def category_counts(cells: DataFrame) -> DataFrame:
 
     counts = cells.select(F.explode(F.array_distinct("review_categories")).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
     names = cells.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")
-    return names.join(F.broadcast(counts), "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
+    return names.join(counts, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
