@@ -32,8 +32,8 @@ TRAIN_DOCS = 1500
 #: Symbols: 0 word bound, 1 a letter that no profile has, then the letters of the profiles.  Bits of
 #: a symbol, if that is enough for the letters.
 SYMBOL_BITS = 10
-#: Bits of a count while a document's n-grams are ranked.
-COUNT_BITS = 22
+#: Characters of a text that is counted in one go; longer ones are counted in pieces.
+LONG = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -116,19 +116,23 @@ class Profiles:
         if len(texts) > room:
             parts = [self.distances(texts[i : i + room], length) for i in range(0, len(texts), room)]
             return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        stream, begins = symbols(texts, self.codes)
-        at, codes = grams(stream, self.bits)
-        doc = np.searchsorted(begins, at, "right").astype(np.uint64) - U(1)
-        keys = np.sort((doc << code_bits) | codes)
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        heads = np.flatnonzero(new)
-        counts = np.minimum(np.diff(np.append(heads, len(keys))), (1 << COUNT_BITS) - 1).astype(np.uint64)
-        keys = keys[heads]
-        # By document, count from high to low, code; the document's bits lie above both.
-        low = keys & ((U(1) << code_bits) - U(1))
-        d = keys >> code_bits
-        order = np.argsort((d << U(COUNT_BITS)) | (U((1 << COUNT_BITS) - 1) - counts), kind="stable")
+        if len(texts) == 1 and len(texts[0]) > LONG:
+            low, counts = self.long_counts(texts[0])
+            d = np.zeros(len(low), np.uint64)
+        else:
+            stream, begins = symbols(texts, self.codes)
+            at, codes = grams(stream, self.bits)
+            doc = np.searchsorted(begins, at, "right").astype(np.uint64) - U(1)
+            keys = np.sort((doc << code_bits) | codes)
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            heads = np.flatnonzero(new)
+            counts = np.diff(np.append(heads, len(keys)))
+            keys = keys[heads]
+            # By document, count from high to low, code; the document's bits lie above both.
+            low = keys & ((U(1) << code_bits) - U(1))
+            d = keys >> code_bits
+        order = np.lexsort((-counts, d))  # stable: codes ascend where both are equal
         d, low = d[order].astype(np.int64), low[order]
         rank = np.arange(len(d)) - np.searchsorted(d, d)
         top = rank < length
@@ -141,6 +145,20 @@ class Profiles:
             best[:, j] = np.bincount(d, np.where(own >= 0, np.abs(rank - own), length), len(texts))
         return best, np.bincount(d, minlength=len(texts)) * length
 
+    def long_counts(self, text: str, piece: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The n-grams of one long text and their counts, a piece at a time; no piece cuts a word."""
+        codes, counts, a, piece = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, piece or LONG
+        while a < len(text):
+            b = min(len(text), a + piece)
+            while b < len(text) and text[b].isalpha():
+                b += 1
+            _, own = grams(symbols([text[a:b]], self.codes)[0], self.bits)
+            new, n = np.unique(own, return_counts=True)
+            codes, at = np.unique(np.concatenate([codes, new]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, n]), len(codes)).astype(np.int64)
+            a = b
+        return codes, counts
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))

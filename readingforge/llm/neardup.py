@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filed, join_checked, keep_rows, kept, picked, scratch, small_batches, written
-from .textscan import LOWER, NOT_BLANK, U, mix64, slices, text_bytes, word_hashes, words
+from .textscan import LOWER, NOT_BLANK, SCAN_BYTES, U, mix64, pieces, slices, text_bytes, word_hashes, words
 
 SHINGLE, PERCENT = 5, 75
 BANDS, BAND_ROWS = 32, 4
@@ -52,30 +52,56 @@ RARE = 32
 M1, M2 = np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35)
 
 
-def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+_ODD = [U(0x9E3779B97F4A7C15 + 2 * 0xD1B54A32D192ED03 * (k + 1) & (2**64 - 1)) for k in range(64)]
+
+
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of `size` word hashes."""
+    if len(h) < size:
+        return np.zeros(0, np.uint64)
+    full = h[: len(h) - size + 1] * _ODD[0]
+    for k in range(1, size):
+        full = mix64(full) + h[k : len(h) - size + 1 + k] * _ODD[k]
+    return mix64(full)
+
+
+def _short(h: np.ndarray) -> np.ndarray:
+    """The one shingle of a text of few words."""
+    one = np.zeros(min(1, len(h)), np.uint64)
+    for k in range(len(h)):
+        one = mix64(one + U(len(h))) + h[k : k + 1] * _ODD[k]
+    return mix64(one) if len(h) else one
+
+
+def _hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     data = LOWER[data]
     starts, ends, first = words(data, bounds, NOT_BLANK)
-    h = word_hashes(data, starts, ends)
-    odd = [U(0x9E3779B97F4A7C15 + 2 * 0xD1B54A32D192ED03 * (k + 1) & (2**64 - 1)) for k in range(size)]
-    full = np.zeros(0, np.uint64)
-    if len(h) >= size:
-        full = h[: len(h) - size + 1] * odd[0]
-        for k in range(1, size):
-            full = mix64(full) + h[k : len(h) - size + 1 + k] * odd[k]
-        full = mix64(full)
-    out = []
-    for i in range(len(bounds) - 1):
-        a, b = int(first[i]), int(first[i + 1])
-        if b - a >= size:
-            out.append(np.unique(full[a : b - size + 1]))
-        elif b > a:
-            one = np.zeros(1, np.uint64)
-            for k in range(b - a):
-                one = mix64(one + U(b - a)) + h[a + k : a + k + 1] * odd[k]
-            out.append(mix64(one))
-        else:
-            out.append(np.zeros(0, np.uint64))
+    return word_hashes(data, starts, ends), first
+
+
+def long_set(data: np.ndarray, size: int = SHINGLE, piece: int = SCAN_BYTES) -> np.ndarray:
+    """The set of one long text, a piece at a time: beside the set itself, memory is that of a piece."""
+    held, sets, kept = np.zeros(0, np.uint64), [], 0
+    for part in pieces(data, NOT_BLANK, piece):
+        h = np.concatenate([held, _hashes(part, np.array([0, len(part)]))[0]])
+        sets.append(np.unique(_rolled(h, size)))
+        held = h[max(0, len(h) - size + 1) :]
+        kept += len(sets[-1])
+        if kept > 4 * len(sets[0]) + (1 << 20):  # repeats of earlier pieces go now and then
+            sets = [np.unique(np.concatenate(sets))]
+            kept = 0
+    out = np.unique(np.concatenate(sets)) if sets else held
+    return out if len(out) else _short(held)
+
+
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    if len(bounds) == 2 and len(data) > SCAN_BYTES:
+        return [long_set(data, size)]
+    h, first = _hashes(data, bounds)
+    full, out = _rolled(h, size), []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        out.append(np.unique(full[a : b - size + 1]) if b - a >= size else _short(h[a:b]))
     return out
 
 

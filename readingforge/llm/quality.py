@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import join_checked, small_batches, written
 from .langid import bounded_sample, held_out
-from .textscan import LOWER, U, class_table, parts, slices, text_bytes, word_hashes
+from .textscan import LOWER, U, class_table, parts, pieces, slices, text_bytes, word_hashes
 
 #: Labelled documents of each class that the model is fitted on, about: the bound of the sample.
 TRAIN_DOCS = 1500
@@ -32,6 +32,9 @@ BUCKETS, DIMENSIONS, NONZERO, REACH = 1 << 14, 64, 6, 2
 CAPITALS, REPEATED, NUMBER, OTHERS = 0, 1, 2, 3
 HIDDEN, EPOCHS, RATE, DECAY = 32, 300, 0.01, 1e-4
 
+#: Bytes of text that are scored at once.
+SLICE = 1 << 18
+
 _UPPER = class_table(range(0x41, 0x5B))
 _SMALL = class_table(range(0x61, 0x7B))
 _KIND = np.full(256, 3, np.uint8)  # other signs
@@ -40,8 +43,9 @@ _KIND[_UPPER | _SMALL | class_table(range(0x80, 0x100))] = 1
 _KIND[0x30:0x3A] = 2
 
 
-def buckets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all words (runs of letters, digits or signs), and each text's first word."""
+def buckets(data: np.ndarray, bounds: np.ndarray, before: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of all words (runs of letters, digits or signs), and each text's first word.  For a
+    text in pieces, `before` holds the hash of the last word of letters so far, and gets the new one."""
     kind = _KIND[data]
     new = np.ones(len(data), bool)
     new[1:] = kind[1:] != kind[:-1]
@@ -58,6 +62,9 @@ def buckets(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     doc = np.searchsorted(bounds, starts[word], "right")
     same = np.zeros(len(word), bool)
     same[1:] = (h[word][1:] == h[word][:-1]) & (doc[1:] == doc[:-1])
+    if before is not None and len(word):
+        same[0] = before[:1] == [h[word[0]]]
+        before[:] = [h[word[-1]]]
     out[word[same]] = REPEATED
     big, small = (np.concatenate([[0], np.cumsum(t[data])]) for t in (_UPPER, _SMALL))
     out[(big[ends] - big[starts] > 1) & (small[ends] == small[starts]) & (own == 1)] = CAPITALS
@@ -101,6 +108,14 @@ def pooled(vectors: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def long_mean(vectors: np.ndarray, data: np.ndarray, piece: int = SLICE) -> np.ndarray:
+    """The mean word vector of one long text, by counting its buckets a piece at a time."""
+    counts, before = np.zeros(BUCKETS, np.int64), []
+    for part in pieces(data, _KIND > 0, piece):
+        counts += np.bincount(buckets(part, np.array([0, len(part)]), before)[0], minlength=BUCKETS)
+    return (counts / max(1, counts.sum())) @ vectors
+
+
 class Network:
     """Two layers, trained by Adam on the whole sample with class weights, then calibrated."""
 
@@ -145,7 +160,7 @@ class Network:
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, bounds = text_bytes(batch.column("text"))
-        for i, j in slices(bounds, 1 << 18):
+        for i, j in slices(bounds, SLICE):
             b, first = buckets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
             yield pa.RecordBatch.from_arrays(
                 [batch.slice(i, j - i).column("label"), pa.array([b[a:z].astype(np.int32) for a, z in zip(first[:-1], first[1:], strict=True)], pa.list_(pa.int32()))], names=["label", "buckets"])
@@ -172,8 +187,12 @@ def _score(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in parts(batches):
         data, bounds = text_bytes(batch.column("text"))
         scores = [np.zeros(0)]
-        for i, j in slices(bounds, 1 << 18):
-            b, first = buckets(data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
+        for i, j in slices(bounds, SLICE):
+            own = data[bounds[i] : bounds[j]]
+            if j == i + 1 and len(own) > SLICE:
+                scores.append(network.probability(long_mean(vectors, own)[None]))
+                continue
+            b, first = buckets(own, bounds[i : j + 1] - bounds[i])
             scores.append(network.probability(pooled(vectors, b, first)))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(np.concatenate(scores))], names=["id", "held_out", "score"])
 

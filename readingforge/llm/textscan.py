@@ -86,6 +86,22 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Rec
             yield batch.slice(i, rows)
 
 
+def pieces(data: np.ndarray, member: np.ndarray, size: int = SCAN_BYTES) -> Iterator[np.ndarray]:
+    """A long text in pieces of about `size` bytes that cut no word: each but the last ends with a byte
+    that is no member."""
+    a = 0
+    while a < len(data):
+        b = a + size
+        while b < len(data):
+            outside = np.flatnonzero(~member[data[b : b + size]])
+            if len(outside):
+                b += int(outside[0]) + 1
+                break
+            b += size
+        yield data[a:b]
+        a = b
+
+
 def words(data: np.ndarray, bounds: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each text the place of its first word (and the end)."""
     inside = member[data]

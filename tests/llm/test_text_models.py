@@ -93,6 +93,45 @@ def test_languages_of_edge_rows(spark):
     assert {r.doc_id for r in langid.label_languages(unnamed, profiles, {"zh"}).collect()} == {i for i, g in want.items() if g == "zh"}
 
 
+def test_long_texts_in_pieces(monkeypatch):
+    """Pieces of any size give what the whole text gives."""
+    from readingforge.llm import neardup, textscan
+
+    r = random.Random(8)
+    text = "".join(r.choice(["Alpha beta ", "beta beta ", "WORD\t", "x" * 300 + " ", "é中 ", "12 ", "!? ", "  \n", "y-z "]) for _ in range(3000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    bounds = np.array([0, len(data)])
+    profiles = langid.Profiles([("en", (ord(c) << 40) << 2, k) for k, c in enumerate("abcdefgh")])
+    whole = neardup.shingle_sets(data, bounds)[0], quality.buckets(data, bounds)[0], profiles.distances([text])
+    vectors = np.random.default_rng(1).normal(size=(quality.BUCKETS, quality.DIMENSIONS)).astype(np.float32)
+    for size in (50, 1000, 7777):
+        cut = list(textscan.pieces(data, textscan.NOT_BLANK, size))
+        assert b"".join(p.tobytes() for p in cut) == data.tobytes() and all(p[-1] in b" \t\n" for p in cut[:-1])
+        assert (neardup.long_set(data, piece=size) == whole[0]).all()
+        assert np.allclose(quality.long_mean(vectors, data, size), quality.pooled(vectors, whole[1], np.array([0, len(whole[1])]))[0], atol=1e-5)
+        monkeypatch.setattr(langid, "LONG", size)
+        assert all((a == b).all() for a, b in zip(profiles.distances([text]), whole[2]))
+    for few in ("one two", "one", "", " \n "):
+        d = np.frombuffer(few.encode(), np.uint8)
+        assert (neardup.long_set(d, piece=2) == neardup.shingle_sets(d, np.array([0, len(d)]))[0]).all()
+
+
+def test_megabytes_of_one_text(spark):
+    """A text longer than all slices, through every operator that scans bytes."""
+    from readingforge.llm import decontam, neardup
+
+    text = " ".join(cases.prose(k % 50, 2000) for k in range(220))
+    assert len(text) > 2 << 20
+    docs = cases.docs(spark, [(1, text, "en", "s"), (2, text + " end", "en", "s"), (3, cases.prose(3, 50), "en", "s")])
+    near = {r.id: r for r in neardup.near_duplicates(docs).collect()}
+    assert near[2].component_id == 1 and near[3].component_id == 3 and near[1].n_shingles == len(cases.shingles(text))
+    item = spark.createDataFrame([(7, " ".join(text.split()[-12:]))], "item_id bigint, text string")
+    leaks = {r.id: r.n_hit for r in decontam.decontaminate(docs, item).collect()}
+    assert leaks[1] >= 12 and leaks[2] >= 12 and leaks[3] == 0
+    got = {r.id: r.lang_pred for r in langid.identify(docs, langid.learn(cases.docs(spark, lang_rows()))).collect()}
+    assert got[1] == got[2] and got[1] != "und"
+
+
 # ---- licences
 
 
@@ -235,6 +274,8 @@ def test_token_counts_are_the_librarys(spark):
     odd = ["<|endoftext|> a<|endoftext|>", "don't  'LL \r\n\t x", "a" * 5000, " " * 3000 + "x", "\x85\xa0\x1c\x0b²³¼ª", "中文 字 ٣", "é ​  \U0001f600"]
     odd += ["".join(chr(r.choice([r.randrange(0x250), r.randrange(0x80), 0x20])) for _ in range(200)) for _ in range(80)]
     odd += ["".join(chr(r.randrange(0x3000)) for _ in range(60)) for _ in range(20)]
+    odd += [" ".join(cases.prose(k % 7, 3000) for k in range(60))]  # longer than the fast path takes
+    assert len(odd[-1]) > tokens._LONG
     rows = cases.edge_rows() + [(1000 + k, t, "en", "s") for k, t in enumerate(odd)]
     docs = cases.docs(spark, rows)
     for file, fast in ((path, ranks), (path, None), (word, None)):
