@@ -81,10 +81,10 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def word_vectors(documents: Iterator[np.ndarray]) -> np.ndarray:
-    """Context vectors of unit length plus index vectors of unit length."""
+def contexts(documents: Iterator[np.ndarray]) -> np.ndarray:
+    """For each bucket the sum of the index vectors of the words around it; whole numbers."""
     index = index_vectors()
-    context = np.zeros((BUCKETS, DIMENSIONS))
+    out = np.zeros((BUCKETS, DIMENSIONS), np.int64)
     for b in documents:
         near = np.zeros((len(b), DIMENSIONS), np.float32)
         for k in range(1, min(REACH, len(b) - 1) + 1):
@@ -93,9 +93,14 @@ def word_vectors(documents: Iterator[np.ndarray]) -> np.ndarray:
         order = np.argsort(b, kind="stable")
         heads = np.flatnonzero(np.append(True, np.diff(b[order]) > 0)) if len(b) else np.zeros(0, int)
         if len(heads):
-            context[b[order][heads]] += np.add.reduceat(near[order], heads)
+            out[b[order][heads]] += np.add.reduceat(near[order], heads, dtype=np.float64).astype(np.int64)
+    return out
+
+
+def word_vectors(context: np.ndarray) -> np.ndarray:
+    """Context vectors of unit length plus index vectors of unit length."""
     norm = np.linalg.norm(context, axis=1, keepdims=True)
-    return (context / np.maximum(norm, 1e-9) + index / np.sqrt(NONZERO)).astype(np.float32)
+    return (context / np.maximum(norm, 1e-9) + index_vectors() / np.sqrt(NONZERO)).astype(np.float32)
 
 
 def pooled(vectors: np.ndarray, b: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -166,6 +171,25 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [batch.slice(i, j - i).column("label"), pa.array([b[a:z].astype(np.int32) for a, z in zip(first[:-1], first[1:], strict=True)], pa.list_(pa.int32()))], names=["label", "buckets"])
 
 
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def documents() -> Iterator[np.ndarray]:
+        for batch in batches:
+            for b in batch.column("buckets"):
+                yield np.array(b.as_py(), np.int64)
+
+    yield pa.RecordBatch.from_arrays([pa.array([contexts(documents()).astype("<i8").tobytes()], pa.binary())], names=["sums"])
+
+
+def _pool(shared, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = [(np.bincount(np.array(b.as_py(), np.int64), minlength=BUCKETS) / max(1, len(b))) @ shared.value.astype(float) for b in batch.column("buckets")]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([v.tolist() for v in x], pa.list_(pa.float64()))], names=["label", "x"])
+
+
+#: Partitions whose sums of contexts (8 MB each) come to the driver, one after another.
+PARTS = 16
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", bound: int = TRAIN_DOCS) -> tuple[np.ndarray, Network]:
     """Word vectors and network of a bounded sample of the labelled documents that aren't held out."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
@@ -175,10 +199,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     with small_batches(docs.sparkSession):
         sample = written(join_checked(rows, chosen, ["id"], "inner").select("id", "text", "label").mapInArrow(_buckets, "label int, buckets array<int>"), "sample")
-    # The sample is bounded; its rows come to the driver one partition at a time.
-    got = sorted(((r.label, np.array(r.buckets, np.int64)) for r in sample.toLocalIterator()), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
-    vectors = word_vectors(b for _, b in got)
-    x = np.array([pooled(vectors, b, np.array([0, len(b)]))[0] for _, b in got]).reshape(-1, DIMENSIONS)
+        # No text comes to the driver: sums over the vocabulary, then one vector for each sampled document.
+        total = np.zeros((BUCKETS, DIMENSIONS), np.int64)
+        for r in sample.coalesce(PARTS).mapInArrow(_contexts, "sums binary").toLocalIterator():
+            total += np.frombuffer(r.sums, "<i8").reshape(BUCKETS, DIMENSIONS)
+        vectors = word_vectors(total)
+        shared = docs.sparkSession.sparkContext.broadcast(vectors)
+        rows = sample.mapInArrow(partial(_pool, shared), "label int, x array<double>").collect()
+    got = sorted(((r.label, tuple(r.x)) for r in rows))
+    x = np.array([v for _, v in got]).reshape(-1, DIMENSIONS)
     return vectors, Network(x, np.array([y for y, _ in got] or [0.0]), prior)
 
 
