@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     add("export", "results", "template", "month", "output")
     add("preflight", "images", "output")
     add("telemetry", "images", "output")
+    add("diagnose", "images", "output")
     add("corrections", "predictions", "output")
     add("variants", "labels", "crops", "recogniser", "output")
     add("audit", "results", "confirmations", "output")
@@ -73,6 +74,10 @@ def main(argv: list[str] | None = None) -> int:
         tables.write_json(reports.preflight(sheets.preflight_facts(loaded(spark, a.images))), a.output, "overwrite")
     elif a.command == "telemetry":
         tables.write_json(sheets.manifest(sheets.telemetry(loaded(spark, a.images))), a.output, "overwrite")
+    elif a.command == "diagnose":
+        own = loaded(spark, a.images)
+        images.save_pngs(sheets.pictures(own), a.output)
+        tables.write_json(series.boundary_summary(sheets.boundaries(own)), f"{a.output}/alignment.json", "overwrite")
     elif a.command == "corrections":
         rows = tables.read_csv(spark, a.predictions, ["filename", "expected_value", "consensus_prediction"]).withColumn("reading_type", R.kind_of(F.col("filename")))
         tables.write_json(reports.correction_summary(rows), a.output, "overwrite")

@@ -63,6 +63,29 @@ def line_masks(image: np.ndarray, row_height: float, column_width: float) -> tup
     return opened(marks, 1, odd(column_width * 0.5)), opened(marks, odd(row_height * 0.5), 1)
 
 
+def edges(image: np.ndarray, low: float = 50, high: float = 150) -> np.ndarray:
+    """Where brightness changes most: gradients (Sobel) that are largest along their own direction and
+    above `high`, or above `low` and connected with such."""
+    g = np.pad(grey(image).astype(float), 1, mode="edge")
+    across = g[:-2] + 2 * g[1:-1] + g[2:]
+    down = g[:, :-2] + 2 * g[:, 1:-1] + g[:, 2:]
+    dx, dy = across[:, 2:] - across[:, :-2], down[2:] - down[:-2]
+    size = np.abs(dx) + np.abs(dy)
+    p = np.pad(size, 1)
+    at = lambda y, x: p[1 + y : p.shape[0] - 1 + y, 1 + x : p.shape[1] - 1 + x]
+    steep, slope = np.abs(dy) > 2.414 * np.abs(dx), np.abs(dy) > 0.414 * np.abs(dx)
+    same = dx * dy > 0
+    ahead = np.where(steep, at(1, 0), np.where(~slope, at(0, 1), np.where(same, at(1, 1), at(1, -1))))
+    behind = np.where(steep, at(-1, 0), np.where(~slope, at(0, -1), np.where(same, at(-1, -1), at(-1, 1))))
+    weak = (size > low) & (size > behind) & (size >= ahead)
+    found = weak & (size > high)
+    while True:  # as long as a path of weak ones is
+        grown = weak & dilate(found, 3, 3)
+        if grown.sum() == found.sum():
+            return found
+        found = grown
+
+
 def components(mask: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """area, top, left, height and width of the eight-connected parts, by runs and union."""
     labels: list[int] = []

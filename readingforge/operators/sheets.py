@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..schema import DAYS, KINDS, LOW_GEOMETRY_CONFIDENCE, POINTS, kind_order
-from ..sources.images import IMAGE, pack, unpack
+from ..sources.images import IMAGE, decode_png, pack, unpack
 
 # The flattened table, the form's column bounds on a table of 1097 x 577, the range
 # of its day rows there, and the paddings of a crop.
@@ -328,6 +328,51 @@ def preflight_facts(sheets: DataFrame) -> DataFrame:
     return sheets.select("sheet_id", "image").mapInPandas(step, schema)
 
 
+def overlay(g: Grid) -> np.ndarray:
+    """The table with its bounds: known ones grey, followed ones green, those that went back red."""
+    out = np.repeat(K.grey(g.table)[..., None], 3, axis=2)
+    h, w = out.shape[:2]
+    for curves, at, length, turned in ((g.across, g.y, w, False), (g.down, g.x, h, True)):
+        along = np.arange(length)
+        for k, bound in enumerate(at):
+            curve = curves[k] if curves else None
+            colour = (160, 160, 160) if curve is None else (0, 0, 220) if curve["fixed"] else (0, 160, 0)
+            place = np.full(length, float(bound)) if curve is None else np.interp(along, curve["at"], curve["position"])
+            place = np.rint(place).astype(int).clip(0, (w if turned else h) - 1)
+            out[(along, place) if turned else (place, along)] = colour
+    return out
+
+
+def pictures(sheets: DataFrame) -> DataFrame:
+    """filename, image: of each sheet the flattened table, its two line masks, and its bounds drawn on it."""
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                g = Grid(unpack(r.image), "calibrated")
+                lines, columns = K.line_masks(g.table, float(np.median(np.diff(g.y))), float(np.median(np.diff(g.x))))
+                shown = {"table": g.table, "rows": np.where(lines, 0, 255).astype(np.uint8), "columns": np.where(columns, 0, 255).astype(np.uint8), "bounds": overlay(g)}
+                yield pd.DataFrame([{"filename": f"{r.sheet_id}_{name}.png", "image": pack(np.ascontiguousarray(image))} for name, image in shown.items()])
+
+    return sheets.select("sheet_id", "image").mapInPandas(step, f"filename string, image {IMAGE}")
+
+
+def restored(items: DataFrame) -> DataFrame:
+    """Items of the queue (sheet_id, png, orientation_choice) as upright sheets: by the choice, or as each
+    looks where that is `auto` or null."""
+
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.itertuples(index=False):
+                image = decode_png(bytes(r.png))
+                chosen = r.orientation_choice if r.orientation_choice not in (None, "auto") else K.orientation(image)["rotation"]
+                rows.append({"sheet_id": r.sheet_id, "image": pack(K.rotated(image, chosen)), "rotation": chosen})
+            yield pd.DataFrame(rows)
+
+    return items.select("sheet_id", "png", "orientation_choice").mapInPandas(step, f"sheet_id string, image {IMAGE}, rotation string")
+
+
 CELLS = f"sheet_id string, filename string, day int, point int, reading_type string, geometry_rejection_reason string, uses_fallback_geometry boolean, local_geometry_confidence double, image {IMAGE}"
 
 

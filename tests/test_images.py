@@ -102,6 +102,27 @@ def test_peaks():
     assert K.peak_near(strength, 43, 5, 0.5) == (40, 1.0) and K.peak_near(strength, 50, 5, 0.5) is None
 
 
+def test_edges():
+    image = np.full((30, 40), 200, np.uint8)
+    image[10:20, 12:30] = 40
+    found = K.edges(image)
+    rows, columns = np.nonzero(found)
+    assert found.any() and rows.min() in (9, 10) and rows.max() in (19, 20) and columns.min() in (11, 12) and columns.max() in (29, 30)
+    assert not found[13:17, 15:27].any() and found.sum() < 2 * 2 * (10 + 18) and not K.edges(np.full((9, 9), 7, np.uint8)).any()
+    ramp = np.tile(np.linspace(0, 30, 40).astype(np.uint8), (20, 1))
+    assert not K.edges(ramp).any()
+
+
+def test_queue_items_are_turned(spark):
+    turned = K.rotated(form(), "counterclockwise")
+    rows = [("a", images.encode_png(turned), "auto"), ("b", images.encode_png(turned), None), ("c", images.encode_png(turned), "none")]
+    from readingforge.operators import sheets as S
+
+    got = {r.sheet_id: r for r in S.restored(spark.createDataFrame(rows, "sheet_id string, png binary, orientation_choice string")).collect()}
+    assert [got[k].rotation for k in "abc"] == ["clockwise", "clockwise", "none"]
+    assert (images.unpack(got["a"].image) == form()).all() and (images.unpack(got["c"].image) == turned).all()
+
+
 def test_orientation():
     assert K.orientation(form())["rotation"] == "none"
     turned = K.rotated(form(), "counterclockwise")
@@ -404,6 +425,11 @@ def test_command_line(spark, tmp_path):
     assert cli.main(["telemetry", str(tmp_path / "in"), str(tmp_path / "tel")]) == 0
     items = json.loads(spark.read.json(str(tmp_path / "tel")).first()["items"])
     assert len(items) == 496 and items[1]["filename"] == "day_01_point_01_humidity.png" and len(items[0]["boundary_sources"]) == 4 and items[0]["maximum_corner_displacement"] < 60
+    assert cli.main(["diagnose", str(tmp_path / "in"), str(tmp_path / "pictures")]) == 0
+    drawn_files = {x.name.split("_")[-1]: x for x in (tmp_path / "pictures").iterdir() if x.suffix == ".png"}
+    assert set(drawn_files) == {"table.png", "rows.png", "columns.png", "bounds.png"}
+    shown = images.decode_png(drawn_files["bounds.png"].read_bytes())
+    assert ((shown == (0, 160, 0)).all(-1).sum() > 20_000) and spark.read.json(str(tmp_path / "pictures" / "alignment.json")).count() == 2
     (tmp_path / "p.csv").write_text("filename,expected_value,consensus_prediction\na_temperature.png,22.7,227\nb_humidity.png,50.0,50.0\nc_humidity.png,50.0,51.0\n")
     assert cli.main(["corrections", str(tmp_path / "p.csv"), str(tmp_path / "cor")]) == 0
     got = spark.read.json(str(tmp_path / "cor")).first()
