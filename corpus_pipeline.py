@@ -3,6 +3,13 @@
 STAGES are applied in order, each to all rows that the one before it kept.  The first four return
 the columns of documents; the last returns the mix: doc_id, source, size, source_size, target and
 taken of the documents that it takes words of.
+
+Defined results, for every stage: an empty table gives an empty one; further columns, whatever their
+names, come through the filtering stages unchanged; rows that repeat are rows of their own until the
+stage that drops copies, where exactly one stays.  Null and empty texts go in the first stage, since
+they have no language; given to a later stage alone, they count as empty texts, of which one stays, and
+have no shingles, no leaks and size 0.  A null id is lower than any other among exact copies and higher
+among near ones; ties of ids go by the rows' places in their files.  A null source is a source of its own.
 """
 
 from __future__ import annotations
