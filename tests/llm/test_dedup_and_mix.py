@@ -201,6 +201,20 @@ def test_rows_of_limits_and_samples_are_written(spark, tmp_path):
         assert hasattr(filed(odd), "rf_path")
 
 
+def test_sides_beyond_the_bounds_are_joined_by_shuffles(spark, monkeypatch):
+    """Without a broadcast everything is as with one."""
+    from readingforge.llm import common
+
+    rows = cases.edge_rows() + [(100 + k, cases.prose(5, 60) + f" end{k}", "en", "s") for k in range(6)]
+    docs = cases.docs(spark, rows)
+    runs = lambda: [sorted(map(str, df.collect())) for df in (
+        neardup.near_duplicates(docs).select("id", "n_shingles", "component_id"), exact_dedup.exact_dedup(docs).select("id", "keep_id", "group_size"), exact_dedup.drop_copies(docs).select("doc_id"),
+        neardup.drop_near_duplicates(docs).select("doc_id"), decontam.drop_contaminated(docs, benchmark(spark)).select("doc_id"))]
+    small = runs()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert runs() == small
+
+
 def test_proximity_matches(spark):
     items = [(1, "red green blue white")]
     rows = [(1, "red green blue white", "en", "s"), (2, "red green x blue white", "en", "s"), (3, "green red blue white", "en", "s"), (4, "red x y z green blue white", "en", "s"), (5, "red green", "en", "s"), (6, "blue white", "en", "s")]
